@@ -89,7 +89,7 @@ class ByteBpe:
         """Ids of each pre-token; one that is an entry as a whole has that entry's id."""
         raw = [p.encode() for p in pretokens]
         whole = [self.ranks.get(b) for b in raw]
-        rest = iter(self.model.encode([b.decode("latin-1").translate(self.shown) for b, w in zip(raw, whole, strict=True) if w is None]))
+        rest = iter(self.model.encode([b.decode("latin-1").translate(self.shown) for b, w in zip(raw, whole, strict=True) if w is None], num_threads=1))
         return [next(rest) if w is None else [w] for w in whole]
 
     def encode(self, text: str) -> list[int]:
@@ -100,11 +100,12 @@ class ByteBpe:
 
     def digests(self, chunks: list[str]) -> list[tuple[bytes, ...]]:
         """For each chunk its ids in decimal, each after a space, and the bytes that they decode to."""
-        found = [self.pattern.findall(c) for c in chunks]
-        ids = iter(self.encode_pretokens([p for f in found for p in f]))
+        found = [[c] if c[1:].isalpha() and c[0] == " " else self.pattern.findall(c) for c in chunks]
+        different = list({p for f in found for p in f})
+        ids = dict(zip(different, self.encode_pretokens(different), strict=True))
         out = []
         for f in found:
-            own = [i for _ in f for i in next(ids)]
+            own = [i for p in f for i in ids[p]]
             out.append(("".join(f" {i}" for i in own).encode(), self.decode(own)))
         return out
 
