@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from sinktrace.llm.byte_bpe import op10_byte_bpe
 from sinktrace.llm.pii import op5_pii
+from sinktrace.llm.simhash import op9_simhash
 from sinktrace.llm.token_files import op8_token_files
 
-QUERIES = {"op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
