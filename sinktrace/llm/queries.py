@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from sinktrace.llm.byte_bpe import op10_byte_bpe
 from sinktrace.llm.pii import op5_pii
+from sinktrace.llm.quality_model import op4_quality_model
+from sinktrace.llm.quality_rules import op6_quality_rules
 from sinktrace.llm.simhash import op9_simhash
 from sinktrace.llm.token_files import op8_token_files
 
-QUERIES = {"op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op4_quality_model": op4_quality_model, "op6_quality_rules": op6_quality_rules, "op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
