@@ -236,7 +236,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = 4, head: int = 100_000, max_entries: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_000, max_entries: int = 4_000_000) -> DataFrame:
     """Columns of docs but text, then n_tokens, n_known, train_tokens, base_score and score, learned from the texts of ``training``."""
     spark = docs.sparkSession
     vocabulary = materialise(word_counts(training), "ppm-words")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sinktrace.llm.byte_bpe import op10_byte_bpe
+from sinktrace.llm.decontaminate import op1_decontaminate
 from sinktrace.llm.pii import op5_pii
 from sinktrace.llm.ppm import op2_ppm
 from sinktrace.llm.quality_model import op4_quality_model
@@ -10,5 +11,5 @@ from sinktrace.llm.quality_rules import op6_quality_rules
 from sinktrace.llm.simhash import op9_simhash
 from sinktrace.llm.token_files import op8_token_files
 
-QUERIES = {"op2_ppm": op2_ppm, "op4_quality_model": op4_quality_model, "op6_quality_rules": op6_quality_rules, "op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ppm": op2_ppm, "op4_quality_model": op4_quality_model, "op6_quality_rules": op6_quality_rules, "op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
