@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-Q, EDIT_RATE = 8, 0.08
+Q, EDIT_RATE = 12, 0.05
 _MULTIPLIER, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 _PIECE = 1 << 19
 MATCHES = "array<struct<item_id: bigint, distance: int, start: bigint, end: bigint>>"
@@ -90,7 +90,8 @@ class Index:
     item: np.ndarray  # by place
     offset: np.ndarray
     slots: np.ndarray
-    q: int = Q
+    q: int
+    span: int = 0  # no region is longer
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> Index:
@@ -105,7 +106,8 @@ class Index:
         grams, low = np.unique(every[order], return_index=True)
         slots = np.zeros(1 << _SLOTS, bool)
         slots[(grams * _MULTIPLIER) >> np.uint64(64 - _SLOTS)] = True
-        return cls([i for i, _ in found], [c for _, c in found], edits, sizes - q + 1 - edits * q, grams, np.append(low, len(every)), item[order], offset[order], slots, q)
+        span = int((sizes + 4 * edits + 4).max()) if len(found) else 0
+        return cls([i for i, _ in found], [c for _, c in found], edits, sizes - q + 1 - edits * q, grams, np.append(low, len(every)), item[order], offset[order], slots, q, span)
 
     def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and ranges of diagonals whose q-grams reach the bound."""
@@ -117,11 +119,10 @@ class Index:
         known = self.grams[place] == grams[at]
         at, place = at[known], place[known]
         # A region has the bound's number of hits within the longest item's length: others need no closer look.
-        span = int(max(len(c) for c in self.items) + self.edits.max())
         least = int(self.bound.min())
         if len(at) < least:
             return
-        dense = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= span)
+        dense = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= self.span)
         cover = np.zeros(len(at) + 1, np.int64)
         np.add.at(cover, dense, 1)
         np.add.at(cover, dense + least, -1)
@@ -134,9 +135,11 @@ class Index:
         item, diagonal = self.item[step], np.repeat(at, count) - self.offset[step]
         width = 2 * self.edits + 1
         band = diagonal // width[item]
-        pair = np.stack([np.concatenate([item, item]), np.concatenate([band, band - 1])])
-        (items, bands), n = np.unique(pair, axis=1, return_counts=True)
-        for i, b in zip(*(x[n >= self.bound[items]].tolist() for x in (items, bands)), strict=True):
+        key = (item << 40) + band + (1 << 39)
+        keys, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        items = keys >> 40
+        some = n >= self.bound[items]
+        for i, b in zip(items[some].tolist(), ((keys[some] & ((1 << 40) - 1)) - (1 << 39)).tolist(), strict=True):
             yield i, int(b * width[i]), int((b + 2) * width[i])
 
     def matches(self, text: str | None) -> list[dict]:
@@ -144,10 +147,9 @@ class Index:
         if not text or not self.items:
             return []
         whole, where = normalised(text)
-        reach = max(len(c) + 4 * int(k) + 4 for c, k in zip(self.items, self.edits, strict=True))
         best: dict[int, tuple[int, int, int]] = {}
         for lo in range(0, max(1, len(whole)), _PIECE):
-            codes = whole[lo : lo + _PIECE + reach]
+            codes = whole[lo : lo + _PIECE + self.span]
             for i, a, b in self._candidates(codes):
                 if b <= 0 or i in best and best[i][0] == 0:  # before the text, or nothing can be better
                     continue
