@@ -8,9 +8,10 @@ from sinktrace.llm.pii import op5_pii
 from sinktrace.llm.ppm import op2_ppm
 from sinktrace.llm.quality_model import op4_quality_model
 from sinktrace.llm.quality_rules import op6_quality_rules
+from sinktrace.llm.repeats import OP3_SQL, op3_repeats
 from sinktrace.llm.simhash import op9_simhash
 from sinktrace.llm.token_counts import op7_token_counts
 from sinktrace.llm.token_files import op8_token_files
 
-QUERIES = {"op7_token_counts": op7_token_counts, "op1_decontaminate": op1_decontaminate, "op2_ppm": op2_ppm, "op4_quality_model": op4_quality_model, "op6_quality_rules": op6_quality_rules, "op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op3_repeats": op3_repeats, "op7_token_counts": op7_token_counts, "op1_decontaminate": op1_decontaminate, "op2_ppm": op2_ppm, "op4_quality_model": op4_quality_model, "op6_quality_rules": op6_quality_rules, "op9_simhash": op9_simhash, "op5_pii": op5_pii, "op8_token_files": op8_token_files, "op10_byte_bpe": op10_byte_bpe}
+ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL}

@@ -44,10 +44,21 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def window_codes(codes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit code for each window of n words; windows of equal words have equal codes."""
-    if len(codes) < n:
+    """A 64-bit code for each window of n words; windows of equal words have equal codes.
+
+    Windows of 1, 2, 4 words and so on are joined up, so a window of n words takes some log2(n) steps.
+    """
+    count = len(codes) - n + 1
+    if count <= 0:
         return codes[:0]
-    out = np.zeros(len(codes) - n + 1, np.uint64)
-    for k in range(n):
-        out = mixed(out * np.uint64(_MULTIPLIER) + codes[k : len(codes) - n + 1 + k], seed)
-    return out
+    join = lambda a, b: mixed(a * np.uint64(_MULTIPLIER) + b, seed)
+    power, size, out, done = mixed(codes, seed), 1, None, 0
+    while True:
+        if n & size:
+            part = power[done : done + count]
+            out = part if out is None else join(out, part)
+            done += size
+        if 2 * size > n:
+            return out
+        power = join(power[: len(power) - size], power[size:])
+        size *= 2
