@@ -178,10 +178,15 @@ def held_out(modulus: int, remainder: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus == remainder
 
 
-def train(marked: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> AdditiveModel:
-    """Fit a model on labelled rows of ``marked`` (doc_id, features) that are not held out."""
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = marked.where(~held_out(5, 0)).select("doc_id", "features").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features", "quality").limit(max_rows).select("features", "quality").toArrow()
+def training_labels(labels: DataFrame, max_rows: int = 40_000) -> DataFrame:
+    """At most ``max_rows`` labels (doc_id, quality) of documents that are not held out, chosen by the hash of the id."""
+    known = labels.where("quality in (0, 1)").where(~held_out(5, 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
+
+
+def train(marked: DataFrame, sample: DataFrame) -> AdditiveModel:
+    """Fit a model on the rows of ``marked`` (doc_id, features) that the bounded sample labels."""
+    rows = marked.select("doc_id", "features").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "features", "quality").select("features", "quality").toArrow()
     x = np.array(rows.column("features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows.column("quality").to_numpy().astype(np.float64))
 
@@ -198,9 +203,20 @@ def score(marked: DataFrame, model: AdditiveModel, keep: tuple[str, ...] = ("doc
     return marked.select(*keep, "features").mapInArrow(run, held + "score double")
 
 
+def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFrame:
+    """The rows of docs whose score is ``threshold`` at least, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text of documents: doc_id, held_out, score, predicted."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     marked = materialise(with_features(docs), "quality-features")
-    scored = score(marked, train(marked, labels))
+    scored = score(marked, train(marked, training_labels(labels)))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
