@@ -83,7 +83,7 @@ def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
     """How long to wait before an attempt: 2, 4, 8 and so on up to 30 s, or what the server asks for within 0 to 30 s."""
     ladder = F.least(2 * F.pow(F.lit(2.0), attempt - 2), F.lit(30.0))
     asked = retry_after.try_cast("double")
-    return F.coalesce(F.greatest(F.least(asked, F.lit(30.0)), F.lit(0.0)), ladder)
+    return F.when(asked.isNull(), ladder).otherwise(F.greatest(F.least(asked, F.lit(30.0)), F.lit(0.0)))
 
 
 def file_name(name: Column) -> Column:
