@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sinktrace.llm.chunks import ChunkCache
+from sinktrace.llm.columns import without
 
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
 
@@ -118,12 +119,13 @@ def _cache(path: str, pattern: str) -> ChunkCache:
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs, then n_tokens, ids_sha256 and decoded_sha256 of each text."""
+    keep = without(keep, "n_tokens", "ids_sha256", "decoded_sha256", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _cache(ranks_path, pattern)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("__text").to_pylist():
                 decimal, raw = cache(text or "")
                 n.append(decimal.count(b" "))
                 ids.append(hashlib.sha256(decimal[1:]).hexdigest())
@@ -131,7 +133,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[st
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, docs["text"].cast("string").alias("text")).mapInArrow(run, f"{held}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*keep, docs["text"].cast("string").alias("__text")).mapInArrow(run, f"{held}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

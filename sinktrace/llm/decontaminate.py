@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
+
 Q, EDIT_RATE = 12, 0.05
 _MULTIPLIER, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
 _PIECE = 1 << 19
@@ -189,13 +191,34 @@ def _anchored(item: np.ndarray, text: np.ndarray, distance: int) -> int:
     return int(np.flatnonzero(row <= distance)[0])
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Columns of docs (or ``keep`` of them), then ``matches``: the benchmark passages that each text holds."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
+    """The benchmark's index in blocks of about ``block_chars`` characters, dealt by hash."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
-    keep = tuple(docs.columns) if keep is None else keep
+    for block in range(n_blocks):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
+        yield Index.of(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows), q, edit_rate)
+
+
+def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no benchmark passage."""
+
+    def cleaner(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not index.value.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return run
+
+    for index in _blocks(benchmark, q, edit_rate, block_chars):
+        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+    return docs
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Columns of docs (or ``keep`` of them), then ``matches``: the benchmark passages that each text holds."""
+    keep = without(docs.columns if keep is None else keep, "matches", "__text")
     found = docs.select(*keep, docs["text"].cast("string").alias("__text"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in found.schema)
 
@@ -210,10 +233,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: f
 
         return run
 
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()  # about block_chars characters
-        index = spark.sparkContext.broadcast(Index.of(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows), q, edit_rate))
-        found = found.mapInArrow(scanner(index, block > 0), f"{fields}matches {MATCHES}")
+    for block, index in enumerate(_blocks(benchmark, q, edit_rate, block_chars)):
+        found = found.mapInArrow(scanner(docs.sparkSession.sparkContext.broadcast(index), block > 0), f"{fields}matches {MATCHES}")
     return found.drop("__text")
 
 

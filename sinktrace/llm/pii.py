@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "url")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -127,6 +129,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redacted: bool = False) -> DataFrame:
     """Columns ``keep`` of docs, then n_email, n_ip, n_card, n_phone, base_sha256, spans, and pii_text (redacted) if asked for."""
+    keep = without(keep, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "pii_text", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +149,18 @@ def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redacted: boo
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows and columns of docs with personal data redacted in text; n_chars, if there is such a column, follows the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else redact(t, find_spans(t)) for t in batch.column("text").to_pylist()]
+            new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+            yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of documents."""
     return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))

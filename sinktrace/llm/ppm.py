@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
 from sinktrace.storage import materialise
 
 SYMBOL_BITS, END, PAD, SYMBOLS = 9, 256, 257, 257
@@ -246,7 +247,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_
     frequent = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True)))
     shallow = contexts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 2 * SYMBOL_BITS) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     n_blocks = max(1, -(-contexts.count() // max_entries))
-    keep = [c for c in docs.columns if c != "text"]
+    keep = without(docs.columns, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "head_known", "head_base", "tail", "more", "tail_known", "tail_base", "__row")
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     arrays = lambda t: (t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy())

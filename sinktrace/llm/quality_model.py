@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
 from sinktrace.storage import materialise
 
 FEATURES = (
@@ -65,6 +66,7 @@ def features(text: str | None) -> list[float]:
 
 def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs, then ``features``: an array of the values of FEATURES."""
+    keep = without(keep, "features", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +195,7 @@ def train(marked: DataFrame, sample: DataFrame) -> AdditiveModel:
 
 def score(marked: DataFrame, model: AdditiveModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of marked, then score."""
+    keep = without(keep, "score", "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
 from sinktrace.llm.words import mixed, window_codes, word_codes
 
 BUCKET_BITS = 16
@@ -82,6 +83,7 @@ def ratios(counts: DataFrame, alpha: float = 0.5) -> np.ndarray:
 
 def judge(docs: DataFrame, table: np.ndarray, keep: tuple[str, ...] = ("doc_id",), min_llr: float = MIN_LLR) -> DataFrame:
     """Columns ``keep`` of docs, then n_words, the base counts, base_failed, llr and kept."""
+    keep = without(keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
 from sinktrace.storage import materialise, partitions
 
 BITS = 64
@@ -50,6 +51,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 3) -> DataFrame:
     """Columns ``keep`` of docs, then fp: the fingerprint as a signed 64-bit integer."""
+    keep = without(keep, "fp", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,6 +239,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words: int = 3, radius: int = 3, limit: int = 20_000) -> DataFrame:
     """Columns ``keep`` of docs (doc_id among them), then fp and component_id: the smallest doc_id that a document reaches."""
+    keep = without(keep, "fp", "component_id")
     marked = materialise(with_fingerprints(docs, keep, words), "simhash")
     classes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     found = components(fingerprint_edges(classes.select("fp"), radius, limit))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import without
+
 MARK = "▁"
 _BLOCK = 1_000  # documents whose words are put into one trie
 _COUNTERS: dict[str, TrieCounter] = {}
@@ -102,6 +104,7 @@ class TrieCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs, then n_pretokens, n_tokens and log_prob of each text."""
+    keep = without(keep, "n_pretokens", "n_tokens", "log_prob", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _COUNTERS:
