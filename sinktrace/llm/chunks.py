@@ -13,6 +13,7 @@ from collections.abc import Callable
 # White space in any of the regular-expression engines concerned.
 _WIDE = r"\s᠎​﻿"
 _ADJACENT = re.compile(f"[{_WIDE}][{_WIDE}]")
+_ENDS_OPEN = re.compile(rf"[{_WIDE}]\Z")
 _SAFE = re.compile(rf"(?<=[^{_WIDE}])(?=[ \n])")
 
 
@@ -21,6 +22,11 @@ def chunks(text: str) -> list[str]:
     return _SAFE.split(text) if text else []
 
 
+def joinable(chunk: str) -> bool:
+    """Whether a chunk begins and ends so that it may stand between others without a pre-token growing over its bounds."""
+    return chunk[0] in " \n" and not _ENDS_OPEN.search(chunk)
+
+
 class ChunkCache:
     """Remembers what ``make`` gives for a chunk: one bytes value for each of ``width`` outputs.
 
