@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
 from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, findings, methods, table
-from sinktrace.operators import candidates, context, graph, statistics, verdicts, verification
+from sinktrace.operators import candidates, context, graph, indexing, rules, statistics, verdicts, verification
+from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -556,3 +557,69 @@ def backoff(spark, sf_dir):
 def report_rows(spark, sf_dir):
     rows = findings(spark, sf_dir).withColumn("row", F.concat_ws(":", F.col("seq").cast("string"), "rule_id", "verdict"))
     return rows.groupBy("report_id").agg(F.md5(F.array_join(candidates.in_order("seq", "row"), ",")).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def _source_files(spark, sf_dir):
+    """A Java file for every fifty methods of the call graph: each method calls what its edges say."""
+    body = edges(spark, sf_dir).groupBy("caller").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("    m"), F.col("callee").cast("string"), F.lit("(1, \"m0(\");")))), "\n").alias("b"))
+    method = F.concat(F.lit("  public void m"), F.col("caller").cast("string"), F.lit("(int a, String b) { // m1(2)\n"), "b", F.lit("\n  }"))
+    files = body.select((F.col("caller") % 50).alias("file"), F.struct("caller", method.alias("m")).alias("x")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]), "\n").alias("b"))
+    return files.select(F.concat(F.lit("src/F"), F.col("file").cast("string"), F.lit(".java")).alias("path"), F.lit("java").alias("lang"), F.concat(F.lit("class F {\n"), "b", F.lit("\n}\n")).alias("text"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT 'src/F' || (caller % 50) || '.java' AS path, 'm' || caller AS caller, 'm' || callee AS callee, 2 AS arity, count(*) AS n FROM edges GROUP BY ALL")
+def index_sources(spark, sf_dir):
+    _, sites = indexing.index(_source_files(spark, sf_dir))
+    return sites.groupBy("path", "caller", "callee", "arity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {EDGES_SQL}, m AS (SELECT caller, count(*) AS calls FROM edges GROUP BY caller)
+SELECT 'src/F' || (caller % 50) || '.java' AS path, 'm' || caller AS name, 2 AS arity, CAST(calls + 2 AS BIGINT) AS size FROM m""")
+def index_methods(spark, sf_dir):
+    found, _ = indexing.index(_source_files(spark, sf_dir))
+    return found.select("path", "name", "arity", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("size"))
+
+
+@query("""SELECT page_id, CAST(count(*) AS BIGINT) AS calls FROM (SELECT page_id, unnest(regexp_extract_all(html, 'track\\([0-9]+\\)')) AS x FROM pages) GROUP BY page_id""")
+def index_scripts(spark, sf_dir):
+    script = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), F.lit(1)), "\n")
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("javascript").alias("lang"), script.alias("text"))
+    _, sites = indexing.index(files)
+    return sites.where("callee = 'track'").groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("calls"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'python-sql-format' WHEN 1 THEN 'CPP001' WHEN 2 THEN 'CPP004' ELSE 'mybatis-substitution' END AS rule_id FROM orders WHERE o_orderkey % 5 < 4""")
+def rule_scan(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    line = F.when(k == 0, 'cur.execute(f"select {x}")').when(k == 1, "::strcpy(a, b);").when(k == 2, "std::memcpy(a, b, n);").when(k == 3, "a = ${x}").otherwise("a = ${criterion.condition}; x.strcpy(1)")
+    lang = F.when(k == 0, "python").when(k < 3, "cpp").otherwise("xml")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), lang.alias("lang"), F.lit(1).alias("line_no"), line.alias("text"))
+    return rules.scan(rows, rules.rule_table(spark)).select(F.col("path").alias("o_orderkey"), "rule_id")
+
+
+@query("""SELECT s_suppkey, 'GET' AS verb, '/s' || s_suppkey AS route, 'C' || s_nationkey AS class_name, 'show' AS action FROM supplier UNION ALL SELECT s_suppkey, 'POST', '/t', 'D', 'put' FROM supplier WHERE s_suppkey % 2 = 0""")
+def play_routes(spark, sf_dir):
+    k = F.col("s_suppkey").cast("string")
+    second = F.when(F.col("s_suppkey") % 2 == 0, "POST  /t   app.D.put(x: Int)").otherwise("-> /sub sub.Routes\nGET /plain plain")
+    body = F.concat(F.lit("# routes\nGET /s"), k, F.lit("  controllers.C"), F.col("s_nationkey").cast("string"), F.lit(".show  # note\n"), second)
+    return readers.route_entries(table(spark, sf_dir, "supplier").select(k.alias("path"), body.alias("text"))).select(F.col("path").cast("long").alias("s_suppkey"), "verb", "route", "class_name", "action")
+
+
+@query("""SELECT s_suppkey, 'com.M' || s_nationkey AS namespace, 'find' AS id, CAST(3 AS INT) AS start_line, CAST(5 AS INT) AS end_line FROM supplier WHERE s_suppkey % 3 > 0""")
+def mybatis_statements(spark, sf_dir):
+    k = F.col("s_suppkey")
+    good = F.concat(F.lit('<mapper namespace="com.M'), F.col("s_nationkey").cast("string"), F.lit('">\n<sql id="c">a</sql>\n<select id="find">\n<if test="x">select</if>\n</select>\n</mapper>'))
+    text_ = F.when(k % 3 == 0, F.concat(good, F.lit("<broken"))).otherwise(good)
+    return readers.mapper_statements(table(spark, sf_dir, "supplier").select(k.cast("string").alias("path"), text_.alias("text"))).select(F.col("path").cast("long").alias("s_suppkey"), "namespace", "id", "start_line", "end_line")
+
+
+@query("""SELECT event_id AS seq, 'rule' || (user_id % 5) AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'S.java' ELSE 'K.java' END AS source_file, CAST(CASE WHEN event_id % 2 = 0 THEN 7 ELSE user_id % 90 END AS INT) AS source_line, 'K.java' AS sink_file,
+CAST(user_id % 90 AS INT) AS sink_line, CASE WHEN event_id % 3 = 0 THEN 'CWE-1,CWE-2' ELSE 'CWE-9' END AS cwe, 'say ' || event_type AS message, CASE WHEN event_id % 7 = 0 THEN 'static' ELSE 'dataflow' END AS verification_mode, event_id % 2 <> 0 AS is_intraprocedural FROM events""")
+def normalize_candidates(spark, sf_dir):
+    e = F.col("event_id")
+    trace = F.when(e % 2 == 0, F.lit(', "dataflow_trace": {"taint_source": ["CliLoc", [{"path": "S.java", "start": {"line": 7}}, "x"]]}')).otherwise(F.lit(', "dataflow_trace": {"taint_source": ["CliLoc", "not-a-list"]}'))
+    cwe = F.when(e % 3 == 0, F.lit('["CWE-1", "CWE-2"]')).otherwise(F.lit('"CWE-9"'))
+    mode = F.when(e % 7 == 0, F.lit(', "verification": "static"')).otherwise(F.lit(""))
+    extra = F.concat(F.lit('{"message": " say '), "event_type", F.lit(' ", "severity": "ERROR", "metadata": {"cwe": '), cwe, mode, F.lit("}"), trace, F.lit("}"))
+    raw = table(spark, sf_dir, "events").select(e.alias("seq"), F.concat(F.lit("rules.custom.rule"), (F.col("user_id") % 5).cast("string")).alias("check_id"), F.lit("K.java").alias("path"), F.struct((F.col("user_id") % 90).cast("int").alias("line")).alias("start"), F.parse_json(extra).alias("extra"))
+    return candidates.normalize(raw).select("seq", "rule_id", "source_file", "source_line", "sink_file", "sink_line", F.array_join("cwe", ",").alias("cwe"), "message", "verification_mode", "is_intraprocedural")

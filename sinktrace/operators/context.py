@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 WINDOW, METHOD_LINES, HEAD_LINES = 15, 120, 12
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """Rows (path, line_no, text) of files (path, text). A line ends at a line feed, a carriage return or both."""
+def lines_of(files: DataFrame, *more: str) -> DataFrame:
+    """Rows (path, line_no, text) of files (path, text), and columns ``more`` of them. A line ends at a line feed, a carriage return or both."""
     split = F.split(F.regexp_replace("text", r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
-    return files.select("path", F.posexplode(split).alias("at", "text")).select("path", (F.col("at") + 1).alias("line_no"), "text")
+    return files.select("path", *more, F.posexplode(split).alias("at", "text")).select("path", *more, (F.col("at") + 1).alias("line_no"), "text")
 
 
 def numbered(lines: Column, start: Column, end: Column) -> Column:
