@@ -18,9 +18,9 @@ from sinktrace.storage import materialise
 
 # Patterns of declarations by language: group 1 is the name, group 2 the parameters.
 DECLARATIONS = {
-    "java": r"^\s*(?:[\w@<>\[\],.?&]+\s+)+([A-Za-z_$]\w*)\s*\(([^)]*)\)?[^;=]*$",
-    "csharp": r"^\s*(?:[\w<>\[\],.?]+\s+)+([A-Za-z_]\w*)\s*\(([^)]*)\)?[^;=]*$",
-    "cpp": r"^\s*(?:[\w:<>*&,~]+\s+[*&]*)+(?:\w+::)*(~?[A-Za-z_]\w*)\s*\(([^)]*)\)?[^;=]*$",
+    "java": r"^\s*(?!(?:return|new|throw|else)\b)(?:[\w@<>\[\],.?&]+\s+)+([A-Za-z_$]\w*)\s*\(([^)]*)\)?[^;={]*(?:\{.*)?$",
+    "csharp": r"^\s*(?!(?:return|new|throw|else)\b)(?:[\w<>\[\],.?]+\s+)+([A-Za-z_]\w*)\s*\(([^)]*)\)?[^;={]*(?:\{.*)?$",
+    "cpp": r"^\s*(?!(?:return|new|throw|else)\b)(?:[\w:<>*&,~]+\s+[*&]*)+(?:\w+::)*(~?[A-Za-z_]\w*)\s*\(([^)]*)\)?[^;={]*(?:\{.*)?$",
     "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*|(?:const|let|var)\s+(?=[\w$]+\s*=\s*(?:async\s*)?(?:function\b|\()))([A-Za-z_$][\w$]*)\s*(?:=\s*(?:async\s*)?(?:function)?\s*)?\(([^)]*)\)?.*$",
     "go": r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)?.*$",
     "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+([A-Za-z_]\w*)[^(]*\(([^)]*)\)?.*$",
@@ -51,11 +51,9 @@ def mask(text: str, lang: str) -> str:
             while end < n and not text.startswith(quote, end) and (len(quote) == 3 or quote == "`" or text[end] != "\n"):
                 end += 2 if text[end] == "\\" else 1
             end = min(n, end)
-            out.append(quote + blank(text[at + len(quote) : end]))
-            at = end
-            if text.startswith(quote, at):
-                out.append(quote)
-                at += len(quote)
+            body, close = text[at + len(quote) : end], quote if text.startswith(quote, end) else ""
+            out += [quote, blank(body), " " * len(close) if "\n" in body else close]  # the end of a literal of several lines isn't code
+            at = end + len(close)
             continue
         else:
             out.append(text[at])
