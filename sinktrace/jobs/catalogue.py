@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
+from sinktrace.jobs import reports
 from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, findings, methods, table
-from sinktrace.operators import candidates, context, graph, indexing, rules, statistics, verdicts, verification
+from sinktrace.operators import candidates, context, explain, graph, indexing, rules, statistics, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
@@ -623,3 +624,29 @@ def normalize_candidates(spark, sf_dir):
     extra = F.concat(F.lit('{"message": " say '), "event_type", F.lit(' ", "severity": "ERROR", "metadata": {"cwe": '), cwe, mode, F.lit("}"), trace, F.lit("}"))
     raw = table(spark, sf_dir, "events").select(e.alias("seq"), F.concat(F.lit("rules.custom.rule"), (F.col("user_id") % 5).cast("string")).alias("check_id"), F.lit("K.java").alias("path"), F.struct((F.col("user_id") % 90).cast("int").alias("line")).alias("start"), F.parse_json(extra).alias("extra"))
     return candidates.normalize(raw).select("seq", "rule_id", "source_file", "source_line", "sink_file", "sink_line", F.array_join("cwe", ",").alias("cwe"), "message", "verification_mode", "is_intraprocedural")
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, others AS (SELECT * FROM edges WHERE caller <> callee), m AS (SELECT p_partkey AS method_id, CASE WHEN p_partkey % 4 = 0 THEN 'main' ELSE 'm' || p_partkey END AS name, p_partkey % 5 = 0 AS overrides FROM part),
+sinks AS (SELECT p_partkey AS sink_id, CASE WHEN p_partkey % 9 > 0 THEN p_partkey END AS method_id FROM part WHERE p_partkey % 3 = 0),
+walk AS (SELECT sink_id, method_id AS node FROM sinks WHERE method_id IS NOT NULL UNION SELECT w.sink_id, o.caller FROM walk w JOIN others o ON o.callee = w.node),
+ends AS (SELECT w.sink_id, m.method_id, m.name, row_number() OVER (PARTITION BY w.sink_id ORDER BY m.method_id) AS place FROM walk w JOIN m ON w.node = m.method_id WHERE w.node NOT IN (SELECT callee FROM others)),
+per AS (SELECT sink_id, count(*) AS n, count(*) FILTER (WHERE name = 'main') AS mains, string_agg(name, ';' ORDER BY place) FILTER (WHERE place <= 4) AS shown FROM ends GROUP BY sink_id),
+files AS (SELECT name, string_agg(file, ',' ORDER BY file) AS files FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file) AS r FROM (SELECT DISTINCT 'm' || (o_orderkey % 3000) AS name, 'f' || (o_orderkey % 7) AS file FROM orders)) WHERE r <= 2 GROUP BY name),
+kinds AS (SELECT s.sink_id, per.*, files.files, CASE WHEN s.method_id IS NULL THEN 'unplaced' WHEN s.method_id NOT IN (SELECT callee FROM others) THEN CASE WHEN m.overrides THEN 'callback' ELSE 'uncalled' END WHEN per.n IS NULL THEN 'internal' WHEN per.mains = per.n THEN 'startup' ELSE 'ends' END AS kind
+  FROM sinks s LEFT JOIN m ON s.method_id = m.method_id LEFT JOIN per ON per.sink_id = s.sink_id LEFT JOIN files ON files.name = m.name)
+SELECT sink_id, kind, CASE WHEN kind IN ('startup', 'ends') THEN shown END AS leaves, CASE WHEN kind IN ('startup', 'ends') THEN greatest(n - 4, 0) END AS more, CASE WHEN kind IN ('callback', 'uncalled') THEN files END AS files FROM kinds""")
+def no_entry_explanation(spark, sf_dir):
+    k, o = F.col("p_partkey"), F.col("o_orderkey")
+    part = table(spark, sf_dir, "part")
+    own = part.select(k.alias("method_id"), F.when(k % 4 == 0, "main").otherwise(F.concat(F.lit("m"), k.cast("string"))).alias("name"), (k % 5 == 0).alias("overrides"))
+    sinks = part.where("p_partkey % 3 = 0").select(k.alias("sink_id"), F.when(k % 9 > 0, k).alias("method_id"))
+    literals = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), (o % 3000).cast("string")).alias("literal"), F.concat(F.lit("f"), (o % 7).cast("string")).alias("file"))
+    return explain.no_entry(sinks, own, edges(spark, sf_dir), literals)
+
+
+@query(f"""{_WORST_SQL}, labelled AS (SELECT *, coalesce((SELECT any_value(x) FROM (SELECT nullif(regexp_extract(f.cwe[1], '\\(''([^'']+)''\\)\\s*$', 1), '') AS x FROM findings f WHERE f.seq = g.seq)), (SELECT any_value(f.cwe[1]) FROM findings f WHERE f.seq = g.seq), 'Uncategorized') AS label,
+row_number() OVER (PARTITION BY risk_level ORDER BY sink_file, sink_line, seq) AS number FROM graded g)
+SELECT seq, CAST(CASE risk_level WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS BIGINT) AS level, md5('### ' || risk_level || '-' || number || ' ' || label || chr(10) || chr(10) || '- place: `.../' || split_part(sink_file, '/', 2) || '/' || split_part(sink_file, '/', 3) || ':' || sink_line || '`' || chr(10) || '- verdict: ' || verdict || chr(10) || '- score: ' || printf('%.1f', score)) AS entry FROM labelled""")
+def md_report(spark, sf_dir):
+    rows = _graded(spark, sf_dir).withColumn("label", text.vulnerability_label(F.col("cwe")))
+    return reports.markdown_entries(rows).select("seq", "level", F.md5("entry").alias("entry"))
