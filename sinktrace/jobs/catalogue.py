@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sinktrace.functions import cvss, text
 from sinktrace.jobs import reports
 from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, findings, methods, table
-from sinktrace.operators import candidates, context, explain, graph, indexing, rules, statistics, verdicts, verification
+from sinktrace.operators import candidates, context, explain, graph, indexing, rules, statistics, validators, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
@@ -650,3 +650,23 @@ SELECT seq, CAST(CASE risk_level WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN
 def md_report(spark, sf_dir):
     rows = _graded(spark, sf_dir).withColumn("label", text.vulnerability_label(F.col("cwe")))
     return reports.markdown_entries(rows).select("seq", "level", F.md5("entry").alias("entry"))
+
+
+@query("""WITH RECURSIVE inc AS (SELECT DISTINCT c_custkey AS path, c_custkey // 2 AS included FROM customer WHERE c_custkey % 3 = 0), macros AS (SELECT DISTINCT s_suppkey AS path, 'm' || (s_suppkey % 8) AS name FROM supplier),
+reach AS (SELECT path, included FROM inc UNION SELECT r.path, i.included FROM reach r JOIN inc i ON r.included = i.path), hidden AS (SELECT path, name FROM macros UNION SELECT r.path, m.name FROM reach r JOIN macros m ON r.included = m.path)
+SELECT o_orderkey, o_custkey AS path, 'm' || (o_orderkey % 8) AS callee FROM orders o WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.path = o.o_custkey AND h.name = 'm' || (o.o_orderkey % 8))""")
+def include_macros(spark, sf_dir):
+    c, m = F.col("c_custkey"), lambda k: F.concat(F.lit("m"), (F.col(k) % 8).cast("string"))
+    includes = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(c.alias("path"), F.floor(c / 2).alias("included")).distinct()
+    macros = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), m("s_suppkey").alias("name")).distinct()
+    return graph.without_macro_calls(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("path"), m("o_orderkey").alias("callee")), includes, macros)
+
+
+@query("""SELECT l_orderkey, l_linenumber, count(*) AS n, CASE WHEN l_partkey % 4 = 0 THEN 'safe' WHEN l_partkey % 4 = 1 THEN 'unknown' WHEN l_partkey % 60 > l_quantity THEN 'overflow' ELSE 'safe' END AS bounds FROM lineitem GROUP BY ALL""")
+def copy_bounds(spark, sf_dir):
+    k = F.col("l_partkey")
+    room, n = F.col("l_quantity").cast("int").cast("string"), (k % 60).cast("string")
+    text_ = F.concat(F.lit("char buf["), room, F.lit("];"))
+    call = F.when(k % 4 == 0, "memcpy(buf, src, sizeof(buf) - 1)").when(k % 4 == 1, "memcpy(buf, src, len)").otherwise(F.concat(F.lit("std::memcpy(buf, f(src), "), n, F.lit("u)")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", validators.copy_bounds(call, text_).alias("bounds"))
+    return rows.groupBy("l_orderkey", "l_linenumber", "bounds").agg(F.count(F.lit(1)).alias("n"))

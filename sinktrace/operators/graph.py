@@ -163,3 +163,14 @@ def callback_edges(methods: DataFrame, calls: DataFrame) -> DataFrame:
     invoked = parameters.join(calls.select(F.col("caller_id").alias("method_id"), F.col("callee").alias("parameter")).distinct(), ["method_id", "parameter"], "left_semi")
     passed = calls.select(F.col("callee").alias("name"), F.posexplode("symbols").alias("position", "symbol")).where("symbol <> ''")
     return invoked.join(passed, ["name", "position"]).select(F.col("method_id").alias("caller_id"), F.col("symbol").alias("callee")).distinct()
+
+
+def without_macro_calls(calls: DataFrame, includes: DataFrame, macros: DataFrame) -> DataFrame:
+    """Calls (path, callee) but those whose name is a macro of the file or of one that it includes, however far.
+
+    includes: path, included; macros: path, name. Files that include one another are no trouble.
+    """
+    own = macros.select("path", F.col("name").alias("callee"))
+    reach = closure(includes.select(F.col("path").alias("type"), F.col("included").alias("parent")))
+    far = reach.join(own.withColumnRenamed("path", "ancestor"), "ancestor").select(F.col("type").alias("path"), "callee")
+    return calls.join(own.unionByName(far).distinct(), ["path", "callee"], "left_anti")

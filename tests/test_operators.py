@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
-from sinktrace.operators import candidates, context, graph, indexing, rules, verification
+from sinktrace.operators import candidates, context, graph, indexing, rules, validators, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events
 
@@ -142,3 +142,24 @@ def test_lines_of_a_stream_are_put_together(spark, tmp_path):
     expected = {(1, 0, "abc"), (1, 1, "d"), (2, 0, "x")}
     assert {tuple(r) for r in spark.sql("SELECT scan_id, line_no, text FROM whole_lines").collect()} == expected
     assert {tuple(r) for r in events.assembled_lines(spark.createDataFrame(writes, schema)).collect()} == expected
+
+
+def test_validators_of_cpp_candidates(spark):
+    rows = [
+        ("memcpy(b, s, 9)", "char b[8];", "overflow"), ("memcpy(b, s, 8)", "char b[8];", "safe"), ("memcpy(b, s, n)", "char b[8];", "unknown"), ("memcpy(b, s, 0x10)", "std::array<char, 020> b;", "safe"),
+        ("memcpy(b, s, sizeof(b))", "", "safe"), ("memcpy(p->b, s, 4)", "", "unknown"),
+    ]
+    frame = spark.createDataFrame(rows, "c string, t string, e string")
+    assert all(r.e == r.x for r in frame.withColumn("x", validators.copy_bounds(F.col("c"), F.col("t"))).collect())
+    calls = [('chmod(p, 0666)', True), ('chmod(p, 0750)', False), ("mktemp(n)", True), ('fopen("/tmp/x", "w")', True), ('fopen("/tmp/x", "r")', False), ('fopen(p, "w")', False), ("open(p, O_CREAT, 0622)", True)]
+    frame = spark.createDataFrame(calls, "c string, e boolean")
+    assert all(r.e == r.x for r in frame.withColumn("x", validators.dangerous_file_operation(F.col("c"))).collect())
+    names = [("strcpy(a, b)", "char* strcpy(char* a, const char* b) {", False), ("std::strcpy(a, b)", "#define strcpy x", True), ("strcpy(a, b)", "void f() {\n  return strcpy(a, b);\n}", True)]
+    frame = spark.createDataFrame(names, "c string, t string, e boolean")
+    assert all(r.e == r.x for r in frame.withColumn("x", validators.standard_call(F.col("c"), F.col("t"), F.lit("strcpy"))).collect())
+    secrets = [('auto password = "x";', "", True), ("apiKey = k;", 'const char* k = "v";', True), ("token = read();", "", False)]
+    frame = spark.createDataFrame(secrets, "c string, t string, e boolean")
+    assert all(r.e == r.x for r in frame.withColumn("x", validators.secret_assignment(F.col("c"), F.col("t"))).collect())
+    uses = [("p->x", "p = nullptr;", True), ("*p", "p = nullptr; p = q;", False), ("p->x", "p = nullptr; if (!p) { return; }", False)]
+    frame = spark.createDataFrame(uses, "c string, t string, e boolean")
+    assert all(r.e == r.x for r in frame.withColumn("x", validators.null_dereference(F.col("c"), F.col("t"))).collect())
