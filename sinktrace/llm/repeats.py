@@ -196,13 +196,17 @@ def group_repeats(rows: DataFrame, window: int, group_limit: int) -> DataFrame:
 
     spark = rows.sparkSession
     n = partitions(spark)
-    large = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit)
-    marked = materialise(rows.join(large, "code", "left"), "repeats-contexts")
-    small = marked.where("n is null").select("code", "k", "id", "start", "before", "words").repartition(n, "code").sortWithinPartitions("code")
+    rows = materialise(rows, "repeats-contexts")
+    large = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("code")
+    large = materialise(large, "repeats-large")
+    some = not large.isEmpty()
+    small = (rows.join(large, "code", "left_anti") if some else rows).repartition(n, "code").sortWithinPartitions("code")
     found = small.mapInArrow(trees, "k long, id long, lo int, hi int")
+    if not some:
+        return found
     # Longer prefixes for the large groups: one for each window, of all its words.
     text = F.split(F.decode("words", "UTF-8"), " ")
-    whole = marked.where("n is not null").select("k", "id", "start", text.alias("w")).select("k", "id", "start", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("j"))
+    whole = rows.join(large, "code", "left_semi").select("k", "id", "start", text.alias("w")).select("k", "id", "start", "w", F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("j"))
     whole = whole.select("k", "id", (F.col("start") + F.col("j")).alias("start"), F.sha2(F.concat_ws(" ", F.slice("w", F.col("j") + 1, window)), 256).alias("p"))
     low = whole.groupBy("p").agg(F.min(F.struct("k", "start")).alias("first"))
     later = whole.join(low, "p").where(F.struct("k", "start") > F.col("first"))
