@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sinktrace.functions import cvss, text
 from sinktrace.jobs import reports
 from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, findings, methods, table
-from sinktrace.operators import candidates, context, explain, graph, indexing, rules, statistics, validators, verdicts, verification
+from sinktrace.operators import candidates, context, entries, explain, graph, indexing, rules, statistics, validators, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
@@ -670,3 +670,14 @@ def copy_bounds(spark, sf_dir):
     call = F.when(k % 4 == 0, "memcpy(buf, src, sizeof(buf) - 1)").when(k % 4 == 1, "memcpy(buf, src, len)").otherwise(F.concat(F.lit("std::memcpy(buf, f(src), "), n, F.lit("u)")))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", validators.copy_bounds(call, text_).alias("bounds"))
     return rows.groupBy("l_orderkey", "l_linenumber", "bounds").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'request mapping' WHEN 1 THEN 'request type' ELSE 'message or schedule' END AS reason, p_partkey % 4 <> 1 AS definitive FROM part WHERE p_partkey % 4 < 3""")
+def entry_points(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    above = F.when(k == 0, "  @GetMapping(\"/x\")\n  @Other").when(k == 2, "  @KafkaListener(topics = \"t\")").otherwise("  // none")
+    signature = F.when(k == 1, "  public void run(HttpServletRequest r) {").otherwise("  public void run(int r) {")
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.lit("java").alias("lang"), F.concat(F.lit("class A {\n"), above, F.lit("\n"), signature, F.lit("\n  }\n}\n")).alias("text"))
+    lines = context.lines_of(files, "lang")
+    found = entries.entry_points(indexing.methods_of(lines), lines, entries.mark_table(spark))
+    return found.select(F.col("path").cast("long").alias("p_partkey"), "reason", "definitive")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
+from sinktrace.jobs import scan
 from sinktrace.operators import candidates, context, graph, indexing, rules, validators, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events
@@ -163,3 +164,19 @@ def test_validators_of_cpp_candidates(spark):
     uses = [("p->x", "p = nullptr;", True), ("*p", "p = nullptr; p = q;", False), ("p->x", "p = nullptr; if (!p) { return; }", False)]
     frame = spark.createDataFrame(uses, "c string, t string, e boolean")
     assert all(r.e == r.x for r in frame.withColumn("x", validators.null_dereference(F.col("c"), F.col("t"))).collect())
+
+
+def test_a_scan_finds_the_chain_across_files(spark):
+    sources = [
+        ("web/app.py", "python", "@app.route('/login')\ndef login(name):\n    return check(name)\n"),
+        ("svc/db.py", "python", "def check(name):\n    x = 1\n    cur.execute('select ' + name)\n"),
+        ("svc/job.py", "python", "def nightly(n):\n    cur.execute(f'select {n}')\n"),
+        ("target/gen.py", "python", "def f(n):\n    cur.execute(f'select {n}')\n"),
+    ]
+    frame = spark.createDataFrame(sources, "path string, lang string, text string")
+    ask = lambda p: '{"reachable": "%s", "confidence": 90, "reasoning": "r"}' % ("no" if "no entry point" in p else "yes")
+    found, halted = scan.scan(spark, frame, ask, "stub", spark.createDataFrame([], "key string, reply string"))
+    rows = {r.sink_file: r for r in found.collect()}
+    assert not halted and set(rows) == {"svc/db.py", "svc/job.py"}
+    assert (rows["svc/db.py"].verdict, rows["svc/db.py"].risk_level, rows["svc/db.py"].hops) == ("yes", "critical", 1) and "web/app.py#login" in rows["svc/db.py"].chains
+    assert (rows["svc/job.py"].verdict, rows["svc/job.py"].risk_level) == ("no", "low")
