@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sinktrace.llm.chunks import ChunkCache
 from sinktrace.llm.columns import without
+from sinktrace.storage import spread
 
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
 
@@ -140,5 +141,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of documents: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

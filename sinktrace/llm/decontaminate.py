@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
+from sinktrace.storage import spread
 
 Q, EDIT_RATE = 12, 0.05
 _MULTIPLIER, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
@@ -241,5 +242,5 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: f
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in documents: doc_id, item_id, distance (edits), start and end (characters of the text)."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    found = with_matches(docs, benchmark, keep=("doc_id",))
+    found = with_matches(spread(docs), benchmark, keep=("doc_id",))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
+from sinktrace.storage import spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "account", "url")
@@ -163,4 +164,4 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text of documents."""
-    return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return annotate(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

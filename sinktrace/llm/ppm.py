@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
-from sinktrace.storage import materialise
+from sinktrace.storage import materialise, spread
 
 SYMBOL_BITS, END, PAD, SYMBOLS = 9, 256, 257, 257
 _CUT = 1 << 20
@@ -294,5 +294,5 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_
 def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every text of documents, learned from those whose crc32 of doc_id is not 2 modulo 7."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out.alias("held_out"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", held_out.alias("held_out"))
     return score(docs, docs.where("not held_out"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
-from sinktrace.storage import materialise
+from sinktrace.storage import materialise, spread
 
 FEATURES = (
     "log_words", "word_length", "upper", "digit", "symbol", "bar", "bang", "stop", "space", "distinct",
@@ -220,6 +220,6 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFr
 def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text of documents: doc_id, held_out, score, predicted."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    marked = materialise(with_features(docs), "quality-features")
+    marked = materialise(with_features(spread(docs)), "quality-features")
     scored = score(marked, train(marked, training_labels(labels)))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

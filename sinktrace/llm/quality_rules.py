@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
 from sinktrace.llm.words import mixed, window_codes, word_codes
+from sinktrace.storage import spread
 
 BUCKET_BITS = 16
 MIN_LLR = -0.13
@@ -112,4 +113,4 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     # Labels grow with the corpus: at any size both sides are dealt out by doc_id, and the texts move once.
     marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return judge(docs, ratios(ngram_counts(marked)))
+    return judge(spread(docs), ratios(ngram_counts(marked)))

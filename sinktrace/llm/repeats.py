@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.words import mixed, window_codes, word_codes
-from sinktrace.storage import materialise, partitions
+from sinktrace.storage import materialise, partitions, spread
 
 NO_DOC = -(2**63)  # stands for a null doc_id
 WINDOW, PREFIX = 20, 6
@@ -269,7 +269,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of documents: doc_id, n_words, n_removed, kept_sha256."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
-from sinktrace.storage import materialise, partitions
+from sinktrace.storage import materialise, partitions, spread
 
 BITS = 64
 
@@ -251,5 +251,5 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words:
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: doc_id, fingerprint, component_id."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

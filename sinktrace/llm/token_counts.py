@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
+from sinktrace.storage import spread
 
 MARK = "▁"
 _BLOCK = 1_000  # documents whose words are put into one trie
@@ -127,4 +128,4 @@ def op7_token_counts(spark: SparkSession, sf_dir: str, model_path: str | None =
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), model_path)
+    return count_tokens(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), model_path)
