@@ -213,7 +213,7 @@ def group_repeats(rows: DataFrame, window: int, group_limit: int) -> DataFrame:
     return found.unionByName(later.select("k", "id", F.col("start").cast("int").alias("lo"), F.col("start").cast("int").alias("hi")))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = 20_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = 2_000, with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_sha256, removed (ranges of words), and kept_text if asked for."""
     n = partitions(docs.sparkSession)
     keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("k"), docs["text"].cast("string").alias("text"))
