@@ -98,11 +98,10 @@ def copy_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", candidates.fingerprint(F.col("text")).alias("print"))
 
 
-@query("""WITH c AS (SELECT doc_id AS seq, md5(text) AS source_print, CAST(doc_id % 1 AS INT) AS source_line, md5(text) AS sink_print, 1 AS sink_line, 'r1,r2' AS rules, 'f' || doc_id AS sink_file FROM documents)
-SELECT min(seq) AS seq, arg_min(sink_file, seq) AS sink_file, array_to_string(list(sink_file ORDER BY seq)[2:], ',') AS copies FROM c GROUP BY source_print, source_line, sink_print, sink_line, rules""")
+@query("""SELECT doc_id AS seq, 'f' || doc_id AS sink_file, min(doc_id) OVER (PARTITION BY md5(text)) AS first_seq FROM documents""")
 def dedup_copies(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.md5("text").alias("source_print"), F.lit(0).alias("source_line"), F.md5("text").alias("sink_print"), F.lit(1).alias("sink_line"), F.array(F.lit("r2"), F.lit("r1")).alias("rule_ids"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("sink_file"))
-    return candidates.dedup_copies(rows).select("seq", "sink_file", F.array_join("duplicate_locations", ",").alias("copies"))
+    return candidates.dedup_copies(rows)
 
 
 @query(f"""WITH {FINDINGS_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE verdict = 'yes') AS reachable, count(*) FILTER (WHERE verdict = 'uncertain') AS uncertain, count(*) FILTER (WHERE verdict = 'no') AS not_reachable,

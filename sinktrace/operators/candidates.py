@@ -93,8 +93,12 @@ def fingerprint(text: Column) -> Column:
 
 
 def dedup_copies(candidates: DataFrame) -> DataFrame:
-    """Of candidates in copies of a file (same fingerprints, lines and rules) the first; the other places in order."""
+    """Each candidate with ``first_seq``, the first of those in copies of its file (same fingerprints, lines and rules).
+
+    Those with first_seq = seq stay; the others' sink_file values are the places of the copies. The result is a long table,
+    so that a group of copies of any size never meets in one row.
+    """
     keys = ["source_print", "source_line", "sink_print", "sink_line", "rules"]
     keyed = candidates.withColumn("rules", F.array_join(F.array_sort("rule_ids"), ","))
-    grouped = keyed.groupBy(*keys).agg(F.min("seq").alias("seq"), in_order("seq", "sink_file").alias("files"))
-    return grouped.select("seq", *keys, F.element_at("files", 1).alias("sink_file"), F.slice("files", F.lit(2), F.size("files")).alias("duplicate_locations"))
+    first = keyed.groupBy(*keys).agg(F.min("seq").alias("first_seq"))
+    return keyed.join(first, keys).select("seq", "sink_file", "first_seq")

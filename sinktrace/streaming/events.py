@@ -12,9 +12,9 @@ RUNNING = ("queued", "ingesting", "scanning", "indexing", "verifying", "translat
 
 def log_since(log: DataFrame, after: int, scan: Column | None = None) -> DataFrame:
     """Entries newer than a cursor, of one scan if asked for, with the log's highest seq."""
-    high = log.agg(F.max("seq").alias("latest"))
+    latest = log.agg(F.max("seq")).first()[0]  # one number
     rows = log.where(F.col("seq") > after)
-    return (rows if scan is None else rows.where(scan)).join(F.broadcast(high))  # one row
+    return (rows if scan is None else rows.where(scan)).withColumn("latest", F.lit(latest))
 
 
 def ring(log: DataFrame, size: int = 2000) -> DataFrame:
