@@ -14,7 +14,7 @@ def log_since(log: DataFrame, after: int, scan: Column | None = None) -> DataFra
     """Entries newer than a cursor, of one scan if asked for, with the log's highest seq."""
     latest = log.agg(F.max("seq")).first()[0]  # one number
     rows = log.where(F.col("seq") > after)
-    return (rows if scan is None else rows.where(scan)).withColumn("latest", F.lit(latest))
+    return (rows if scan is None else rows.where(scan)).withColumn("latest", F.lit(latest).cast("long"))
 
 
 def ring(log: DataFrame, size: int = 2000) -> DataFrame:
