@@ -11,9 +11,8 @@ import re
 from collections.abc import Callable
 
 # White space in any of the regular-expression engines concerned.
-_WIDE = r"\s᠎​﻿"
-_ADJACENT = re.compile(f"[{_WIDE}][{_WIDE}]")
-_ENDS_OPEN = re.compile(rf"[{_WIDE}]\Z")
+_NARROW = "᠎​﻿"
+_WIDE = rf"\s{_NARROW}"
 _SAFE = re.compile(rf"(?<=[^{_WIDE}])(?=[ \n])")
 
 
@@ -22,9 +21,9 @@ def chunks(text: str) -> list[str]:
     return _SAFE.split(text) if text else []
 
 
-def joinable(chunk: str) -> bool:
-    """Whether a chunk begins and ends so that it may stand between others without a pre-token growing over its bounds."""
-    return chunk[0] in " \n" and not _ENDS_OPEN.search(chunk)
+def ends_open(chunk: str) -> bool:
+    """Whether a chunk ends in white space, so that a pre-token may go on after it."""
+    return chunk[-1].isspace() or chunk[-1] in _NARROW
 
 
 class ChunkCache:
@@ -40,8 +39,15 @@ class ChunkCache:
         self.raw: tuple[dict[str, bytes], ...] = tuple({} for _ in range(width))
 
     def _fill(self, held: tuple[dict[str, bytes], ...], keys: list[str], prefix: str) -> None:
-        made = self.make([k if prefix and k[:1] == "\n" else prefix + k for k in keys])
-        for d, values in zip(held, zip(*made, strict=True), strict=True):
+        if prefix:
+            # A part that is empty, a bare newline, or open at its end is no chunk: 0 stands for it, which cannot be joined.
+            bad = [k for k in keys if k in ("", "\n") or ends_open(k)]
+            if bad:
+                for d in held:
+                    d.update(dict.fromkeys(bad, 0))
+                keys = [k for k in keys if k not in held[0]]
+        made = self.make([k if prefix and k[0] == "\n" else prefix + k for k in keys])
+        for d, values in zip(held, zip(*made, strict=True), strict=False):
             d.update(zip(keys, values, strict=True))
 
     def _get(self, held: tuple[dict[str, bytes], ...], parts: list[str], prefix: str) -> list[bytes]:
@@ -60,12 +66,14 @@ class ChunkCache:
         """The outputs for a text: those of its chunks, joined."""
         if not text:
             return [b""] * self.width
-        if _ADJACENT.search(text):
-            return self._get(self.raw, chunks(text), "")
-        # No white space side by side: each space or newline begins a chunk of its own.
+        # Where no white space is side by side, each space or newline begins a chunk of its own.
         first, *rest = text.replace("\n", " \n").split(" ")
-        a = self._get(self.raw, [first], "") if first else [b""] * self.width
-        if not rest:
-            return a
-        b = self._get(self.spaced, rest, " ")
-        return [x + y for x, y in zip(a, b, strict=True)]
+        try:
+            if first and ends_open(first):
+                raise TypeError
+            a = self._get(self.raw, [first], "") if first else [b""] * self.width
+            if not rest:
+                return a
+            return [x + y for x, y in zip(a, self._get(self.spaced, rest, " "), strict=True)]
+        except TypeError:
+            return self._get(self.raw, chunks(text), "")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sinktrace.llm.chunks import ChunkCache, joinable
+from sinktrace.llm.chunks import ChunkCache, ends_open
 from sinktrace.storage import materialise, partitions, scratch
 
 NO_DOC = -(2**63)  # stands for a null doc_id in a docs file
@@ -42,17 +42,21 @@ def library_encoder(path: str, dtype: str) -> ChunkCache:
         for piece, i in vocab.items():
             width[i] = len(piece)  # one character of a byte-level piece is one byte
 
+        def joined(chunks: list[str]) -> list[tuple[bytes, ...]]:
+            """Encode as one long text, and cut its ids where the chunks end."""
+            ids = np.array(tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
+            raw, size = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+            bounds = [0, *(cuts * size).tolist()]
+            return [(raw[a:b],) for a, b in zip(bounds, bounds[1:], strict=False)]
+
         def make(chunks: list[str]) -> list[tuple[bytes, ...]]:
-            # Most chunks are encoded as one long text, and its ids cut where the chunks end; the others alone.
-            within = [c for c in chunks if joinable(c)]
-            alone = [c for c in chunks if not joinable(c)]
-            first, *rest = (np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(["".join(within), *alone], add_special_tokens=False))
-            cuts = np.searchsorted(np.cumsum(width[first]), np.cumsum([len(c.encode()) for c in within])) + 1 if within else []
-            raw, size = first.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-            bounds = [0, *(int(c) * size for c in cuts)]
-            found = dict(zip(within, (raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)), strict=True))
-            found.update(zip(alone, (ids.astype(dtype).tobytes() for ids in rest), strict=True))
-            return [(found[c],) for c in chunks]
+            alone = {c for c in chunks if c[0] not in " \n" or ends_open(c)}  # may not stand between others
+            if not alone:
+                return joined(chunks) if chunks else []
+            within = [c for c in chunks if c not in alone]
+            found = dict(zip(within, joined(within), strict=True)) if within else {}
+            return [found[c] if c in found else joined([c])[0] for c in chunks]
 
         _CACHES[key] = ChunkCache(make, limit=700_000)
     return _CACHES[key]
