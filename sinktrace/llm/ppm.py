@@ -10,7 +10,8 @@ exclusions of a fixed trie can be summed in advance, so whole texts are scored i
 The trie is broadcast in blocks of at most ``max_entries`` pairs, by the last two bytes of the context:
 all contexts that a position can fall back to lie in its block, except those of depth 0 and 1, of which
 there are at most 66,000 and which go with every block. A corpus whose trie fits has one block and one
-scan; a larger one has a scan for each block, and the parts are summed.
+scan; a larger one has a scan for each block over documents written once with their row numbers, and the
+parts are summed.
 
 The base score gives each token log10((c + 1) / (N + V + 1)). The most frequent words, ``head`` in
 number, are broadcast; the others meet their counts in a join on the word, so no hot key is shuffled.
@@ -248,7 +249,9 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_
     shallow = contexts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 2 * SYMBOL_BITS) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     n_blocks = max(1, -(-contexts.count() // max_entries))
     keep = without(docs.columns, "text", "n_tokens", "n_known", "train_tokens", "base_score", "score", "head_known", "head_base", "tail", "more", "tail_known", "tail_base", "__row")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.select(*keep, F.col("text").cast("string").alias("text")).withColumn("__row", F.monotonically_increasing_id())
+    if n_blocks > 1:  # the blocks are jobs of their own and must agree on what a number means
+        rows = materialise(rows, "ppm-rows")
     held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
     arrays = lambda t: (t.column("key").to_numpy().astype(np.uint64), t.column("n").to_numpy())
 
@@ -277,7 +280,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_
 
         kept = [*keep, "__row"] if block == 0 else ["__row"]
         tail = ", n_tokens long, head_known long, head_base double, tail array<struct<word: binary, k: bigint>>" if block == 0 else ""
-        return rows.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(run, (held if block == 0 else "") + "__row long, score double" + tail)
+        return rows.select(*kept, "text").mapInArrow(run, (held if block == 0 else "") + "__row long, score double" + tail)
 
     first = materialise(marked(0), "ppm-scores")
     for block in range(1, n_blocks):

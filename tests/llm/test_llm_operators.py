@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sinktrace.llm import byte_bpe, decontaminate, pii, ppm, quality_model, quality_rules, repeats, simhash, token_counts, token_files
-from sinktrace.storage import scratch
+from sinktrace.storage import scratch, spread
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -283,6 +283,16 @@ def test_ppm_scores(docs, clashing, empty, rows, order, max_entries):
         assert ppm.score(docs.where("doc_id = 5"), docs.where("doc_id < 0"), order).first().n_known == 0
 
 
+def test_ppm_blocks_of_a_table_of_one_file_are_of_the_same_documents(spark, tmp_path):
+    r = random.Random(9)
+    texts = [(i, "".join(r.choice("abcd ") for _ in range(r.randrange(5, 120)))) for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spread(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    score = plain_ppm([t for _, t in texts], 2)
+    found = {x.doc_id: x.score for x in ppm.score(table, table, 2, max_entries=60).collect()}
+    assert len(found) == 300 and all(math.isclose(found[i], score(t), abs_tol=1e-6) for i, t in texts)
+
+
 def test_ppm_is_a_distribution():
     text = b"abracadabra abracadabra"
     keys, n = np.unique(np.concatenate(list(ppm.keys_of(text, 3))), return_counts=True)
