@@ -55,6 +55,30 @@ def test_each_stage_takes_effect(spark, folder):
     assert {(r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect()} == {(r.doc_id, r.ids_sha256) for r in kept["byte_bpe"].values()}
 
 
+def test_near_copies_are_those_of_the_similarity(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(r.randrange(2, 9)))
+    line = [word() for _ in range(40)]  # in many documents
+    texts = [[], ["one"], ["one", "two"], ["one", "two"]]
+    for i in range(40):
+        words = [word() for _ in range(r.randrange(30, 200))] + (line if i % 2 else [])
+        texts.append(words)
+        for _ in range(r.randrange(4)):
+            words = list(words)
+            for _ in range(r.randrange(1, 6)):
+                words[r.randrange(len(words))] = word()
+            texts.append(words)
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    label = list(range(len(texts)))
+    links = [(a, b) for b in label for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = {x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == set(label) and 20 < len(texts) - len(kept)
+
+
 def test_quality_stage_is_the_model_on_every_row(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     marked = quality_model.with_features(docs)
