@@ -36,7 +36,6 @@ def library_encoder(path: str, dtype: str) -> ChunkCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         vocab = tokenizer.get_vocab()
         width = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():

@@ -110,6 +110,17 @@ def test_token_files_hold_all_ids_in_order(spark, docs, rows, clashing, empty):
     assert by_id(token_files.read_token_files(wide, token_files.crc, "ids_crc32 long", "<u4"), "start", "n_tokens", "ids_crc32") == sorted(expected, key=str)
 
 
+def test_token_files_take_special_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    _, _, path = ranks_and_pattern()
+    file = path("byte_bpe_50k.json")
+    library, encode = Tokenizer.from_file(file), token_files.library_encoder(file, "<u2")
+    special = "<|endoftext|>"
+    for text in [f"a{special}b", special, f"one  {special} two\n{special}\n\n three", f"a \n {special}{special}  b", f"x{special} ", f" {special[:5]} {special[5:]} é{special}日本"]:
+        assert np.frombuffer(encode(text)[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def plain_spans(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for kind, pattern in patterns.items():
