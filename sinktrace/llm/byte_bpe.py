@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sinktrace.llm.chunks import ChunkCache
+from sinktrace.llm.chunks import ChunkCache, check_pattern
 from sinktrace.llm.columns import without
 from sinktrace.storage import spread
 
@@ -114,7 +114,9 @@ class ByteBpe:
 
 def _cache(path: str, pattern: str) -> ChunkCache:
     if (path, pattern) not in _CACHES:
-        _CACHES[path, pattern] = ChunkCache(ByteBpe(read_ranks(path), pattern).digests, 2, limit=400_000)
+        bpe = ByteBpe(read_ranks(path), pattern)
+        check_pattern(bpe.pattern.findall)
+        _CACHES[path, pattern] = ChunkCache(bpe.digests, (1, 1), limit=800_000)
     return _CACHES[path, pattern]
 
 
@@ -126,9 +128,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[st
         cache = _cache(ranks_path, pattern)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for text in batch.column("__text").to_pylist():
-                decimal, raw = cache(text or "")
-                n.append(decimal.count(b" "))
+            for decimal, raw in cache.many(batch.column("__text").to_pylist()):
+                n.append(bytes(decimal).count(b" "))
                 ids.append(hashlib.sha256(decimal[1:]).hexdigest())
                 decoded.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])

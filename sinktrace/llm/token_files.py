@@ -1,6 +1,6 @@
 """Token ids of a corpus as flat unsigned-integer files with 64-bit document offsets.
 
-The corpus is dealt out by ranges of doc_id. Each task encodes its documents in order and writes
+The corpus is dealt out by ranges of doc_id, and within one doc_id by how its texts begin. Each task encodes its documents in order and writes
 three flat files: ``ids`` (unsigned 16 or 32 bits, little-endian), ``offsets`` (64 bits, one more than
 documents) and ``docs`` (64-bit doc ids). A manifest has one row for each partition; the bases of the
 partitions are prefix sums over it. Readers map the files into memory.
@@ -8,12 +8,15 @@ partitions are prefix sums over it. Readers map the files into memory.
 A task that runs again, because an executor was lost, writes files of its own; only those that the
 committed manifest names are ever read.
 
+Ids that do not fit the type of the files raise an error.
+
 Defined cases: a null or empty text has no ids but the end id; a null doc_id sorts first and is kept;
 rows with equal doc_id are ordered by text; an empty table gives an empty manifest.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,35 +32,43 @@ NO_DOC = -(2**63)  # stands for a null doc_id in a docs file
 _CACHES: dict[str, ChunkCache] = {}
 
 
+def token_type(path: str) -> str:
+    """The narrowest unsigned type, of 16 or 32 bits, for the ids of a tokenizer file."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab(True).values()) < 1 << 16 else "<u4"
+
+
 def library_encoder(path: str, dtype: str) -> ChunkCache:
     """An encoder of whole texts by a byte-level tokenizer file; kept for the life of a Python worker."""
     key = f"{path}:{dtype}"
     if key not in _CACHES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        vocab = tokenizer.get_vocab()
+        vocab = tokenizer.get_vocab(True)
+        if max(vocab.values()) > np.iinfo(dtype).max:
+            raise ValueError(f"ids of up to {max(vocab.values())} do not fit {dtype}")
         width = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, i in vocab.items():
             width[i] = len(piece)  # one character of a byte-level piece is one byte
 
-        def joined(chunks: list[str]) -> list[tuple[bytes, ...]]:
-            """Encode as one long text, and cut its ids where the chunks end."""
-            ids = np.array(tokenizer.encode_batch_fast(["".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(c.encode()) for c in chunks])) + 1
-            raw, size = ids.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-            bounds = [0, *(cuts * size).tolist()]
-            return [(raw[a:b],) for a, b in zip(bounds, bounds[1:], strict=False)]
+        def ids(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
         def make(chunks: list[str]) -> list[tuple[bytes, ...]]:
-            alone = {c for c in chunks if c[0] not in " \n" or ends_open(c)}  # may not stand between others
-            if not alone:
-                return joined(chunks) if chunks else []
-            within = [c for c in chunks if c not in alone]
-            found = dict(zip(within, joined(within), strict=True)) if within else {}
-            return [found[c] if c in found else joined([c])[0] for c in chunks]
-
-        _CACHES[key] = ChunkCache(make, limit=700_000)
+            # Those that may stand between others are encoded as one long text, whose ids are cut where the chunks end.
+            within = [c[0] in " \n" and not ends_open(c) for c in chunks]
+            line = [c for c, w in zip(chunks, within, strict=True) if w]
+            whole, *alone = ids(["".join(line), *(c for c, w in zip(chunks, within, strict=True) if not w)])
+            cuts = np.searchsorted(np.cumsum(width[whole]), np.cumsum([len(c.encode()) for c in line])) + 1
+            raw, size = whole.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+            bounds = [0, *(cuts * size).tolist()]
+            joined, apart = iter([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), iter(alone)
+            return [(next(joined) if w else next(apart).astype(dtype).tobytes(),) for w in within]
+
+        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=800_000)
     return _CACHES[key]
 
 
@@ -81,11 +92,11 @@ def _mapped(uri: str, dtype: str) -> np.ndarray:
 
 
 def write_token_files(
-    docs: DataFrame, out: str, make_encoder: Callable[[], Callable[[str], list[bytes]]], dtype: str = "<u2", end_id: int = 0, n_parts: int | None = None
+    docs: DataFrame, out: str, make_encoder: Callable[[], ChunkCache], dtype: str = "<u2", end_id: int = 0, n_parts: int | None = None
 ) -> DataFrame:
     """Write the files below ``out``; returns the committed manifest: part, uri, n_docs, n_tokens, base_doc, base_token.
 
-    ``make_encoder`` is called once per task and returns a function from a text to ``[ids as bytes of dtype]``.
+    ``make_encoder`` is called once per task; its ``many`` turns texts into tuples of one value, the ids as bytes of ``dtype``.
     """
     spark = docs.sparkSession
     n = n_parts or partitions(spark)
@@ -96,15 +107,15 @@ def write_token_files(
         task = TaskContext.get()
         uri = f"{out}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
         where, path = _open(out)
-        encode, end = make_encoder(), np.array([end_id], dtype).tobytes()
+        encoder, end = make_encoder(), np.array([end_id], dtype).tobytes()
         size, at, ids_file, lengths, doc_ids = np.dtype(dtype).itemsize, 0, None, [], []
         for batch in batches:
             if ids_file is None:
                 where.create_dir(path, recursive=True)
                 ids_file = where.open_output_stream(_open(f"{uri}.ids")[1])
             blobs = []
-            for text in batch.column("text").to_pylist():
-                blobs += [encode(text or "")[0], end]
+            for (ids,) in encoder.many(batch.column("text").to_pylist()):
+                blobs += [ids, end]
             at += ids_file.write(b"".join(blobs)) // size
             lengths.append(np.array([len(x) for x in blobs], np.int64).reshape(-1, 2).sum(1) // size)
             doc_ids.append(batch.column("doc_id").fill_null(NO_DOC).to_numpy(zero_copy_only=False))
@@ -117,7 +128,7 @@ def write_token_files(
                 f.write(values.astype("<i8").tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "uri": [uri], "n_docs": pa.array([len(counts)], pa.int64()), "n_tokens": pa.array([int(counts.sum())], pa.int64())})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     manifest = materialise(dealt.mapInArrow(write, "part int, uri string, n_docs long, n_tokens long"), "manifest")
     # One row for each partition, of which there are n: the prefix sums are over n rows at most.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,6 +163,6 @@ def op8_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_token_files(docs, scratch(spark, "token-files"), lambda: library_encoder(tokenizer, "<u2"))
-    return read_token_files(manifest, crc, "ids_crc32 long")
+    docs, dtype = spark.read.parquet(f"{sf_dir}/documents.parquet"), token_type(tokenizer)
+    manifest = write_token_files(docs, scratch(spark, "token-files"), lambda: library_encoder(tokenizer, dtype), dtype)
+    return read_token_files(manifest, crc, "ids_crc32 long", dtype)

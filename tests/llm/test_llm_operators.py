@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sinktrace.llm import byte_bpe, decontaminate, pii, ppm, quality_model, quality_rules, repeats, simhash, token_counts, token_files
+from sinktrace.llm import byte_bpe, chunks, decontaminate, pii, ppm, quality_model, quality_rules, repeats, simhash, token_counts, token_files
 from sinktrace.storage import scratch, spread
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,7 +37,8 @@ def sample_texts(n: int = 60, seed: int = 5) -> list[str]:
 def rows():
     texts = sample_texts()
     found = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
-    return [*found, found[-1], (1000, None, None, None, None), (None, texts[8], "en", "s", 1), (1001, "long " * 40_000, "en", "s", 1)]
+    more = [(1000, None, None, None, None), (None, texts[8], "en", "s", 1), (1001, "long " * 40_000, "en", "s", 1), (1002, "an <|endoftext|> inside\n<|endoftext|>", "en", "s", 1)]
+    return [*found, found[-1], *more]
 
 
 @pytest.fixture(scope="module")
@@ -96,7 +97,6 @@ def test_token_files_hold_all_ids_in_order(spark, docs, rows, clashing, empty):
     _, _, path = ranks_and_pattern()
     file = path("byte_bpe_50k.json")
     library = Tokenizer.from_file(file)
-    library.encode_special_tokens = True
     expected, start = [], 0
     for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -121,6 +121,40 @@ def test_token_files_take_special_tokens_as_the_library_does():
         assert np.frombuffer(encode(text)[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_files_have_a_type_that_holds_all_ids(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert token_files.token_type(ranks_and_pattern()[2]("byte_bpe_50k.json")) == "<u2"
+    many = Tokenizer(models.BPE({f"x{i}": i for i in range(70_000)}, []))
+    many.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    many.save(f"{tmp_path}/many.json")
+    assert token_files.token_type(f"{tmp_path}/many.json") == "<u4"
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.library_encoder(f"{tmp_path}/many.json", "<u2")
+
+
+def test_chunks_are_cut_where_pretokens_end():
+    import regex
+
+    _, pattern, _ = ranks_and_pattern()
+    findall = regex.compile(pattern).findall
+    chunks.check_pattern(findall)
+    with pytest.raises(ValueError, match="over the end"):
+        chunks.check_pattern(regex.compile(r"\p{L}+|[^\p{L}]+[\r\n]*").findall)
+    r = random.Random(6)
+    for _ in range(3000):
+        text = "".join(r.choice("ab1.é语🙂’«' \n\t\r\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff\u180e\u202f\u205f") for _ in range(r.randrange(20)))
+        found = chunks.chunks(text)
+        assert "".join(found) == text and [p for c in found for p in findall(c)] == findall(text), text
+
+
+def test_chunk_cache_joins_what_is_made_whatever_it_forgets(rows):
+    cache = chunks.ChunkCache(lambda keys: [(k.encode() * 2, k.encode()[:2] * 4) for k in keys], (1, 4), limit=40)
+    texts = [t for _, t, *_ in rows] + ["a b " * 3, "x" * 9_000_000 + " y", "z é" * 3_000_000]
+    for text, (double, _) in zip(texts, cache.many(texts), strict=True):
+        assert bytes(double) == b"".join(c.encode() * 2 for c in chunks.chunks(text or "")), text
+
+
 def plain_spans(text):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     for kind, pattern in patterns.items():
