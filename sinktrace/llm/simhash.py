@@ -16,6 +16,7 @@ null doc_id is carried, and a component of null ids alone has a null id; repeate
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import without
+from sinktrace.llm.words import mixed
 from sinktrace.storage import materialise, partitions, spread
 
-BITS = 64
+BITS, WIDE = 64, 128
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -95,26 +97,35 @@ def shards(fps: DataFrame, radius: int, limit: int, levels: int = 3) -> DataFram
     return out
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of bits in which fingerprints differ; each row of x and y is one, in 64-bit words."""
+    out = np.bitwise_count(x[:, 0] ^ y[:, 0]).astype(np.int64)
+    for k in range(1, x.shape[1]):
+        out += np.bitwise_count(x[:, k] ^ y[:, k])
+    return out
+
+
 class BkTrees:
     """BK-trees of many shards at once, in arrays: item i is a node; its parent, its distance to it, and its children by distance."""
 
     def __init__(self, values: np.ndarray, shard: np.ndarray):
-        """values: unsigned 64-bit integers, different within a shard; shard: their shards' numbers, ascending."""
+        """values: rows of unsigned 64-bit words, different within a shard; shard: their shards' numbers, ascending."""
         self.values = values
-        n = len(values)
+        n, far = len(values), 64 * values.shape[1] + 1
         self.parent = np.full(n, -1, np.int64)
         self.edge = np.zeros(n, np.int64)
+        self.weight = np.bincount(shard, minlength=1)[shard] if n else np.empty(0, np.int64)  # the size of an item's tree
         items, group = np.arange(n), shard.astype(np.int64)
         while len(items):
             # items of one group are together, the first being the node at which the others part by distance
             first = np.concatenate([[True], group[1:] != group[:-1]])
             heads = items[first][np.cumsum(first) - 1]
             items, heads = items[~first], heads[~first]
-            d = np.bitwise_count(values[items] ^ values[heads]).astype(np.int64)
+            d = distance(values[items], values[heads])
             self.parent[items], self.edge[items] = heads, d
             order = np.lexsort((items, d, heads))
             items = items[order]
-            group = heads[order] * (BITS + 1) + d[order]
+            group = heads[order] * far + d[order]
         self._index_children()
 
     def _index_children(self) -> None:
@@ -126,13 +137,15 @@ class BkTrees:
         bounds = np.searchsorted(self.parent[self.children], np.arange(n + 1))
         self.low, self.high = bounds[:-1], bounds[1:]
 
-    def links(self, roots: np.ndarray, radius: int, merge) -> None:
-        """Search for every item in the tree of its root; ``merge(a, b)`` gets arrays of linked items."""
-        for lo in range(0, len(self.values), 1 << 15):
-            query = np.arange(lo, min(lo + (1 << 15), len(self.values)))
+    def links(self, items: np.ndarray, roots: np.ndarray, radius: int, merge) -> None:
+        """Search for the items in the trees of their roots; ``merge(a, b)`` gets arrays of linked items."""
+        block = np.cumsum(self.weight[items]) >> 21  # so that a block meets some two million nodes at most, or one tree
+        bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(items)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            query = items[lo:hi]
             node = roots[query]
             while len(query):
-                d = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
+                d = distance(self.values[query], self.values[node])
                 near = (d <= radius) & (query != node)
                 merge(query[near], node[near])
                 count = self.high[node] - self.low[node]
@@ -158,8 +171,14 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each item to the smallest one that it reaches in its shard; fps sorted by key."""
+def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int, leaders: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, from each item to the smallest one that it reaches in its shard; rows of fps sorted by key.
+
+    Items within the radius of one of their shard's first few leaders are in its ball and linked to it. Those of the
+    largest ball need no search of their own: what they could find links them to each other, or is found from the
+    other side. So a shard of many copies of one text costs little.
+    """
+    n = len(fps)
     first = np.concatenate([[True], key[1:] != key[:-1]])
     shard = np.cumsum(first) - 1
     roots = np.flatnonzero(first)[shard]
@@ -170,42 +189,57 @@ def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarr
         pairs.append((a, b))
         held[0] += len(a)
         if held[0] > 1 << 20:  # a forest says the same in less room
-            label = forest(len(fps), pairs)
-            pairs[:] = [(np.flatnonzero(label != np.arange(len(fps))), label[label != np.arange(len(fps))])]
+            label = forest(n, pairs)
+            pairs[:] = [(np.flatnonzero(label != np.arange(n)), label[label != np.arange(n)])]
             held[0] = len(pairs[0][0])
 
-    BkTrees(fps.view(np.uint64), shard).links(roots, radius, merge)
-    label = forest(len(fps), pairs)
-    moved = np.flatnonzero(label != np.arange(len(fps)))
-    return fps[moved], fps[label[moved]]
+    ball, left = np.full(n, -1, np.int64), np.arange(n)
+    for _ in range(leaders):
+        group = shard[left]
+        begins = np.concatenate([[True], group[1:] != group[:-1]]) if len(left) else np.empty(0, bool)
+        heads = left[begins][np.cumsum(begins) - 1] if len(left) else left
+        near = distance(fps[left], fps[heads]) <= radius
+        ball[left[near]] = heads[near]
+        far = near & (left != heads)
+        merge(left[far], heads[far])
+        left = left[~near]
+    size = np.bincount(ball[ball >= 0], minlength=n)
+    largest = np.zeros(n, np.int64)
+    np.maximum.at(largest, shard, size)
+    chosen = np.full(n, -1, np.int64)  # by shard: the leader of a largest ball
+    heads = np.flatnonzero((size > 0) & (size == largest[shard]))
+    chosen[shard[heads]] = heads
+    BkTrees(fps, shard).links(np.flatnonzero(ball != chosen[shard]), roots, radius, merge)
+    label = forest(n, pairs)
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
+def whole_shards(batches: Iterator[pa.RecordBatch], key: str, size: int = 50_000) -> Iterator[pa.Table]:
+    """Rows that come sorted by key as tables of some ``size`` rows, none of which ends within a key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= size and held[0].column(key)[0] != batch.column(key)[len(batch) - 1]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            codes = t.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+            lo = int(np.searchsorted(codes, codes[-1]))  # codes ascend in the order of first places
+            yield t.slice(0, lo)
+            held = t.slice(lo).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def fingerprint_edges(fps: DataFrame, radius: int = 3, limit: int = 20_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that give the components of all links at most ``radius`` bits apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Whole shards at a time, some 50,000 rows of them; a shard's last rows may come with the next batch.
-        held: list[pa.RecordBatch] = []
-
-        def work(t: pa.Table) -> pa.RecordBatch:
-            codes = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
-            a, b = shard_edges(t.column("fp").to_numpy(), codes, radius)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= 50_000:
-                t = pa.Table.from_batches(held)
-                keys = t.column("key")
-                last, n = keys[len(t) - 1].as_py(), len(t)
-                lo = n - 1
-                while lo and keys[lo - 1].as_py() == last:
-                    lo -= 1
-                if lo:
-                    yield work(t.slice(0, lo))
-                    held = t.slice(lo).combine_chunks().to_batches()
-        if held:
-            yield work(pa.Table.from_batches(held))
+        for t in whole_shards(batches, "key"):
+            codes, values = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("fp").to_numpy()
+            a, b = shard_edges(values.view(np.uint64).reshape(-1, 1), codes, radius)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(values[a], pa.int64()), "b": pa.array(values[b], pa.int64())})
 
     spark = fps.sparkSession
     dealt = shards(fps, radius, limit).repartition(partitions(spark), "key").sortWithinPartitions("key", "fp")
@@ -249,6 +283,81 @@ def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), words:
     return marked.join(named, "fp").select(*keep, "fp", "component_id")
 
 
+def bit_odds(similarity: float) -> float:
+    """How likely a fingerprint bit differs between two sets of this Jaccard similarity: the angle between them over pi, at most."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(codes: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed words, from the distinct 64-bit codes of a text's shingles; a bit is set if it is set in over half of their hash values."""
+    ones = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(codes), 1 << 14):
+        part = codes[lo : lo + (1 << 14)]
+        hashes = np.stack([mixed(part, 11), mixed(part, 12)], axis=1)
+        ones += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    low, high = np.packbits(2 * ones > len(codes), bitorder="little").view(np.int64).tolist()
+    return low, high
+
+
+def _tables(n: int, similarity: float, recall: float) -> np.ndarray:
+    """Bit places of each table's key, a row for each table.
+
+    A key has so many bits that a shard holds some four of n unlike fingerprints; and so many tables are dealt that two sets of
+    the similarity meet in one of them with the odds ``recall``.
+    """
+    bits = min(40, max(8, n.bit_length() - 2))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - bit_odds(similarity)) ** bits))
+    random = np.random.default_rng(42)
+    return np.stack([random.permutation(WIDE)[:bits] for _ in range(tables)])
+
+
+def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot: int = 2_000) -> DataFrame:
+    """Edges (a, b) between the low words of distinct fingerprints (low, high): candidates for sets of the similarity or more.
+
+    Two fingerprints are linked if they agree in all bits of a table's key and differ in no more bits than two sets of the
+    similarity do but once in forty. A shard of some ``hot`` fingerprints or more, as the copies of one text make, is not gathered: each
+    of its fingerprints is compared with a leader of the shard, another one in each table, and those that are not within the radius of
+    it are dealt out again by eight more bits.
+    """
+    odds = bit_odds(similarity)
+    radius = math.ceil(WIDE * odds + 2 * math.sqrt(WIDE * odds * (1 - odds)))
+    places = _tables(fps.count(), similarity, recall)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 2_000):
+                part = batch.slice(lo, 2_000)
+                words = np.stack([part.column("low").to_numpy(), part.column("high").to_numpy()], axis=1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+                key = np.stack([bits[:, p] @ weight + (np.int64(t) << 44) for t, p in enumerate(places)], axis=1)
+                yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], len(places)), "high": np.repeat(words[:, 1], len(places))})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_shards(batches, "key"):
+            key = t.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            words = np.stack([t.column("low").to_numpy(), t.column("high").to_numpy()], axis=1)[several]
+            a, b = shard_edges(words.view(np.uint64), key[several], radius)
+            yield pa.RecordBatch.from_pydict({"a": words[a, 0], "b": words[b, 0]})
+
+    spark, schema = fps.sparkSession, "key long, low long, high long"
+    dealt = fps.mapInArrow(deal, schema)
+    some = fps.where("pmod(xxhash64(low, high), 16) = 0").mapInArrow(deal, schema)
+    leader = F.min_by(F.struct("low", "high"), F.xxhash64("key", "low", "high")).alias("leader")
+    crowded = materialise(some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader).where(F.col("n") >= hot // 16).select("key", "leader"), "simhash-hot")
+    edges = None
+    if not crowded.isEmpty():
+        met = dealt.join(crowded, "key", "left")
+        apart = F.bit_count(F.col("low").bitwiseXOR(F.col("leader.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("leader.high")))
+        edges = met.where(apart <= radius).select(F.col("low").alias("a"), F.col("leader.low").alias("b")).where("a <> b")
+        again = F.expr("xxhash64(key, shiftrightunsigned(low, CAST(pmod(key, 7) * 8 AS INT)) & 255)")
+        dealt = met.where(F.col("leader").isNull() | (apart > radius)).select(F.when(F.col("leader").isNull(), F.col("key")).otherwise(again).alias("key"), "low", "high")
+    found = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    return (found if edges is None else found.unionByName(edges)).distinct()
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents: doc_id, fingerprint, component_id."""
     found = near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

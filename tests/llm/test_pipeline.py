@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from sinktrace.llm import pii, quality_model
+from sinktrace.llm import pii, quality_model, similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,6 +79,36 @@ def test_near_copies_are_those_of_the_similarity(spark):
     assert kept == set(label) and 20 < len(texts) - len(kept)
 
 
+def test_near_copies_are_judged_by_row_and_not_by_id(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(r.randrange(2, 9)))
+    one, other, third = ([word() for _ in range(60)] for _ in range(3))
+    near = [*one[:-1], "changed"]
+    rows = [(1, " ".join(one)), (5, " ".join(near)), (5, " ".join(other)), (7, " ".join(third)), (7, " ".join(third)), (None, " ".join(one)), (None, "alone here"), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, " ".join(one)), (5, " ".join(other)), (7, " ".join(third)), (None, "alone here"), (8, None)], key=str)
+
+
+def test_hot_shards_find_the_same_groups(spark):
+    """A large group of near copies, dealt by leaders, and others beside it."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("aeioustrnlm") for _ in range(r.randrange(2, 9)))
+    base = [word() for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(400):
+        words = list(base)
+        words[r.randrange(len(words))] = word()
+        texts.append(" ".join(words))
+    texts += [" ".join(word() for _ in range(100)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, simhash.wide_fingerprint(similar.shingles(t))) for i, t in enumerate(texts)], "i long, x struct<low: long, high: long>").select("i", "x.low", "x.high")
+    low = {x.i: x.low for x in rows.collect()}
+    for hot in (16, 2_000):
+        found = {x.node: x.component for x in simhash.components(simhash.wide_edges(rows.select("low", "high").distinct(), hot=hot)).collect()}
+        assert len({found.get(low[i], low[i]) for i in range(401)}) == 1
+        assert len({found.get(low[i], low[i]) for i in range(401, 601)}) == 200
+
+
 def test_quality_stage_is_the_model_on_every_row(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     marked = quality_model.with_features(docs)
