@@ -55,17 +55,25 @@ FINDINGS_SQL = f"""findings AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call graph made of parts that follow one another in an order: caller, callee, seq."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    """A call graph of parts: one calls another if a returned line of the first comes right before one of the other. caller, callee, seq."""
+    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("callee"))
     pairs = items.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("caller"), "callee")
-    return pairs.where("caller % 20 = 0 OR callee % 20 = 1").distinct().withColumn("seq", F.col("caller") * 1000003 + F.col("callee"))
+    return pairs.distinct().withColumn("seq", F.col("caller") * 1000003 + F.col("callee"))
 
 
 EDGES_SQL = """edges AS (
   SELECT DISTINCT x.l_partkey AS caller, y.l_partkey AS callee FROM lineitem x JOIN lineitem y
     ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
-  WHERE x.l_partkey % 20 = 0 OR y.l_partkey % 20 = 1)"""
+  WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R')"""
+
+
+def entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry points of that graph: parts on promotion."""
+    return table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("node"))
+
+
+ENTRIES_SQL = "entries AS (SELECT p_partkey AS node FROM part WHERE p_type = 'PROMO')"
 
 
 def methods(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
 from sinktrace.jobs import reports
-from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, findings, methods, table
+from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, ENTRIES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, entry_nodes, findings, methods, table
 from sinktrace.operators import candidates, context, entries, explain, graph, indexing, rules, statistics, validators, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
@@ -212,8 +212,7 @@ _CALLERS_SQL = f"WITH {METHODS_SQL}, {CALLS_SQL}, resolved AS (SELECT c.call_id,
 
 @query(f"{_CALLERS_SQL} SELECT method_id, count(*) AS n_calls, count(DISTINCT caller_id) AS n_callers FROM resolved GROUP BY method_id")
 def callers_of(spark, sf_dir):
-    found = graph.callers_of(calls(spark, sf_dir), methods(spark, sf_dir))
-    return found.groupBy("method_id").agg(F.count(F.lit(1)).alias("n_calls"), F.countDistinct("caller_id").alias("n_callers"))
+    return graph.caller_counts(calls(spark, sf_dir), methods(spark, sf_dir))
 
 
 @query("""WITH one AS (SELECT p_partkey % 1700 AS name, p_partkey % 4 AS arity, min(p_partkey) AS method_id FROM part GROUP BY 1, 2 HAVING count(*) = 1)
@@ -260,15 +259,19 @@ def suffix_join(spark, sf_dir):
 
 
 def _search_sql(depth: int) -> str:
-    return f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges WHERE callee % 10 = 1),
+    return f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
 walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < {depth})
 SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node"""
 
 
+def _starts(graph_edges):
+    """Every method that is called is a sink."""
+    return graph_edges.select(F.col("callee").alias("sink"), F.col("callee").alias("node")).distinct()
+
+
 def _search(spark, sf_dir, depth):
     graph_edges = edges(spark, sf_dir)
-    starts = graph_edges.where("callee % 10 = 1").select(F.col("callee").alias("sink"), F.col("callee").alias("node"))
-    return graph.reverse_search(starts, graph_edges, depth)
+    return graph.reverse_search(_starts(graph_edges), graph_edges, depth)
 
 
 @query(_search_sql(1))
@@ -286,45 +289,42 @@ def trace_bfs_depth7(spark, sf_dir):
     return _search(spark, sf_dir, 7)
 
 
-def _entries(graph_edges):
-    return graph_edges.where("caller % 100 = 20").select(F.col("caller").alias("node")).distinct()
+_CHAINS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, {ENTRIES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
+walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7 AND (w.depth = 0 OR w.node NOT IN (SELECT node FROM entries))),
+first AS (SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node),
+chains AS (SELECT sink, node AS entry, depth FROM first WHERE depth > 0 AND node IN (SELECT node FROM entries))"""
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges WHERE callee % 10 = 1),
-walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7 AND (w.depth = 0 OR w.node % 100 <> 20)),
-first AS (SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node)
-SELECT sink, node AS entry, depth, depth + 1 AS nodes FROM first WHERE depth > 0 AND node % 100 = 20 AND node IN (SELECT caller FROM edges)""")
-def entry_chains(spark, sf_dir):
+def _chains(spark, sf_dir):
     graph_edges = edges(spark, sf_dir)
-    starts = graph_edges.where("callee % 10 = 1").select(F.col("callee").alias("sink"), F.col("callee").alias("node")).distinct()
-    return graph.shortest_chains(starts, graph_edges, _entries(graph_edges)).select("sink", "entry", "depth", F.size("chain").alias("nodes"))
+    return graph.shortest_chains(_starts(graph_edges), graph_edges, entry_nodes(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges WHERE callee % 10 = 1),
-walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7 AND (w.depth = 0 OR w.node % 100 <> 20)),
-first AS (SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node),
-chains AS (SELECT sink, node AS entry, depth FROM first WHERE depth > 0 AND node % 100 = 20)
+@query(f"{_CHAINS_SQL} SELECT sink, entry, depth, depth + 1 AS nodes FROM chains")
+def entry_chains(spark, sf_dir):
+    return _chains(spark, sf_dir).select("sink", "entry", "depth", F.size("chain").alias("nodes"))
+
+
+@query(f"""{_CHAINS_SQL}
 SELECT sink, entry, depth, place, more FROM (SELECT *, row_number() OVER (PARTITION BY sink ORDER BY depth, entry) AS place, greatest(count(*) OVER (PARTITION BY sink) - 4, 0) AS more FROM chains) WHERE place <= 4""")
 def topk_chains(spark, sf_dir):
-    graph_edges = edges(spark, sf_dir)
-    starts = graph_edges.where("callee % 10 = 1").select(F.col("callee").alias("sink"), F.col("callee").alias("node")).distinct()
-    return graph.top_chains(graph.shortest_chains(starts, graph_edges, _entries(graph_edges))).select("sink", "entry", "depth", F.col("place").cast("long").alias("place"), F.col("more").cast("long").alias("more"))
+    return graph.top_chains(_chains(spark, sf_dir)).select("sink", "entry", "depth", F.col("place").cast("long").alias("place"), F.col("more").cast("long").alias("more"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges WHERE callee % 10 = 1),
-walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7)
-SELECT DISTINCT sink, node FROM walk WHERE node NOT IN (SELECT callee FROM edges WHERE caller <> callee)""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
+walk AS (SELECT node AS sink, node FROM starts UNION SELECT w.sink, e.caller FROM walk w JOIN edges e ON e.callee = w.node)
+SELECT sink, node FROM walk WHERE node NOT IN (SELECT callee FROM edges WHERE caller <> callee)""")
 def closure_leaves(spark, sf_dir):
-    return graph.leaves(_search(spark, sf_dir, 7).select("sink", "node"), edges(spark, sf_dir))
+    return graph.leaves(_search(spark, sf_dir, None).select("sink", "node"), edges(spark, sf_dir))
 
 
-_PARENTS_SQL = "parents AS (SELECT DISTINCT c_custkey AS type, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT DISTINCT s_suppkey, s_suppkey + 5 FROM supplier WHERE s_suppkey < 40)"
+_PARENTS_SQL = "parents AS (SELECT DISTINCT c_custkey AS type, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT DISTINCT s_suppkey, s_suppkey + 5 FROM supplier)"
 
 
 @query(f"WITH RECURSIVE {_PARENTS_SQL}, up AS (SELECT type, parent AS ancestor FROM parents UNION SELECT u.type, p.parent FROM up u JOIN parents p ON u.ancestor = p.type) SELECT DISTINCT type, ancestor FROM up WHERE type <> ancestor")
 def ancestors_closure(spark, sf_dir):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    parents = table(spark, sf_dir, "customer").select(c.alias("type"), F.floor(c / 3).alias("parent")).where("type > 0").unionByName(table(spark, sf_dir, "supplier").where("s_suppkey < 40").select(s.alias("type"), (s + 5).alias("parent")))
+    parents = table(spark, sf_dir, "customer").select(c.alias("type"), F.floor(c / 3).alias("parent")).where("type > 0").unionByName(table(spark, sf_dir, "supplier").select(s.alias("type"), (s + 5).alias("parent")))
     return graph.closure(parents.distinct())
 
 
@@ -335,13 +335,13 @@ def supertypes(spark, sf_dir):
     return last.join(graph.accumulated(declared, False).select("type", F.array_join(F.array_sort("parents"), ",").alias("every")), "type")
 
 
-_REFERENCES_SQL = "refs AS (SELECT event_id AS seq, user_id % 50 AS file, 'm' || (event_id % 40) AS name, event_type AS reason FROM events WHERE event_id % 4 = 0)"
+_REFERENCES_SQL = "refs AS (SELECT event_id AS seq, user_id % 50 AS file, 'm' || (event_id % 40) AS name, event_type AS reason FROM events)"
 
 
 @query(f"""WITH {METHODS_SQL}, {_REFERENCES_SQL}, first AS (SELECT file, name, arg_min(reason, seq) AS a FROM refs GROUP BY file, name), final AS (SELECT name, arg_max(reason, seq) AS b FROM refs GROUP BY name)
 SELECT m.method_id, coalesce(f.a, 'none') AS first_reason, coalesce(l.b, 'none') AS last_reason FROM methods m LEFT JOIN first f ON m.file = f.file AND m.name = f.name LEFT JOIN final l ON m.name = l.name""")
 def late_references(spark, sf_dir):
-    refs = table(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("file"), F.concat(F.lit("m"), (F.col("event_id") % 40).cast("string")).alias("name"), F.col("event_type").alias("reason"))
+    refs = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 50).alias("file"), F.concat(F.lit("m"), (F.col("event_id") % 40).cast("string")).alias("name"), F.col("event_type").alias("reason"))
     known = methods(spark, sf_dir).select("method_id", "file", "name", F.lit("none").alias("entry_reason"))
     first = graph.late_references(known, refs, ["file", "name"]).withColumnRenamed("entry_reason", "first_reason").withColumn("entry_reason", F.lit("none"))
     return graph.late_references(first, refs.drop("file"), ["name"], last=True).select("method_id", "first_reason", F.col("entry_reason").alias("last_reason"))
@@ -428,9 +428,9 @@ def sql_substitution_scan(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN han > 0 AND han / (han + latin) >= 0.15 THEN 'zh' ELSE 'en' END AS language FROM (SELECT doc_id, length(t) - length(regexp_replace(t, '[一-鿿]', '', 'g')) AS han, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS latin
-FROM (SELECT doc_id, substr(text, 1, 400) || repeat('漏洞', CAST(doc_id % 60 AS INT)) AS t FROM documents))""")
+FROM (SELECT doc_id, text || repeat('漏洞', CAST(doc_id % 600 AS INT)) AS t FROM documents))""")
 def detect_language(spark, sf_dir):
-    mixed = F.concat(F.substring("text", 1, 400), F.expr("repeat('漏洞', cast(doc_id % 60 as int))"))
+    mixed = F.concat("text", F.expr("repeat('漏洞', cast(doc_id % 600 as int))"))
     return table(spark, sf_dir, "documents").select("doc_id", text.language(mixed).alias("language"))
 
 
@@ -563,18 +563,18 @@ def _source_files(spark, sf_dir):
     """A Java file for every fifty methods of the call graph: each method calls what its edges say."""
     body = edges(spark, sf_dir).groupBy("caller").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("    m"), F.col("callee").cast("string"), F.lit("(1, \"m0(\");")))), "\n").alias("b"))
     method = F.concat(F.lit("  public void m"), F.col("caller").cast("string"), F.lit("(int a, String b) { // m1(2)\n"), "b", F.lit("\n  }"))
-    files = body.select((F.col("caller") % 50).alias("file"), F.struct("caller", method.alias("m")).alias("x")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]), "\n").alias("b"))
+    files = body.select(F.floor(F.col("caller") / 50).alias("file"), F.struct("caller", method.alias("m")).alias("x")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["m"]), "\n").alias("b"))
     return files.select(F.concat(F.lit("src/F"), F.col("file").cast("string"), F.lit(".java")).alias("path"), F.lit("java").alias("lang"), F.concat(F.lit("class F {\n"), "b", F.lit("\n}\n")).alias("text"))
 
 
-@query(f"WITH {EDGES_SQL} SELECT 'src/F' || (caller % 50) || '.java' AS path, 'm' || caller AS caller, 'm' || callee AS callee, 2 AS arity, count(*) AS n FROM edges GROUP BY ALL")
+@query(f"WITH {EDGES_SQL} SELECT 'src/F' || (caller // 50) || '.java' AS path, 'm' || caller AS caller, 'm' || callee AS callee, 2 AS arity, count(*) AS n FROM edges GROUP BY ALL")
 def index_sources(spark, sf_dir):
     _, sites = indexing.index(_source_files(spark, sf_dir))
     return sites.groupBy("path", "caller", "callee", "arity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {EDGES_SQL}, m AS (SELECT caller, count(*) AS calls FROM edges GROUP BY caller)
-SELECT 'src/F' || (caller % 50) || '.java' AS path, 'm' || caller AS name, 2 AS arity, CAST(calls + 2 AS BIGINT) AS size FROM m""")
+SELECT 'src/F' || (caller // 50) || '.java' AS path, 'm' || caller AS name, 2 AS arity, CAST(calls + 2 AS BIGINT) AS size FROM m""")
 def index_methods(spark, sf_dir):
     found, _ = indexing.index(_source_files(spark, sf_dir))
     return found.select("path", "name", "arity", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("size"))
@@ -626,7 +626,7 @@ def normalize_candidates(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {EDGES_SQL}, others AS (SELECT * FROM edges WHERE caller <> callee), m AS (SELECT p_partkey AS method_id, CASE WHEN p_partkey % 4 = 0 THEN 'main' ELSE 'm' || p_partkey END AS name, p_partkey % 5 = 0 AS overrides FROM part),
-sinks AS (SELECT p_partkey AS sink_id, CASE WHEN p_partkey % 9 > 0 THEN p_partkey END AS method_id FROM part WHERE p_partkey % 3 = 0),
+sinks AS (SELECT p_partkey AS sink_id, CASE WHEN p_partkey % 9 > 0 THEN p_partkey END AS method_id FROM part),
 walk AS (SELECT sink_id, method_id AS node FROM sinks WHERE method_id IS NOT NULL UNION SELECT w.sink_id, o.caller FROM walk w JOIN others o ON o.callee = w.node),
 ends AS (SELECT w.sink_id, m.method_id, m.name, row_number() OVER (PARTITION BY w.sink_id ORDER BY m.method_id) AS place FROM walk w JOIN m ON w.node = m.method_id WHERE w.node NOT IN (SELECT callee FROM others)),
 per AS (SELECT sink_id, count(*) AS n, count(*) FILTER (WHERE name = 'main') AS mains, string_agg(name, ';' ORDER BY place) FILTER (WHERE place <= 4) AS shown FROM ends GROUP BY sink_id),
@@ -638,7 +638,7 @@ def no_entry_explanation(spark, sf_dir):
     k, o = F.col("p_partkey"), F.col("o_orderkey")
     part = table(spark, sf_dir, "part")
     own = part.select(k.alias("method_id"), F.when(k % 4 == 0, "main").otherwise(F.concat(F.lit("m"), k.cast("string"))).alias("name"), (k % 5 == 0).alias("overrides"))
-    sinks = part.where("p_partkey % 3 = 0").select(k.alias("sink_id"), F.when(k % 9 > 0, k).alias("method_id"))
+    sinks = part.select(k.alias("sink_id"), F.when(k % 9 > 0, k).alias("method_id"))
     literals = table(spark, sf_dir, "orders").select(F.concat(F.lit("m"), (o % 3000).cast("string")).alias("literal"), F.concat(F.lit("f"), (o % 7).cast("string")).alias("file"))
     return explain.no_entry(sinks, own, edges(spark, sf_dir), literals)
 
@@ -651,12 +651,12 @@ def md_report(spark, sf_dir):
     return reports.markdown_entries(rows).select("seq", "level", F.md5("entry").alias("entry"))
 
 
-@query("""WITH RECURSIVE inc AS (SELECT DISTINCT c_custkey AS path, c_custkey // 2 AS included FROM customer WHERE c_custkey % 3 = 0), macros AS (SELECT DISTINCT s_suppkey AS path, 'm' || (s_suppkey % 8) AS name FROM supplier),
+@query("""WITH RECURSIVE inc AS (SELECT DISTINCT c_custkey AS path, c_custkey // 2 AS included FROM customer), macros AS (SELECT DISTINCT s_suppkey AS path, 'm' || (s_suppkey % 8) AS name FROM supplier),
 reach AS (SELECT path, included FROM inc UNION SELECT r.path, i.included FROM reach r JOIN inc i ON r.included = i.path), hidden AS (SELECT path, name FROM macros UNION SELECT r.path, m.name FROM reach r JOIN macros m ON r.included = m.path)
 SELECT o_orderkey, o_custkey AS path, 'm' || (o_orderkey % 8) AS callee FROM orders o WHERE NOT EXISTS (SELECT 1 FROM hidden h WHERE h.path = o.o_custkey AND h.name = 'm' || (o.o_orderkey % 8))""")
 def include_macros(spark, sf_dir):
     c, m = F.col("c_custkey"), lambda k: F.concat(F.lit("m"), (F.col(k) % 8).cast("string"))
-    includes = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(c.alias("path"), F.floor(c / 2).alias("included")).distinct()
+    includes = table(spark, sf_dir, "customer").select(c.alias("path"), F.floor(c / 2).alias("included")).distinct()
     macros = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), m("s_suppkey").alias("name")).distinct()
     return graph.without_macro_calls(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("path"), m("o_orderkey").alias("callee")), includes, macros)
 

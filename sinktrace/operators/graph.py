@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def callers_of(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return joined.where((F.col("m_arity") == ANY_ARITY) | (F.col("m_arity") == F.col("arity"))).drop("m_arity")
 
 
+def caller_counts(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """For each method that a call may reach: method_id, n_calls, n_callers. Calls meet methods as counts by name and arity, never one by one."""
+    sites = calls.where("caller_id IS NOT NULL").groupBy("callee", "arity", "caller_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = F.sum("n").alias("n_calls"), F.countDistinct("caller_id").alias("n_callers")
+    by_arity = sites.groupBy("callee", "arity").agg(*sums).where(F.col("arity") != ANY_ARITY)
+    of_any = sites.groupBy("callee").agg(*sums).withColumn("arity", F.lit(ANY_ARITY))
+    return methods.select("method_id", F.col("name").alias("callee"), "arity").join(by_arity.unionByName(of_any), ["callee", "arity"]).select("method_id", "n_calls", "n_callers")
+
+
 def sole_targets(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """Calls whose name and exact arity is that of one method only, with that method."""
     one = methods.groupBy(F.col("name").alias("callee"), "arity").agg(F.count(F.lit(1)).alias("n"), F.first("method_id").alias("method_id")).where("n = 1").drop("n")
@@ -75,16 +86,16 @@ def suffix_first(paths: DataFrame, files: DataFrame) -> DataFrame:
     return paths.join(best, "key", "left")
 
 
-def reverse_search(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
+def reverse_search(starts: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
     """Breadth-first search against the edges (caller, callee) from all starts (sink, node) at once: (sink, node, depth).
 
-    A node is visited once for each sink, at its least depth. Nodes of ``entries`` (node) close their chain: they are
+    A node is visited once for each sink, at its least depth; without ``max_depth`` the search goes on until nothing new is found. Nodes of ``entries`` (node) close their chain: they are
     reported and not expanded. Each round is one join on the frontier and one anti-join on what was visited, both
     written to the shared folder, so the plan stays short and lost executors cost one round.
     """
     seen = materialise(starts.select("sink", "node").distinct().withColumn("depth", F.lit(0)), "search")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         if entries is not None and depth > 1:
             frontier = frontier.join(entries.select("node").distinct(), "node", "left_anti")
         found = frontier.join(edges, frontier.node == edges.callee).select("sink", F.col("caller").alias("node")).distinct()
@@ -121,16 +132,18 @@ def top_chains(chains: DataFrame, shown: int = 4) -> DataFrame:
     return ranked.where(F.col("place") <= shown)
 
 
-def closure(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """All (type, ancestor) over the edges (type, parent); a cycle gives every other member, never the type itself."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All (type, ancestor) over the edges (type, parent); a cycle gives every other member, never the type itself.
+
+    Each round joins the newest pairs with all pairs, so the length of the paths doubles, and a chain of n types takes log2(n) rounds.
+    """
     known = frontier = materialise(edges.where("type <> parent").select("type", F.col("parent").alias("ancestor")).distinct(), "closure")
-    for _ in range(max_rounds):
-        found = frontier.join(edges.select(F.col("type").alias("ancestor"), "parent"), "ancestor").select("type", F.col("parent").alias("ancestor")).where("type <> ancestor").distinct()
+    while not frontier.isEmpty():
+        further = known.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("next"))
+        found = frontier.join(further, "ancestor").select("type", F.col("next").alias("ancestor")).where("type <> ancestor").distinct()
         frontier = materialise(found.join(known, ["type", "ancestor"], "left_anti"), "closure")
-        if frontier.isEmpty():
-            return known
         known = known.unionByName(frontier)
-    raise RuntimeError("the closure did not settle")
+    return known
 
 
 def leaves(reached: DataFrame, edges: DataFrame) -> DataFrame:
