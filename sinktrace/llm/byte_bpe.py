@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from sinktrace.llm.chunks import ChunkCache, check_pattern
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
 _CACHES: dict[tuple[str, str], ChunkCache] = {}
@@ -116,7 +116,7 @@ def _cache(path: str, pattern: str) -> ChunkCache:
     if (path, pattern) not in _CACHES:
         bpe = ByteBpe(read_ranks(path), pattern)
         check_pattern(bpe.pattern.findall)
-        _CACHES[path, pattern] = ChunkCache(bpe.digests, (1, 1), limit=800_000)
+        _CACHES[path, pattern] = ChunkCache(bpe.digests, (1, 1), limit=400_000)
     return _CACHES[path, pattern]
 
 
@@ -128,7 +128,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[st
         cache = _cache(ranks_path, pattern)
         for batch in batches:
             n, ids, decoded = [], [], []
-            for decimal, raw in cache.many(batch.column("__text").to_pylist()):
+            for decimal, raw in cache.many(texts_of(batch.column("__text"))):
                 n.append(bytes(decimal).count(b" "))
                 ids.append(hashlib.sha256(decimal[1:]).hexdigest())
                 decoded.append(hashlib.sha256(raw).hexdigest())

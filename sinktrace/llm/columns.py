@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from typing import Any
+
+import pyarrow as pa
 
 
 def without(keep: Iterable[str], *made: str) -> tuple[str, ...]:
@@ -17,3 +20,9 @@ def fresh(name: str, columns: Iterable[str]) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[Any]:
+    """A column's values, some rows at a time, so that the Python values of a whole batch are never held at once."""
+    for lo in range(0, len(column), rows):
+        yield from column.slice(lo, rows).to_pylist()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
 Q, EDIT_RATE = 12, 0.05
@@ -208,7 +208,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate
     def cleaner(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.value.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.value.matches(t) for t in texts_of(batch.column("text"))], pa.bool_()))
 
         return run
 
@@ -226,7 +226,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: f
     def scanner(index, earlier: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [index.value.matches(t) for t in batch.column("__text").to_pylist()]
+                rows = [index.value.matches(t) for t in texts_of(batch.column("__text"))]
                 if earlier:
                     rows = [a + b for a, b in zip(batch.column("matches").to_pylist(), rows, strict=True)]
                 names = [c for c in batch.schema.names if c != "matches"]

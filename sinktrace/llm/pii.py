@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -135,7 +135,7 @@ def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redacted: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("__text").to_pylist():
+            for text in texts_of(batch.column("__text")):
                 spans = find_spans(text or "")
                 base = [s for s in spans if s[0] in BASE_KINDS]
                 row = [*(sum(s[0] == k for s in base) for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)]
@@ -155,7 +155,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t is None else redact(t, find_spans(t)) for t in batch.column("text").to_pylist()]
+            texts = [None if t is None else redact(t, find_spans(t)) for t in texts_of(batch.column("text"))]
             new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
 

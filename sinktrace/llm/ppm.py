@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import materialise, spread
 
 SYMBOL_BITS, END, PAD, SYMBOLS = 9, 256, 257, 257
@@ -82,7 +82,7 @@ def context_counts(docs: DataFrame, order: int) -> DataFrame:
                 held[:] = [_tally(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 for key in keys_of((text or "").encode().lower(), order):
                     waiting.append(key)
                     size += len(key)
@@ -227,7 +227,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return rows
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 counts.update((text or "").encode().lower().split())
                 counts[b""] += 1
                 if len(counts) > 400_000:
@@ -263,7 +263,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 5, head: int = 100_
             scorer, known, denominator = Scorer(trie.value, block, n_blocks), frequent.value, n_all + n_words + 1
             for batch in batches:
                 out = []
-                for text in batch.column("text").to_pylist():
+                for text in texts_of(batch.column("text")):
                     raw = (text or "").encode().lower()
                     line = (scorer.score(raw),)
                     if block == 0:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import materialise, spread
 
 FEATURES = (
@@ -70,7 +70,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [features(t) for t in batch.column("__text").to_pylist()]
+            values = [features(t) for t in texts_of(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values, pa.list_(pa.float64()))], [*keep, "features"])
 
     held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
@@ -211,7 +211,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("text").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            x = np.array([features(t) for t in texts_of(batch.column("text"))], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.llm.words import mixed, window_codes, word_codes
 from sinktrace.storage import spread
 
@@ -58,7 +58,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = (np.zeros(1 << BUCKET_BITS, np.int64) for _ in range(2))
         for batch in batches:
-            for text, trusted in zip(batch.column("text").to_pylist(), batch.column("trusted").to_pylist(), strict=True):
+            for text, trusted in zip(texts_of(batch.column("text")), batch.column("trusted").to_pylist(), strict=True):
                 found = buckets(word_codes().codes((text or "").encode().split()))
                 np.add.at(raw, found, 1)
                 if trusted:
@@ -89,7 +89,7 @@ def judge(docs: DataFrame, table: np.ndarray, keep: tuple[str, ...] = ("doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column("__text").to_pylist():
+            for text in texts_of(batch.column("__text")):
                 raw = (text or "").encode()
                 words = raw.split()
                 codes = word_codes().codes(words)

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.columns import texts_of
 from sinktrace.llm.words import mixed, window_codes, word_codes
 from sinktrace.storage import materialise, partitions, spread
 
@@ -77,7 +78,7 @@ def prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, lists = [], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 words, digest = _words(text)
                 found, grams = anchors(word_codes().codes(words), window, prefix)
                 digests.append(digest)
@@ -101,7 +102,7 @@ def contexts(found: DataFrame, window: int, prefix: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for k, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("k", "text", "wanted")), strict=True):
+            for k, text, wanted in zip(*(texts_of(batch.column(c)) for c in ("k", "text", "wanted")), strict=True):
                 words, digest = _words(text)
                 own = next((w["codes"] for w in wanted if w["id"] == _id(digest)), None)
                 if own is None:
@@ -236,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, runs_, copies_ in zip(*(batch.column(c).to_pylist() for c in ("text", "runs", "copies")), strict=True):
+            for text, runs_, copies_ in zip(*(texts_of(batch.column(c)) for c in ("text", "runs", "copies")), strict=True):
                 words, digest = _words(text)
                 count = len(words)
                 steps = np.zeros(count + 1, np.int64)

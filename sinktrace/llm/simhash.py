@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.llm.words import mixed
 from sinktrace.storage import materialise, partitions, spread
 
@@ -57,7 +57,7 @@ def with_fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in batch.column("__text").to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, words) for t in texts_of(batch.column("__text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
     held = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
@@ -139,7 +139,7 @@ class BkTrees:
 
     def links(self, items: np.ndarray, roots: np.ndarray, radius: int, merge) -> None:
         """Search for the items in the trees of their roots; ``merge(a, b)`` gets arrays of linked items."""
-        block = np.cumsum(self.weight[items]) >> 21  # so that a block meets some two million nodes at most, or one tree
+        block = np.cumsum(self.weight[items]) >> 18  # so that a block meets some 260,000 nodes at most, or one tree
         bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(items)]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             query = items[lo:hi]
@@ -188,7 +188,7 @@ def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int, leaders: int = 3)
     def merge(a: np.ndarray, b: np.ndarray) -> None:
         pairs.append((a, b))
         held[0] += len(a)
-        if held[0] > 1 << 20:  # a forest says the same in less room
+        if held[0] > 1 << 19:  # a forest says the same in less room
             label = forest(n, pairs)
             pairs[:] = [(np.flatnonzero(label != np.arange(n)), label[label != np.arange(n)])]
             held[0] = len(pairs[0][0])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinktrace.llm.columns import without
+from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
 MARK = "▁"
@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc
         for batch in batches:
             for lo in range(0, len(batch), _BLOCK):
                 part = batch.slice(lo, _BLOCK)
-                rows = counter.count(part.column("__text").to_pylist())
+                rows = counter.count(list(texts_of(part.column("__text"))))
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "n_pretokens", "n_tokens", "log_prob"])
 

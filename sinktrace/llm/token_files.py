@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sinktrace.llm.chunks import ChunkCache, ends_open
+from sinktrace.llm.columns import texts_of
 from sinktrace.storage import materialise, partitions, scratch
 
 NO_DOC = -(2**63)  # stands for a null doc_id in a docs file
@@ -68,7 +69,7 @@ def library_encoder(path: str, dtype: str) -> ChunkCache:
             joined, apart = iter([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), iter(alone)
             return [(next(joined) if w else next(apart).astype(dtype).tobytes(),) for w in within]
 
-        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=800_000)
+        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=600_000)
     return _CACHES[key]
 
 
@@ -114,7 +115,7 @@ def write_token_files(
                 where.create_dir(path, recursive=True)
                 ids_file = where.open_output_stream(_open(f"{uri}.ids")[1])
             blobs = []
-            for (ids,) in encoder.many(batch.column("text").to_pylist()):
+            for (ids,) in encoder.many(texts_of(batch.column("text"))):
                 blobs += [ids, end]
             at += ids_file.write(b"".join(blobs)) // size
             lengths.append(np.array([len(x) for x in blobs], np.int64).reshape(-1, 2).sum(1) // size)

@@ -10,7 +10,7 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 class WordCodes(dict):
     """The XXH64 value of each word that is asked for; at most ``limit`` are held at a time."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         self.digest, self.limit = xxhash.xxh64_intdigest, limit
