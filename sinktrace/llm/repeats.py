@@ -68,12 +68,29 @@ def _words(text: str | None) -> tuple[list[bytes], bytes]:
     return words, xxhash.xxh128_digest(b" ".join(words))
 
 
+def repeated_within(words: list[bytes], codes: np.ndarray, window: int) -> np.ndarray:
+    """For each window of a document whether it occurs earlier in it. Windows meet by a code and are then compared word by word."""
+    _, first, inv = np.unique(window_codes(codes, window), return_index=True, return_inverse=True)
+    stands = first[inv]
+    later = stands != np.arange(len(stands))
+    last = -2
+    for s in np.flatnonzero(later).tolist():
+        f = int(stands[s])
+        # next to a window that is equal one place before only the last word is new
+        same = words[s + window - 1] == words[f + window - 1] if last == s - 1 and stands[s - 1] == f - 1 else words[s : s + window] == words[f : f + window]
+        if not same:  # two sequences have one code: by the words alone
+            seen: set[tuple[bytes, ...]] = set()
+            return np.array([(w := tuple(words[i : i + window])) in seen or seen.add(w) is not None for i in range(len(stands))], bool)
+        last = s
+    return later
+
+
 def _id(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
 def prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """For rows (k, text): k, digest of the words, id (its first 64 bits), and codes: the distinct codes of the prefixes that anchor a window."""
+    """For rows (k, h, text): k, h, digest of the words, id (its first 64 bits), and codes: the distinct codes of the prefixes that anchor a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,13 +99,15 @@ def prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 words, digest = _words(text)
                 found, grams = anchors(word_codes().codes(words), window, prefix)
                 digests.append(digest)
-                lists.append(np.unique(grams[np.unique(found)]).view(np.int64))
+                places = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found  # they ascend
+                own = np.sort(grams[places])
+                lists.append(own[np.concatenate([[True], own[1:] != own[:-1]])].view(np.int64) if len(own) else own.view(np.int64))
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             ids = pa.array([_id(d) for d in digests], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(digests, pa.binary()), ids, pa.ListArray.from_arrays(offsets, flat)], ["k", "digest", "id", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(digests, pa.binary()), ids, pa.ListArray.from_arrays(offsets, flat)], ["k", "h", "digest", "id", "codes"])
 
-    return docs.mapInArrow(run, "k long, digest binary, id long, codes array<long>")
+    return docs.mapInArrow(run, "k long, h long, digest binary, id long, codes array<long>")
 
 
 def contexts(found: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -109,8 +128,7 @@ def contexts(found: DataFrame, window: int, prefix: int) -> DataFrame:
                     continue
                 codes = word_codes().codes(words)
                 at, grams = anchors(codes, window, prefix)
-                first = np.zeros(len(at), bool)
-                first[np.unique(window_codes(codes, window), return_index=True)[1]] = True
+                first = ~repeated_within(words, codes, window)
                 starts = np.flatnonzero(first & np.isin(grams[at], np.array(own, np.int64).view(np.uint64)))
                 place = at[starts]  # ascends with the starts
                 cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
@@ -216,41 +234,42 @@ def group_repeats(rows: DataFrame, window: int, group_limit: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group_limit: int = 20_000, with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_removed, kept_sha256, removed (ranges of words), and kept_text if asked for."""
-    n = partitions(docs.sparkSession)
-    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("k"), docs["text"].cast("string").alias("text"))
-    marks = materialise(prefixes(keyed, window, prefix), "repeats-prefixes")
+    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_DOC)).alias("k"), docs["text"].cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    # A row's place is its id and the hash of its text, so that rows of one id (or of none) with other texts meet nowhere.
+    place = ["k", "h"]
+    marks = materialise(prefixes(keyed.select("k", "h", "text"), window, prefix), "repeats-prefixes")
     first = marks.groupBy("digest").agg(F.min("k").alias("first_k"))
-    places = marks.select("k", "digest").distinct().join(first, "digest")
+    places = marks.select("k", "h", "digest").distinct().join(first, "digest")
     copies = places.where("k > first_k")
     alone = marks.join(first.withColumnRenamed("first_k", "k"), ["digest", "k"], "left_semi").dropDuplicates(["digest", "k"])
-    codes = materialise(alone.select("k", "id", F.explode("codes").alias("code")), "repeats-codes")
+    codes = materialise(alone.select("k", "h", "id", F.explode("codes").alias("code")), "repeats-codes")
     several = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code")
-    wanted = codes.join(several, "code", "left_semi").groupBy("k", "id").agg(F.collect_list("code").alias("codes"))
-    wanted = wanted.groupBy("k").agg(F.collect_list(F.struct("id", "codes")).alias("wanted"))
-    dealt = keyed.repartition(n, "k")  # both joins with the texts use this one exchange
-    around = contexts(dealt.join(wanted, "k").select("k", "text", "wanted"), window, prefix)
+    wanted = codes.join(several, "code", "left_semi").groupBy("k", "h", "id").agg(F.collect_list("code").alias("codes"))
+    wanted = wanted.groupBy(*place).agg(F.collect_list(F.struct("id", "codes")).alias("wanted"))
+    around = contexts(keyed.join(wanted, place).select("k", "text", "wanted"), window, prefix)
     runs = group_repeats(around, window, group_limit)
-    spans = runs.groupBy("k").agg(F.collect_list(F.struct("id", "lo", "hi")).alias("runs"))
-    gone = copies.groupBy("k").agg(F.collect_list("digest").alias("copies"))
-    met = dealt.join(spans, "k", "left").join(gone, "k", "left")
+    spans = runs.groupBy("k", "id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    gone = copies.select(*place, F.lit(True).alias("copy")).distinct()
+    # The runs of a text of one (k, id) go to every row with that text: its places, of which marks has one for each.
+    of_rows = marks.select("k", "h", "id").distinct().join(spans, ["k", "id"]).select(*place, F.struct("id", "runs").alias("runs"))
+    told = of_rows.groupBy(*place).agg(F.collect_list("runs").alias("runs")).join(gone, place, "full")
+    met = keyed.join(told, place, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, runs_, copies_ in zip(*(texts_of(batch.column(c)) for c in ("text", "runs", "copies")), strict=True):
+            for text, runs_, copy in zip(*(texts_of(batch.column(c)) for c in ("text", "runs", "copy")), strict=True):
                 words, digest = _words(text)
                 count = len(words)
                 steps = np.zeros(count + 1, np.int64)
                 if count >= window:
-                    if copies_ and digest in copies_:
+                    if copy:
                         later = np.arange(count - window + 1)
                     else:
-                        whole = window_codes(word_codes().codes(words), window)
-                        later = np.ones(len(whole), bool)
-                        later[np.unique(whole, return_index=True)[1]] = False
+                        later = repeated_within(words, word_codes().codes(words), window)
                         for r in runs_ or ():
-                            if r["id"] == _id(digest):
-                                later[r["lo"] : r["hi"] + 1] = True
+                            for x in r["runs"] if r["id"] == _id(digest) else ():
+                                later[x["lo"] : x["hi"] + 1] = True
                         later = np.flatnonzero(later)
                     np.add.at(steps, later, 1)
                     np.add.at(steps, later + window, -1)
@@ -264,7 +283,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array([r[i] for r in rows], types[i]) for i in range(len(names)))], ["k", *names])
 
     schema = "k long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>" + ", kept_text string" * with_text
-    out = met.select("k", "text", "runs", "copies").mapInArrow(finish, schema)
+    out = met.select("k", "text", "runs", "copy").mapInArrow(finish, schema)
     return out.select(F.when(F.col("k") != NO_DOC, F.col("k")).alias("doc_id"), *out.columns[1:])
 
 
