@@ -187,8 +187,9 @@ def training_labels(labels: DataFrame, max_rows: int = 40_000) -> DataFrame:
 
 
 def train(marked: DataFrame, sample: DataFrame) -> AdditiveModel:
-    """Fit a model on the rows of ``marked`` (doc_id, features) that the bounded sample labels."""
-    rows = marked.select("doc_id", "features").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "features", "quality").select("features", "quality").toArrow()
+    """Fit a model on the rows of ``marked`` (doc_id, features) that the bounded sample labels; of rows with one doc_id on one of them."""
+    labelled = marked.select("doc_id", "features").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "features", "quality").select("features", "quality").toArrow()
     x = np.array(rows.column("features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, rows.column("quality").to_numpy().astype(np.float64))
 
