@@ -6,9 +6,10 @@ of documents, in order, are the depth-first walk of their trie: going from one t
 scores of the shared prefix stay, and only those of the new characters are computed. Each terminal's count
 is stored, and a document's count is the sum over its words.
 
-The vocabulary is that of a sentencepiece model file; the log-probability of the piece of rank r is
--log(r + 1), less the logarithm of their sum (Zipf's law). A character without a piece is written as byte
-pieces, one for each byte of its UTF-8, at the probability of the last rank each.
+The vocabulary is that of a sentencepiece model file. A unigram model's pieces have its scores; a model of
+another type has no probabilities, so its piece of rank r gets -log(r + 1), less the logarithm of their sum
+(Zipf's law). A character without a piece is written as byte
+pieces, one for each byte of its UTF-8, at the least probability of a piece each.
 
 Defined cases: null and empty texts have no pre-tokens; a very long word is segmented like any other, in
 time proportional to its length; repeated rows are counted alike; other columns are not looked at.
@@ -31,14 +32,49 @@ _BLOCK = 1_000  # documents whose words are put into one trie
 _COUNTERS: dict[str, TrieCounter] = {}
 
 
+UNIGRAM = 1  # fixed value: the trainer's model type of a unigram model; others have no probabilities
+
+
+def model_type(proto: bytes) -> int:
+    """The model type (field 3) that the trainer's part (field 2) of a serialised sentencepiece model names; 1 if it names none."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def varint() -> int:
+            nonlocal at
+            value = shift = 0
+            while True:
+                byte = data[at]
+                at += 1
+                value |= (byte & 0x7F) << shift
+                shift += 7
+                if byte < 0x80:
+                    return value
+
+        while at < len(data):
+            key = varint()
+            if key & 7 == 0:
+                yield key >> 3, varint()
+            else:
+                size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+                yield key >> 3, data[at : at + size]
+                at += size
+
+    trainer = next((v for n, v in fields(proto) if n == 2 and isinstance(v, bytes)), b"")
+    return next((v for n, v in fields(trainer) if n == 3 and isinstance(v, int)), UNIGRAM)
+
+
 def vocabulary(path: str) -> dict[str, float]:
-    """Log-probabilities of the ordinary pieces of a sentencepiece model, by their order in it."""
+    """Log-probabilities of the ordinary pieces of a sentencepiece model: its own scores if it is a unigram model, else by their order in it."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    total = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
-    return {p: -math.log(r + 1) - total for r, p in enumerate(pieces)}
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    if model_type(model.serialized_model_proto()) == UNIGRAM:
+        return {model.id_to_piece(i): model.get_score(i) for i in ids}
+    total = math.log(sum(1 / (r + 1) for r in range(len(ids))))
+    return {model.id_to_piece(i): -math.log(r + 1) - total for r, i in enumerate(ids)}
 
 
 class TrieCounter:
