@@ -6,19 +6,23 @@ edits of the item shares at least m - q + 1 - k*q of its character q-grams, all
 document less place in the item) at most k from one another's start. Shared q-grams are counted in
 overlapping diagonal bands of each item; bands that reach the bound are verified by banded alignment.
 
-The benchmark is dealt into blocks of about ``block_chars`` characters, each of which is broadcast; every
-document is scanned against every block.
+The benchmark is dealt into blocks of about ``block_chars`` characters, whose indexes tasks build and write to the
+shared folder. The documents are scanned once: a task reads one block after the other for each batch of
+documents, and holds one.
 
-Defined cases: null and empty texts, and items of fewer than q characters after normalisation, match
-nothing; an item of q characters or more that is too short for edits must occur exactly; items with equal
-text each match; repeated documents each match; of several regions the one with fewest edits, then the
+Items of fewer than q characters have no q-gram: an automaton finds them, as whole words and without edits.
+
+Defined cases: null and empty texts, and items without characters, match nothing; an item of q characters or
+more that is too short for edits must occur exactly; an item without an id matches like others, with a null id;
+items with equal text each match, equal rows once; repeated documents each match; of several regions the one with fewest edits, then the
 first, is reported; a very long text is scanned in overlapping pieces.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import texts_of, without
-from sinktrace.storage import spread
+from sinktrace.storage import materialise, scratch, spread
 
 Q, EDIT_RATE = 12, 0.05
 _MULTIPLIER, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 20
@@ -95,10 +99,13 @@ class Index:
     slots: np.ndarray
     q: int
     span: int = 0  # no region is longer
+    short: list[tuple[int | None, str]] = field(default_factory=list)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], q: int = Q, edit_rate: float = EDIT_RATE) -> Index:
-        found = [(i, c) for i, c in ((i, normalised((t or "").strip())[0]) for i, t in rows) if len(c) >= q]
+    def of(cls, rows: list[tuple[int | None, str | None]], q: int = Q, edit_rate: float = EDIT_RATE) -> Index:
+        every_item = [(i, normalised((t or "").strip())[0]) for i, t in rows]
+        found = [(i, c) for i, c in every_item if len(c) >= q]
+        short = [(i, _text(c)) for i, c in every_item if 0 < len(c) < q]
         sizes = np.array([len(c) for _, c in found], np.int64)
         edits = np.clip(np.minimum(np.floor(sizes * edit_rate), (sizes - q) // q), 0, None).astype(np.int64) if len(found) else sizes
         codes = [gram_codes(c, q) for _, c in found]
@@ -110,7 +117,26 @@ class Index:
         slots = np.zeros(1 << _SLOTS, bool)
         slots[(grams * _MULTIPLIER) >> np.uint64(64 - _SLOTS)] = True
         span = int((sizes + 4 * edits + 4).max()) if len(found) else 0
-        return cls([i for i, _ in found], [c for _, c in found], edits, sizes - q + 1 - edits * q, grams, np.append(low, len(every)), item[order], offset[order], slots, q, span)
+        return cls([i for i, _ in found], [c for _, c in found], edits, sizes - q + 1 - edits * q, grams, np.append(low, len(every)), item[order], offset[order], slots, q, span, short)
+
+    def _short_matches(self, whole: np.ndarray) -> Iterator[tuple[int | None, int, int]]:
+        """The first place of each short item that stands alone: item_id, start and end."""
+        if not hasattr(self, "_automaton"):
+            import ahocorasick
+
+            self._automaton = ahocorasick.Automaton()
+            of_text: dict[str, list[int | None]] = {}
+            for i, t in self.short:
+                of_text.setdefault(t, []).append(i)
+            for t, ids in of_text.items():
+                self._automaton.add_word(t, (t, ids))
+            self._automaton.make_automaton()
+        text, seen = _text(whole), set()
+        for end, (t, ids) in self._automaton.iter(text):
+            start = end + 1 - len(t)
+            if t not in seen and not text[max(0, start - 1) : start].isalnum() and not text[end + 1 : end + 2].isalnum():
+                seen.add(t)
+                yield from ((i, start, end + 1) for i in ids)
 
     def _candidates(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and ranges of diagonals whose q-grams reach the bound."""
@@ -147,11 +173,11 @@ class Index:
 
     def matches(self, text: str | None) -> list[dict]:
         """The best region of each item within its edits: item_id, distance, and start and end in the text."""
-        if not text or not self.items:
+        if not text or not (self.items or self.short):
             return []
         whole, where = normalised(text)
         best: dict[int, tuple[int, int, int]] = {}
-        for lo in range(0, max(1, len(whole)), _PIECE):
+        for lo in range(0, max(1, len(whole)) if self.items else 0, _PIECE):
             codes = whole[lo : lo + _PIECE + self.span]
             for i, a, b in self._candidates(codes):
                 if b <= 0 or i in best and best[i][0] == 0:  # before the text, or nothing can be better
@@ -169,7 +195,14 @@ class Index:
                     size = _anchored(item, region[:end], distance)
                     found = (distance, lo + first + end - size, lo + first + end)
                 best[i] = min(best.get(i, found), found)
-        return [{"item_id": self.ids[i], "distance": d, "start": int(where[a]), "end": int(where[b - 1]) + 1} for i, (d, a, b) in sorted(best.items())]
+        out = [(self.ids[i], d, a, b) for i, (d, a, b) in sorted(best.items())]
+        if self.short:
+            out += [(i, 0, a, b) for i, a, b in self._short_matches(whole)]
+        return [{"item_id": i, "distance": d, "start": int(where[a]), "end": int(where[b - 1]) + 1} for i, d, a, b in out]
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "replace")
 
 
 def _exact(region: bytes, item: bytes) -> int:
@@ -192,51 +225,86 @@ def _anchored(item: np.ndarray, text: np.ndarray, distance: int) -> int:
     return int(np.flatnonzero(row <= distance)[0])
 
 
-def _blocks(benchmark: DataFrame, q: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
-    """The benchmark's index in blocks of about ``block_chars`` characters, dealt by hash."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-chars // block_chars))
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()
-        yield Index.of(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in rows), q, edit_rate)
+def _open(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_indexes(benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000) -> list[str]:
+    """Write the benchmark's index to the shared folder in blocks of about ``block_chars`` characters, dealt by hash; returns the files."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    n_blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    out = scratch(spark, "decontaminate")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt, rows = TaskContext.get().taskAttemptId(), {}
+        for batch in batches:  # a task has a few blocks
+            for block, i, text in zip(*(batch.column(c).to_pylist() for c in ("block", "item_id", "text")), strict=True):
+                rows.setdefault(block, []).append((i, text))
+        for block, found in rows.items():
+            index = Index.of(sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1])), q, edit_rate)
+            uri = f"{out}/block-{block}-{attempt}"
+            where, path = _open(uri)
+            where.create_dir(_open(out)[1], recursive=True)
+            with where.open_output_stream(path) as f:
+                f.write(pickle.dumps(index, 5))
+            yield pa.RecordBatch.from_pydict({"block": [block], "uri": [uri]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))).repartition(n_blocks, "block")
+    written = materialise(dealt.mapInArrow(write, "block long, uri string"), "decontaminate-blocks")
+    return [r.uri for r in written.orderBy("block").collect()]  # one short row for each million characters
+
+
+_HELD: dict[str, Index] = {}  # the last index that was read by this Python worker
+
+
+def _read(uri: str) -> Index:
+    if uri not in _HELD:
+        where, path = _open(uri)
+        with where.open_input_file(path) as f:
+            index = pickle.loads(f.read())
+        _HELD.clear()
+        _HELD[uri] = index
+    return _HELD[uri]
+
+
+def _matches(column: pa.Array, uris: list[str]) -> list[list[dict]]:
+    """The matches of each text, block after block."""
+    out: list[list[dict]] = [[] for _ in range(len(column))]
+    for uri in uris:
+        index = _read(uri)
+        for found, text in zip(out, texts_of(column), strict=True):
+            found += index.matches(text)
+    return out
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns, whose text holds no benchmark passage."""
+    uris = write_indexes(benchmark, q, edit_rate, block_chars)
 
-    def cleaner(index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not index.value.matches(t) for t in texts_of(batch.column("text"))], pa.bool_()))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not m for m in _matches(batch.column("text"), uris)], pa.bool_()))
 
-    for index in _blocks(benchmark, q, edit_rate, block_chars):
-        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = 1_000_000, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Columns of docs (or ``keep`` of them), then ``matches``: the benchmark passages that each text holds."""
     keep = without(docs.columns if keep is None else keep, "matches", "__text")
     found = docs.select(*keep, docs["text"].cast("string").alias("__text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in found.schema)
-
-    def scanner(index, earlier: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [index.value.matches(t) for t in texts_of(batch.column("__text"))]
-                if earlier:
-                    rows = [a + b for a, b in zip(batch.column("matches").to_pylist(), rows, strict=True)]
-                names = [c for c in batch.schema.names if c != "matches"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, _MATCH_TYPE)], [*names, "matches"])
-
-        return run
-
-    for block, index in enumerate(_blocks(benchmark, q, edit_rate, block_chars)):
-        found = found.mapInArrow(scanner(docs.sparkSession.sparkContext.broadcast(index), block > 0), f"{fields}matches {MATCHES}")
-    return found.drop("__text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    uris = write_indexes(benchmark, q, edit_rate, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(_matches(batch.column("__text"), uris), _MATCH_TYPE)], [*keep, "matches"])
+
+    return found.mapInArrow(run, f"{fields}matches {MATCHES}")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

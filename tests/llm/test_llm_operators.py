@@ -426,11 +426,43 @@ def test_token_counts_are_best_segmentations(docs, clashing, empty, rows):
     for t in (docs, clashing):
         assert by_id(token_counts.count_tokens(t, path("piece_bpe_32k.model")), "n_pretokens", "n_tokens") == sorted(expected, key=str)
     assert token_counts.count_tokens(empty, path("piece_bpe_32k.model")).count() == 0
+    assert min(pieces.values()) == list(pieces.values())[-1] and math.isclose(sum(map(math.exp, pieces.values())), 1)
     small = token_counts.TrieCounter(pieces, limit=3)  # begins anew again and again
     texts = [t or "" for _, t, *_ in rows[:30]]
     assert [n for _, n, _ in small.count(texts)] == [n for _, _, n in expected[:30]]
 
 
+def test_a_unigram_model_has_its_own_scores(tmp_path):
+    piece = lambda text, score: byte_bpe._field(1, byte_bpe._field(1, text.encode()) + byte_bpe._field(2, score))
+    unknown = byte_bpe._field(1, byte_bpe._field(1, b"<unk>") + byte_bpe._field(2, 0.0) + byte_bpe._field(3, 2))
+    pieces = {"▁a": -1.5, "b": -2.25, "▁": -4.0, "a": -3.0}
+    body = unknown + b"".join(piece(t, s) for t, s in pieces.items())
+    (tmp_path / "unigram.model").write_bytes(body + byte_bpe._field(2, byte_bpe._field(3, 1)))
+    assert token_counts.vocabulary(f"{tmp_path}/unigram.model") == pieces
+    (tmp_path / "bpe.model").write_bytes(body + byte_bpe._field(2, byte_bpe._field(3, 2)))
+    assert list(token_counts.vocabulary(f"{tmp_path}/bpe.model").values()) == sorted(token_counts.vocabulary(f"{tmp_path}/bpe.model").values(), reverse=True)
+    assert [n for _, n, _ in token_counts.TrieCounter(pieces).count(["ab a b"])] == [2 + 1 + 2]
+
+
+def test_repeats_within_a_text_are_judged_by_words_even_if_codes_meet():
+    words = [bytes([c]) for c in b"abcabcabdabc"]
+    same = np.zeros(len(words), np.uint64)  # all words have one code
+    assert repeats.repeated_within(words, same, 3).tolist() == [tuple(words[i : i + 3]) in {tuple(words[j : j + 3]) for j in range(i)} for i in range(10)]
+
+
+def test_many_rows_without_an_id_are_no_hot_key(spark):
+    r = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(50)) for _ in range(40)) + (" " + shared if i % 3 == 0 else "") for i in range(300)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0]), (7, texts[1]), (7, texts[2])], "doc_id long, text string")
+    found = repeats.remove_repeats(docs).collect()
+    assert len(found) == 303
+    # Rows without an id are at one place: a window at an equal or later start in another of them is not earlier.
+    first = min(t.split().index("s0") for t in texts if shared in t)
+    assert sorted(x.n_removed for x in found if x.doc_id is None) == sorted([0 if shared not in t or t.split().index("s0") == first else 30 for t in [*texts, texts[0]]])
+    assert [x.n_removed for x in found if x.doc_id == 7] == [40, 40]
+
+
 def fewest_edits(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item):
@@ -456,6 +488,7 @@ def test_decontamination_finds_all_within_the_budget(spark, docs, clashing, empt
         text = " ".join(word() for _ in range(30)) + " " + "".join(piece).upper().replace(" ", r.choice([" ", "\n", "  "])) + " " + " ".join(word() for _ in range(30))
         texts.append((d, text))
         plain = " ".join(text.lower().split())
+        expected |= {(d, 50, 0) for _ in [0] if re.search(r"\btiny\b", plain)}
         expected |= {(d, j, fewest_edits(t, plain)) for j, t in items[:12] if fewest_edits(t, plain) <= int(len(t) * decontaminate.EDIT_RATE)}
     bench = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(texts, "doc_id long, text string")
@@ -470,6 +503,10 @@ def test_decontamination_finds_all_within_the_budget(spark, docs, clashing, empt
     for t in (docs, clashing, empty):
         decontaminate.with_matches(t, bench).count()
     assert decontaminate.with_matches(frame, bench.where("item_id > 99")).where("size(matches) > 0").count() == 0
+    tiny = spark.createDataFrame([(1, "A Tiny\nthing"), (2, "tinything, untiny"), (3, "so tiny. tiny"), (4, "no name")], "doc_id long, text string")
+    short = spark.createDataFrame([(9, "tiny"), (None, "no  NAME"), (9, "tiny"), (8, "")], "item_id long, text string")
+    got = {(x.doc_id, m.item_id, m.distance, m.start, m.end) for x in decontaminate.with_matches(tiny, short).collect() for m in x.matches}
+    assert got == {(1, 9, 0, 2, 6), (3, 9, 0, 3, 7), (4, None, 0, 0, 7)}
     assert [m["distance"] for m in decontaminate.Index.of([(52, "exactly this here")]).matches("so Exactly  this\nhere it is")] == [0]
 
 
