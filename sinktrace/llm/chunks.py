@@ -13,28 +13,18 @@ a cache, and all that the cache lacks is made by one call.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-_GROUP = 1 << 22  # bytes that are cut together
 _SPACES = np.zeros(256, bool)
 _SPACES[[*range(9, 14), *range(28, 33)]] = True
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_BASE = 0x9E3779B97F4A7C15
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the hash's base and of its inverse, for texts of n bytes."""
-    if not _POWERS or len(_POWERS[0]) <= n:
-        _POWERS[:] = [_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)]
-    return _POWERS
+def _powers(n: int) -> np.ndarray:
+    """The powers 0 to n of the hash's base."""
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]))
 
 
 def cuts(b: np.ndarray) -> np.ndarray:
@@ -118,11 +108,12 @@ class ChunkCache:
     """Remembers what ``make`` gives for a chunk: a bytes value for each output, of which ``units`` has the sizes of an item.
 
     ``make`` takes a list of chunks and returns a tuple of bytes for each. About ``limit`` chunks are held,
-    those of use lately, so a worker's memory is bounded and frequent chunks are made once.
+    those of use lately, so a worker's memory is bounded and frequent chunks are made once. Some ``group`` bytes of text
+    are cut together, and no more than twice as many.
     """
 
-    def __init__(self, make: Callable[[list[str]], list[tuple[bytes, ...]]], units: tuple[int, ...] = (1,), limit: int = 400_000):
-        self.make, self.units, self.recent = make, units, _Recent(limit)
+    def __init__(self, make: Callable[[list[str]], list[tuple[bytes, ...]]], units: tuple[int, ...] = (1,), limit: int = 400_000, group: int = 1 << 21):
+        self.make, self.units, self.recent, self.group, self.power = make, units, _Recent(limit), group, _powers(2 * group)
 
     def _made(self, keys: list[bytes]) -> list[tuple[bytes, ...]]:
         return self.make([k.decode() for k in keys])
@@ -134,11 +125,12 @@ class ChunkCache:
         begins[0] = begins[cuts(b)] = begins[ends] = True
         starts = np.flatnonzero(begins[:-1])
         lengths = np.diff(np.append(starts, len(b)))
-        power, inverse = _tables(len(b))
+        power = self.power
         sums = np.zeros(len(b) + 1, np.uint64)
         np.multiply(b, power[: len(b)], out=sums[1:])
         np.cumsum(sums, out=sums)
-        code = (sums[starts + lengths] - sums[starts]) * inverse[starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        # Each chunk's sum, raised to the same power wherever the chunk begins.
+        code = (sums[starts + lengths] - sums[starts]) * power[2 * self.group - starts] + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         _, first, inv = np.unique(code, return_index=True, return_inverse=True)
         del sums
         stands = first[inv]
@@ -165,15 +157,21 @@ class ChunkCache:
             out.append([view[x:y] for x, y in zip(places, places[1:], strict=False)])
         return list(zip(*out, strict=True))
 
-    def many(self, texts: list[str | None]) -> Iterator[tuple[memoryview, ...]]:
+    def _whole(self, raw: bytes) -> tuple[bytes, ...]:
+        """A piece that has no safe place to cut it, chunk by chunk."""
+        bounds = [0, *cuts(np.frombuffer(raw, np.uint8)).tolist(), len(raw)]
+        values = self._made([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)])
+        return tuple(b"".join(v[k] for v in values) for k in range(len(self.units)))
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[tuple[memoryview, ...]]:
         """The outputs for each text, null being empty: those of its chunks, joined."""
         held, size = [], 0
         for text in texts:
             raw = (text or "").encode()
-            if len(raw) > 2 * _GROUP:  # piece by piece, cut between a letter or digit and a space
+            if len(raw) > self.group:  # piece by piece, cut between a letter or digit and a space
                 pieces, lo = [], 0
                 while lo < len(raw):
-                    hi = raw.find(b" ", lo + _GROUP)
+                    hi = raw.find(b" ", lo + self.group // 2)
                     while hi > 0 and not raw[hi - 1 : hi].isalnum():
                         hi = raw.find(b" ", hi + 1)
                     hi = len(raw) if hi < 0 else hi
@@ -182,12 +180,15 @@ class ChunkCache:
                 if held:
                     yield from self._group(held)
                     held, size = [], 0
-                done = [self._group([p])[0] for p in pieces]
+                done = [self._group([p])[0] if len(p) <= 2 * self.group else tuple(map(memoryview, self._whole(p))) for p in pieces]
                 yield tuple(memoryview(b"".join(p[k] for p in done)) for k in range(len(self.units)))
                 continue
+            if size + len(raw) > 2 * self.group:
+                yield from self._group(held)
+                held, size = [], 0
             held.append(raw)
             size += len(raw)
-            if size > _GROUP:
+            if size > self.group:
                 yield from self._group(held)
                 held, size = [], 0
         if held:
