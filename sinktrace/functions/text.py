@@ -89,3 +89,14 @@ def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
 def file_name(name: Column) -> Column:
     """A name that is safe in a download header: other characters become one underscore each run."""
     return F.regexp_replace(F.regexp_replace(name, r"[^\w.\-]+", "_"), r"^[._]+|[._]+$", "")
+
+
+def is_identifier(literal: Column) -> Column:
+    """Whether a string literal could be the name of a method: 3 to 64 characters of an identifier."""
+    return literal.rlike(r"^[A-Za-z_$][A-Za-z0-9_$]{2,63}$")
+
+
+def console_row(cells: list[tuple[Column, int]]) -> Column:
+    """A line of a table for a terminal: each cell as wide as its number says, to the left if that is negative."""
+    padded = [F.rpad(c, -w, " ") if w < 0 else F.lpad(c, w, " ") for c, w in cells]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *padded), F.lit(" |"))

@@ -142,7 +142,7 @@ def cvss_score(spark, sf_dir):
     return first.join(F.broadcast(cvss.vectors(spark)), "cwe", "left").select("seq", "vector", "score")  # 42 rows
 
 
-_WORST_SQL = f"""WITH {_VECTORS_SQL}, {_SCORE_SQL}, {FINDINGS_SQL}, each AS (SELECT seq, unnest({_IDS_SQL}) AS id FROM findings),
+_WORST_SQL = _GRADED_SQL = f"""WITH {_VECTORS_SQL}, {_SCORE_SQL}, {FINDINGS_SQL}, each AS (SELECT seq, unnest({_IDS_SQL}) AS id FROM findings),
 ranked AS (SELECT e.seq, v.vector, s.score, row_number() OVER (PARTITION BY e.seq ORDER BY s.score DESC, v.vector) AS r FROM each e JOIN vectors v ON e.id = v.cwe JOIN scores s ON s.vector = v.vector),
 worst AS (SELECT f.seq, f.verdict, f.sink_file, f.sink_line, f.severity, coalesce(r.vector, '{cvss.DEFAULT_VECTOR}') AS vector, coalesce(r.score, 7.5::DOUBLE) AS score FROM findings f LEFT JOIN ranked r ON f.seq = r.seq AND r.r = 1),
 graded AS (SELECT *, CASE WHEN verdict = 'no' THEN 'low' WHEN verdict = 'yes' THEN band ELSE CASE band WHEN 'critical' THEN 'high' WHEN 'high' THEN 'medium' ELSE 'low' END END AS risk_level FROM (SELECT *, {_BAND_SQL} AS band FROM worst))"""
@@ -502,13 +502,16 @@ def progress_latest(spark, sf_dir):
     return live.latest_progress(table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("scan_id"), e.alias("seq"), F.col("event_type").alias("stage"), (e % 3).alias("done"), (e % 5).alias("total")))
 
 
-@query("""WITH beats AS (SELECT user_id % 100 AS client, ts AS opened, ts + CASE WHEN event_type = 'error' THEN INTERVAL 480 MINUTE ELSE INTERVAL 1200 MINUTE END AS until FROM events),
-flag AS (SELECT *, CASE WHEN opened <= max(until) OVER (PARTITION BY client ORDER BY opened, until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM beats),
-grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY client ORDER BY opened, until ROWS UNBOUNDED PRECEDING) AS g FROM flag)
-SELECT client, CAST(min(opened) AS VARCHAR) AS opened, count(*) AS beats FROM grouped GROUP BY client, g""")
+@query("""WITH e AS (SELECT user_id % 100 AS client, event_id AS seq, ts, event_type = 'error' AS closing FROM events),
+g AS (SELECT *, sum(CASE WHEN closing THEN 0 ELSE 1 END) OVER (PARTITION BY client ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS g FROM e),
+b AS (SELECT client, g, min(ts) FILTER (WHERE NOT closing) AS ts, min(ts) FILTER (WHERE closing) AS closed FROM g WHERE g > 0 GROUP BY client, g),
+u AS (SELECT *, CASE WHEN closed <= ts + INTERVAL 1200 MINUTE THEN least(ts + INTERVAL 1200 MINUTE, closed + INTERVAL 480 MINUTE) ELSE ts + INTERVAL 1200 MINUTE END AS until FROM b),
+o AS (SELECT *, CASE WHEN ts > lag(until) OVER (PARTITION BY client ORDER BY g) THEN 1 ELSE 0 END AS opens FROM u),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY client ORDER BY g ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT client, CAST(min(ts) AS VARCHAR) AS opened, CAST(arg_max(until, g) AS VARCHAR) AS deadline, count(*) AS beats FROM s GROUP BY client, session""")
 def heartbeat_sessions(spark, sf_dir):
-    beats = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("client"), "ts", (F.col("event_type") == "error").alias("closing"))
-    return live.heartbeat_sessions(beats, 72_000, 28_800).select("client", F.col("opened").cast("string").alias("opened"), "beats")
+    beats = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("client"), F.col("event_id").alias("seq"), "ts", (F.col("event_type") == "error").alias("closing"))
+    return live.heartbeat_sessions(beats, 72_000, 28_800).select("client", F.col("opened").cast("string").alias("opened"), F.col("deadline").cast("string").alias("deadline"), "beats")
 
 
 _STATUS_SQL = "CASE event_id % 11 WHEN 0 THEN 'paused' WHEN 1 THEN 'resumed' WHEN 2 THEN 'scanning' WHEN 3 THEN 'verifying' WHEN 4 THEN CASE WHEN user_id % 13 = 0 THEN 'done' ELSE 'indexing' END ELSE 'reporting' END"
@@ -671,7 +674,7 @@ def copy_bounds(spark, sf_dir):
     return rows.groupBy("l_orderkey", "l_linenumber", "bounds").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'request mapping' WHEN 1 THEN 'request type' ELSE 'message or schedule' END AS reason, p_partkey % 4 <> 1 AS definitive FROM part WHERE p_partkey % 4 < 3""")
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'request mapping' WHEN 1 THEN 'request type' ELSE 'message' END AS reason, p_partkey % 4 <> 1 AS definitive FROM part WHERE p_partkey % 4 < 3""")
 def entry_points(spark, sf_dir):
     k = F.col("p_partkey") % 4
     above = F.when(k == 0, "  @GetMapping(\"/x\")\n  @Other").when(k == 2, "  @KafkaListener(topics = \"t\")").otherwise("  // none")

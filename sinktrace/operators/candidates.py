@@ -102,3 +102,13 @@ def dedup_copies(candidates: DataFrame) -> DataFrame:
     keyed = candidates.withColumn("rules", F.array_join(F.array_sort("rule_ids"), ","))
     first = keyed.groupBy(*keys).agg(F.min("seq").alias("first_seq"))
     return keyed.join(first, keys).select("seq", "sink_file", "first_seq")
+
+
+def matched_bytes(content: Column, start: Column, end: Column) -> Column:
+    """The bytes of a file from one offset up to another; none if they are not in order."""
+    return F.when((start >= 0) & (end >= start), F.substring(content, start + 1, end - start))
+
+
+def matched_source(content: Column, start: Column, end: Column) -> Column:
+    """The text that a rule matched, by byte offsets; bytes that are no UTF-8 are replaced, and where there is nothing it is empty."""
+    return F.coalesce(F.make_valid_utf8(matched_bytes(content, start, end).cast("string")), F.lit(""))

@@ -1,30 +1,98 @@
-"""Rules that a line of code matches, as one join of lines and a small rule table."""
+"""Rules that a line or a statement matches, and the checks that settle what they find."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Patterns of our own; the ids, weakness classes and severities are fixed values.
+from sinktrace.operators import validators
+
+# A value that is no constant: it holds a name that is neither quoted nor written in capitals.
+_VALUE = r"(?:\s*\"[^\"]*\"\s*[,+])*[^;\"]*?(?<![\"\w$.])(?!(?:new|null|true|false|this)\b)[a-z_$][\w$]*(?:\.[\w$]+|\([^;]*?\))*[^;]*?"
+
+# Patterns of our own; the ids, weakness classes, severities and checks are fixed values.
 RULES = (
-    ("CPP001", "cpp", r"(?<![\w.>])(?:std::|::)?(strcpy|strcat|sprintf|gets)\s*\(", "CWE-120", "ERROR"),
-    ("CPP002", "cpp", r"(?<![\w.>])(?:std::|::)?system\s*\(", "CWE-78", "ERROR"),
-    ("CPP003", "cpp", r"(?<![\w.>])(?:::)?(popen|exec[lv]p?e?)\s*\(", "CWE-78", "ERROR"),
-    ("CPP004", "cpp", r"(?<![\w.>])(?:std::|::)?memcpy\s*\(", "CWE-120", "WARNING"),
-    ("CPP008", "cpp", r"(?<![\w.>])(?:std::|::)?(mktemp|tmpnam)\s*\(", "CWE-377", "WARNING"),
-    ("python-sql-format", "python", r"\.execute\s*\(\s*(f[\"']|[\"'][^\"']*[\"']\s*(%|\+|\.format\b)|\w+\s*\+)", "CWE-89", "ERROR"),
-    ("kotlin-sql-format", "kotlin", r"\.(executeQuery|executeUpdate|rawQuery|execSQL|createNativeQuery)\s*\(\s*(\"[^\"]*(\$\{?\w)|\"[^\"]*\"\s*\+)", "CWE-89", "ERROR"),
-    ("rust-sql-format", "rust", r"(query|execute|prepare)\w*\s*\(\s*&?(format!\s*\(|String::from\([^)]*\)\s*\+|\"[^\"]*\"\.to_string\(\)\s*\+)", "CWE-89", "ERROR"),
-    ("rust-shell-argument", "rust", r"Command::new\(\s*\"(/bin/)?(ba|z)?sh\"\s*\)\s*\.arg\(\s*\"-c\"\s*\)\s*\.arg\(\s*[^\")]", "CWE-78", "ERROR"),
-    ("mybatis-substitution", "xml", r"\$\{(?!criterion\.condition\})[^}]*\}", "CWE-89", "ERROR"),
-)
+    ("CPP001", "cpp", r"(?<![\w.>])(?:std::|::)?(strcpy|strcat|sprintf|gets)\s*\(", "CWE-120", "ERROR", "standard-function-call"),
+    ("CPP002", "cpp", r"(?<![\w.>])(?:std::|::)?system\s*\(", "CWE-78", "ERROR", "standard-function-call"),
+    ("CPP003", "cpp", r"(?<![\w.>])(?:::)?(popen|exec[lv]p?e?)\s*\(", "CWE-78", "ERROR", "standard-function-call"),
+    ("CPP004", "cpp", r"(?<![\w.>])(?:std::|::)?memcpy\s*\(", "CWE-120", "WARNING", "standard-function-call,memcpy-bounds"),
+    ("CPP005", "cpp", r"\bdelete\s*(\[\s*\])?\s*[A-Za-z_][\w.>-]*\s*;", "CWE-762", "ERROR", "new-delete-mismatch"),
+    ("CPP006", "cpp", r"(?<![\w*/])\*\s*[A-Za-z_]\w*\s*[=;.)]|\b[A-Za-z_]\w*\s*->", "CWE-476", "ERROR", "null-dereference"),
+    ("CPP007", "cpp", r"(?i)\b\w*(password|passwd|secret|token|api_?key)\w*\s*(\[\s*\])?\s*=(?!=)", "CWE-798", "WARNING", "hardcoded-secret"),
+    ("CPP008", "cpp", r"(?<![\w.>])(?:std::|::)?(mktemp|tmpnam|chmod|fopen|open)\s*\(", "CWE-377", "WARNING", "standard-function-call,dangerous-file-operation"),
+    ("python-sql-format", "python", r"\.execute\s*\(\s*(f[\"']|[\"'][^\"']*[\"']\s*(%|\+|\.format\b)|\w+\s*\+)", "CWE-89", "ERROR", ""),
+    ("kotlin-sql-format", "kotlin", r"\.(executeQuery|executeUpdate|rawQuery|execSQL|createNativeQuery)\s*\(\s*(\"[^\"]*(\$\{?\w)|\"[^\"]*\"\s*\+)", "CWE-89", "ERROR", ""),
+    ("rust-sql-format", "rust", r"(query|execute|prepare)\w*\s*\(\s*&?(format!\s*\(|String::from\([^)]*\)\s*\+|\"[^\"]*\"\.to_string\(\)\s*\+)", "CWE-89", "ERROR", ""),
+    ("rust-shell-argument", "rust", r"Command::new\(\s*\"(/bin/)?(ba|z)?sh\"\s*\)\s*\.arg\(\s*\"-c\"\s*\)\s*\.arg\(\s*[^\")]", "CWE-78", "ERROR", ""),
+    ("mybatis-substitution", "xml", r"\$\{(?!criterion\.condition\})[^}]*\}", "CWE-89", "ERROR", ""),
+)
+
+# The same for statements, which may spread over several lines.
+STATEMENT_RULES = (
+    ("java-shell-command", "java", r"\.exec\s*\(" + _VALUE + r"\)|new\s+ProcessBuilder\s*\([^;]*\"(?:/bin/)?(?:ba)?sh\"[^;]*\"-c\"\s*," + _VALUE + r"\)", "CWE-78", "ERROR", ""),
+    ("java-file-path", "java", r"(?:new\s+File(?:InputStream|OutputStream|Reader|Writer)?|\bPaths\.get|\bPath\.of|\.resolve)\s*\(" + _VALUE + r"\)", "CWE-22", "WARNING", ""),
+    ("java-request-url", "java", r"(?:new\s+UR[LI]|\bURI\.create)\s*\(" + _VALUE + r"\)", "CWE-918", "WARNING", ""),
+    ("java-location-header", "java", r"(?:sendRedirect\s*\(|(?:set|add)Header\s*\(\s*\"Location\"\s*,)" + _VALUE + r"\)", "CWE-601", "WARNING", ""),
+    ("java-spel-expression", "java", r"new\s+SpelExpressionParser\s*\([^)]*\)\s*\.parseExpression\s*\(" + _VALUE + r"\)", "CWE-917", "ERROR", ""),
+    ("java-xml-unmarshal", "java", r"\.unmarshal\s*\([^;]*\b(?:getInputStream|getReader)\s*\(", "CWE-611", "ERROR", ""),
+)
+_COLUMNS = "rule_id string, lang string, pattern string, cwe string, severity string, validators string"
+
+# The checks by name: of the statement, the file's text before it, and the whole file.
+VALIDATORS = {
+    "standard-function-call": lambda statement, before, text: validators.standard_call(statement, text, F.regexp_extract(statement, r"(\w+)\s*\(", 1)),
+    "memcpy-bounds": lambda statement, before, text: validators.copy_bounds(statement, text) != "safe",
+    "new-delete-mismatch": lambda statement, before, text: validators.new_delete_mismatch(statement, before, text),
+    "null-dereference": lambda statement, before, text: validators.null_dereference(statement, before),
+    "hardcoded-secret": lambda statement, before, text: validators.secret_assignment(statement, text),
+    "dangerous-file-operation": lambda statement, before, text: validators.dangerous_file_operation(statement),
+}
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RULES), "rule_id string, lang string, pattern string, cwe string, severity string")
+    return spark.createDataFrame(list(RULES), _COLUMNS)
+
+
+def statement_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(STATEMENT_RULES), _COLUMNS)
 
 
 def scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (path, line_no, rule_id, cwe, severity) of lines (path, lang, line_no, text) that a rule of their language matches."""
-    hits = lines.join(F.broadcast(rules), "lang").where(F.expr("text RLIKE pattern"))  # a dozen rules
-    return hits.select("path", "line_no", "rule_id", "cwe", "severity")
+    """Rows (path, line_no, rule_id, cwe, severity, validators, statement) of lines (path, lang, line_no, text) that a rule of their language
+    matches, ``statement`` being the match and what follows it. Each pattern is a literal of the plan, so it is compiled once."""
+    rows = rules.collect()  # a few dozen
+
+    def hit(r) -> Column:
+        found = F.regexp_extract("text", f"(?s)({r.pattern}.*)", 1)
+        told = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.validators).alias("validators"), found.alias("statement"))
+        return F.when((F.col("lang") == r.lang) & F.col("text").rlike(r.pattern), told)
+
+    hits = lines.select("path", "line_no", F.explode(F.array_compact(F.array(*map(hit, rows)))).alias("h"))
+    return hits.select("path", "line_no", "h.*")
+
+
+def statements_of(lines: DataFrame) -> DataFrame:
+    """Statements of a file's lines: path, lang, line_no (where each begins), text. A line that ends in ; { or } ends one."""
+    before = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.when(F.col("text").rlike(r"[;{}]\s*$"), 1).otherwise(0)
+    numbered = lines.withColumn("statement", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return numbered.groupBy("path", "lang", "statement").agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text")).drop("statement")
+
+
+def accepted(names: Column, statement: Column, before: Column, text: Column) -> Column:
+    """Whether all the checks that a rule names (joined by commas) pass; a name that is not known fails, none passes."""
+    listed = F.filter(F.split(names, ","), lambda n: F.trim(n) != "")
+    out = F.size(F.array_except(listed, F.array(*map(F.lit, VALIDATORS)))) == 0
+    for name, check in VALIDATORS.items():
+        out = out & (~F.array_contains(listed, name) | F.coalesce(F.when(F.array_contains(listed, name), check(statement, before, text)), F.lit(False)))
+    return out
+
+
+def validated(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits whose checks pass against their file (path, text), with the details of copies: message, rule_confidence, static_analysis."""
+    lines = F.split("text", r"\r\n|\r|\n")
+    met = hits.join(files.select("path", "text"), "path").withColumn("before", F.array_join(F.slice(lines, 1, F.greatest(F.col("line_no") - 1, F.lit(0))), "\n"))
+    kept = met.where(accepted(F.col("validators"), F.col("statement"), F.col("before"), F.col("text")))
+    details = F.when(F.contains("validators", F.lit("memcpy-bounds")), validators.copy_details(F.col("statement"), F.col("text")))
+    return kept.withColumn("details", details).select(*hits.columns, "details.*")

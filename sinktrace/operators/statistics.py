@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinktrace.functions.text import basename, slashed
@@ -14,8 +14,16 @@ def _verdict_counts() -> list:
     return [F.count_if(F.col("verdict") == v).alias(v) for v in _COUNTS]
 
 
+def rule_ids_of(rule_ids: Column, rule_id: Column | None = None) -> Column:
+    """The rule ids of a merged candidate without blanks, or the one rule id if there are none."""
+    named = F.filter(F.coalesce(rule_ids, F.array().cast("array<string>")), lambda r: F.trim(r) != "")
+    if rule_id is None:
+        return named
+    return F.when(F.size(named) > 0, named).otherwise(F.filter(F.array(rule_id), lambda r: F.trim(F.coalesce(r, F.lit(""))) != ""))
+
+
 def _exploded(findings: DataFrame) -> DataFrame:
-    rules = F.filter("rule_ids", lambda r: F.trim(r) != "")
+    rules = rule_ids_of(F.col("rule_ids"), F.col("rule_id") if "rule_id" in findings.columns else None)
     return findings.withColumn("solo", F.size(rules) == 1).withColumn("rule", F.explode(rules))
 
 

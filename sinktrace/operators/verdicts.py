@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinktrace.storage import numbered
+
 VERDICTS = ("yes", "uncertain", "no", "failed", "unverified")
 
 
@@ -35,7 +37,38 @@ def facets(findings: DataFrame, keys: list[str]) -> DataFrame:
     for g, k in which.items():
         name, value = F.when(F.col("g") == g, F.lit(k)).otherwise(name), F.when(F.col("g") == g, F.col(k).cast("string")).otherwise(value)
     named = sets.select(name.alias("facet"), value.alias("value"), "n")
-    return named.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value")))
+    return within(numbered(named, "rank", F.col("facet"), F.desc("n"), F.col("value")), "rank", "facet")
+
+
+def facet_pages(ranked: DataFrame, page: int = 5) -> DataFrame:
+    """Facet values with whether they show at once or behind the button for more, and how many there are: facet, value, n, rank, shown, of."""
+    sizes = ranked.groupBy("facet").agg(F.max("rank").alias("of"))
+    return ranked.join(F.broadcast(sizes), "facet").withColumn("shown", F.col("rank") <= page)  # a row for each facet
+
+
+def within(rows: DataFrame, place: str, key: str) -> DataFrame:
+    """Places over all rows, in order of a key of few values, as places within each value of the key."""
+    low = rows.groupBy(key).agg(F.min(place).alias("__low"))
+    return rows.join(F.broadcast(low), key).withColumn(place, F.col(place) - F.col("__low") + 1).drop("__low")
+
+
+def selected(findings: DataFrame, verdict: str | None = None, label: str | None = None, file: str | None = None, risk_level: str | None = None) -> DataFrame:
+    """Findings that meet every choice made: by verdict, kind, file and risk level."""
+    for column, value in (("verdict", verdict), ("label", label), ("sink_file", file), ("risk_level", risk_level)):
+        if value is not None:
+            findings = findings.where(F.col(column) == value)
+    return findings
+
+
+def first_findings(findings: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` findings in input order."""
+    return findings.orderBy("seq").limit(limit)
+
+
+def persisted(candidates: DataFrame, findings: DataFrame) -> DataFrame:
+    """A row for each candidate (seq): its finding, or one that says unverified. findings: seq, verdict, confidence, reasoning."""
+    met = candidates.join(findings.select("seq", "verdict", "confidence", "reasoning"), "seq", "left")
+    return met.withColumn("verdict", F.coalesce("verdict", F.lit("unverified")))
 
 
 def report_rank(verdict: Column, severity: Column) -> list[Column]:
@@ -47,4 +80,4 @@ def report_rank(verdict: Column, severity: Column) -> list[Column]:
 
 def numbered_by_level(findings: DataFrame) -> DataFrame:
     """Findings numbered from 1 within their risk level, by place."""
-    return findings.withColumn("number", F.row_number().over(Window.partitionBy("risk_level").orderBy("sink_file", "sink_line", "seq")))
+    return within(numbered(findings, "number", F.col("risk_level"), F.col("sink_file"), F.col("sink_line"), F.col("seq")), "number", "risk_level")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sinktrace.storage import materialise
+from sinktrace.functions.text import language as detected
+from sinktrace.functions.text import reply_json
+from sinktrace.storage import materialise, scratch
 
 FINDING = "struct<reachable: string, sanitized: boolean, confidence: int, reasoning: string>"
 STATIC_CONFIDENCE = {"HIGH": 95, "MEDIUM": 75, "LOW": 55}
@@ -24,9 +28,60 @@ def split_by_cache(asked: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return hits, misses
 
 
+def is_rate_limited(status: Column, kind: Column, message: Column) -> Column:
+    """Whether an error says that there were too many requests: by its status, the name of its kind, or 429 in its message."""
+    named = F.lower(F.regexp_replace(F.coalesce(kind, F.lit("")), "[^A-Za-z]", "")).contains("ratelimit")
+    return F.coalesce(status == 429, F.lit(False)) | named | F.coalesce(message, F.lit("")).rlike(r"(?<!\d)429(?!\d)")
+
+
+class RateLimited(Exception):
+    """Raised by a provider's call when there were too many requests; ``retry_after`` is what the server asks for, in seconds or as a date."""
+
+    def __init__(self, retry_after: str | None = None):
+        super().__init__("too many requests")
+        self.retry_after = retry_after
+
+
+def wait_seconds(attempt: int, retry_after: str | None) -> float:
+    """How long to wait before an attempt, as ``text.backoff_seconds`` says of columns."""
+    try:
+        return min(max(float(retry_after), 0.0), 30.0)
+    except (TypeError, ValueError):
+        return min(2.0 * 2.0 ** (attempt - 2), 30.0)
+
+
+def readable(reply: str) -> bool:
+    """Whether a reply is a finding, with or without a code fence."""
+    body = reply.strip().strip("`").strip().removeprefix("json").strip()
+    try:
+        return isinstance(json.loads(body), dict) and "reachable" in json.loads(body)
+    except ValueError:
+        return False
+
+
+def asker(chat: Callable[[str], str], hint: str = "Answer with the JSON object alone.", attempts: int = 4, sleep: Callable[[float], None] = time.sleep, accepts: Callable[[str], bool] = readable) -> Callable[[str], str | None]:
+    """A function for ``verified`` around a provider's call: it waits and asks again while the provider is busy, ``attempts`` times in all,
+    and then gives None; and asks once more, with a hint, if it cannot read the reply."""
+
+    def call(prompt: str) -> str | None:
+        for attempt in range(2, attempts + 2):
+            try:
+                return chat(prompt)
+            except RateLimited as e:
+                if attempt <= attempts:
+                    sleep(wait_seconds(attempt, e.retry_after))
+        return None
+
+    def ask(prompt: str) -> str | None:
+        reply = call(prompt)
+        return reply if reply is None or accepts(reply) else call(f"{prompt}\n\n{hint}")
+
+    return ask
+
+
 def parsed_reply(reply: Column) -> Column:
-    """The finding in a reply, or an uncertain one that says that the verifier failed."""
-    finding = F.from_json(reply, FINDING)
+    """The finding in a reply, in a code fence or not, or an uncertain one that says that the verifier failed."""
+    finding = F.from_json(reply_json(reply), FINDING)
     failed = F.struct(F.lit("uncertain").alias("reachable"), F.lit(None).cast("boolean").alias("sanitized"), F.lit(0).alias("confidence"), F.lit("verifier_failed: the reply could not be read").alias("reasoning"))
     return F.when(finding["reachable"].isNull(), failed).otherwise(finding)
 
@@ -38,34 +93,93 @@ def static_confidence(rule_confidence: Column) -> Column:
     return out
 
 
-def verified(candidates: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame, batch_rows: int = 10_000) -> tuple[DataFrame, bool]:
-    """Candidates (seq, prompt, verification_mode, rule_confidence) with a finding, in order of seq; and whether the model gave out.
+def replies(queue: DataFrame, ask: Callable[[str], str | None], blocks: int) -> tuple[DataFrame, bool]:
+    """Replies (key, reply) to a queue (key, prompt, first_seq), asked in at most ``blocks`` blocks in order; and whether ``ask`` gave out.
 
-    Static candidates are not asked about. The others are asked in blocks of ``batch_rows`` by seq; ``ask`` runs in the
-    tasks and returns None once the model gives out: then the candidates of that block that have no reply, and all later blocks, have no finding.
+    ``ask`` runs in the tasks. Once it returns None, later blocks are not asked. All replies are in one table, to which each block is added.
     """
-    static = candidates.where("verification_mode = 'static'").withColumn("finding", F.struct(F.lit("yes").alias("reachable"), F.lit(False).alias("sanitized"), static_confidence(F.col("rule_confidence")).alias("confidence"), F.lit("proved by a static check").alias("reasoning")))
-    asked = candidates.where("verification_mode <> 'static'").withColumn("key", prompt_key(model, F.col("prompt")))
-    hits, misses = split_by_cache(asked, cache)
-    first = asked.groupBy("key").agg(F.min("seq").alias("first_seq"))
-    queue = materialise(misses.join(first, "key").withColumn("block", F.floor(F.col("first_seq") / batch_rows)), "verify-queue")
+    spark = queue.sparkSession
+    cuts = sorted(set(queue.stat.approxQuantile("first_seq", [k / blocks for k in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (F.col("first_seq") > c).cast("int")
+    path, schema, halted = scratch(spark, "replies"), "key string, reply string", False
 
     def reply(batches: Iterator) -> Iterator:
         for pdf in batches:
             pdf["reply"] = [ask(p) for p in pdf["prompt"]]
             yield pdf[["key", "reply"]]
 
-    known, halted = hits.select("key", "reply").distinct(), False
-    for (block,) in queue.select("block").distinct().orderBy("block").toLocalIterator():
-        out = materialise(queue.where(F.col("block") == block).select("key", "prompt").mapInPandas(reply, "key string, reply string"), "verify-replies")
-        known = known.unionByName(out.where("reply IS NOT NULL"))
-        if not out.where("reply IS NULL").isEmpty():
+    for block in range(len(cuts) + 1):
+        queue.where(number == block).select("key", "prompt").mapInPandas(reply, schema).withColumn("block", F.lit(block)).write.mode("append").parquet(path)
+        found = spark.read.schema(f"{schema}, block int").parquet(path)
+        if not found.where((F.col("block") == block) & F.col("reply").isNull()).isEmpty():
             halted = True
             break
+    return found.where("reply IS NOT NULL").select("key", "reply"), halted
+
+
+def verified(candidates: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame, blocks: int = 8) -> tuple[DataFrame, bool]:
+    """Candidates (seq, prompt, verification_mode, rule_confidence) with a finding, in order of seq; and whether the model gave out.
+
+    Static candidates are not asked about. The others are asked in blocks in order of seq, of which there are ``blocks`` however many candidates
+    there are. Once the model gives out, the candidates of that block that have no reply, and all later blocks, have no finding.
+    """
+    static = candidates.where("verification_mode = 'static'").withColumn("finding", F.struct(F.lit("yes").alias("reachable"), F.lit(False).alias("sanitized"), static_confidence(F.col("rule_confidence")).alias("confidence"), F.lit("proved by a static check").alias("reasoning")))
+    asked = candidates.where("verification_mode <> 'static'").withColumn("key", prompt_key(model, F.col("prompt")))
+    hits, misses = split_by_cache(asked, cache)
+    first = asked.groupBy("key").agg(F.min("seq").alias("first_seq"))
+    queue = materialise(misses.join(first, "key"), "verify-queue")
+    made, halted = replies(queue, ask, blocks) if not queue.isEmpty() else (queue.select("key", F.lit(None).cast("string").alias("reply")), False)
+    known = hits.select("key", "reply").distinct().unionByName(made)
     answered = asked.join(known, "key", "left").withColumn("finding", F.when(F.col("reply").isNotNull(), parsed_reply(F.col("reply")))).drop("key", "reply")
     return static.unionByName(answered).orderBy("seq"), halted
 
 
+PROSE = ("reasoning", "exploit_scenario", "remediation")
+
+
+def is_language(text: Column, language: str) -> Column:
+    """Whether a text may pass as one in the language: Chinese has a Han character, English is what the classifier says."""
+    return text.rlike("[\u4e00-\u9fff]") if language == "zh" else detected(text) == language
+
+
+def valid_translation(reply: Column, fields: Iterable[str], language: str) -> Column:
+    """Whether a translator's reply is a JSON object that has every field as a text in the language."""
+    parsed = F.from_json(reply_json(reply), "map<string, string>")
+    out = parsed.isNotNull()
+    for f in fields:
+        value = F.try_element_at(parsed, F.lit(f))
+        out = out & value.isNotNull() & (F.trim(value) != "") & is_language(value, language)
+    return F.coalesce(out, F.lit(False))
+
+
+def translations(findings: DataFrame, ask: Callable[[str], str | None], model: str, language: str, cache: DataFrame, blocks: int = 8) -> tuple[DataFrame, bool]:
+    """Findings (seq, reasoning, exploit_scenario, remediation) with each prose field translated, as ``name_language``; and whether the model gave out.
+
+    Findings that have no prose, or are in the language already, are not asked about. Replies are judged when they are used, those of the cache too;
+    where one is not valid the text stays as it is.
+    """
+    prose = F.concat_ws("\n", *PROSE)
+    asks = needs_translation([F.col(c) for c in PROSE]) & (detected(prose) != language)
+    prompt = F.concat(F.lit(f"Translate the values into {language}. Answer in JSON.\n"), F.to_json(F.struct(*PROSE)))
+    keyed = findings.withColumn("key", F.when(asks, prompt_key(model, prompt))).withColumn("prompt", prompt)
+    hits, misses = split_by_cache(keyed.where("key IS NOT NULL"), cache)
+    first = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("seq").alias("first_seq"))
+    queue = materialise(misses.join(first, "key"), "translate-queue")
+    made, halted = replies(queue, ask, blocks) if not queue.isEmpty() else (queue.select("key", F.lit(None).cast("string").alias("reply")), False)
+    met = keyed.join(hits.select("key", "reply").distinct().unionByName(made), "key", "left")
+    given = F.from_json(reply_json(F.col("reply")), "map<string, string>")
+    filled = F.array_compact(F.array(*(F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.lit(c)) for c in PROSE)))
+    right = F.col("reply").isNotNull() & given.isNotNull()
+    for c in PROSE:
+        right = right & (~F.array_contains(filled, c) | F.coalesce(is_language(F.try_element_at(given, F.lit(c)), language), F.lit(False)))
+    met = met.withColumn("__right", right).withColumn("__given", given)
+    for c in PROSE:
+        met = met.withColumn(f"{c}_{language}", translated(F.col(c), F.when(F.col("__right"), F.try_element_at(F.col("__given"), F.lit(c)))))
+    return met.drop("key", "prompt", "reply", "__right", "__given").orderBy("seq"), halted
+
+
 def translated(source: Column, offered: Column) -> Column:
     """The translation if it is not blank, else the text itself."""
     return F.when(F.trim(F.coalesce(offered, F.lit(""))) != "", offered).otherwise(source)

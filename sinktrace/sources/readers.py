@@ -7,15 +7,20 @@ import zipfile
 from collections.abc import Iterator
 from xml.parsers import expat
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.operators.indexing import masked
+from sinktrace.storage import numbered
+
 MAX_BYTES, MAX_ENTRIES = 500 * 1024 * 1024, 20_000
 # The language of a source file by its suffix.
 SUFFIXES = {
     "java": "java", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "javascript", "tsx": "javascript", "go": "go", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp",
-    "hxx": "cpp", "rs": "rust", "cs": "csharp", "php": "php", "rb": "ruby", "kt": "kotlin", "scala": "scala", "xml": "xml",
+    "hxx": "cpp", "h": "cpp", "rs": "rust", "cs": "csharp", "php": "php", "rb": "ruby", "kt": "kotlin", "scala": "scala", "xml": "xml",
 }
+LANGUAGES = ("java", "python", "javascript", "go", "cpp", "rust", "csharp", "php", "ruby", "kotlin", "scala", "xml")  # the order in which files are indexed
 STATEMENTS = ("select", "insert", "update", "delete")
 RESULTS = "results array<struct<check_id: string, path: string, start: struct<line: int, col: int, offset: bigint>, `end`: struct<line: int, col: int, offset: bigint>, extra: variant>>"
 
@@ -73,10 +78,63 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(known, F.lower(F.element_at(F.split(path, r"\."), -1)))
 
 
+# Suffixes that are C++ for sure, and words that only C++ has.
+CPP_SUFFIXES = ("cpp", "cc", "cxx", "hpp", "hh", "hxx")
+CPP_WORDS = (
+    "namespace", "class", "template", "typename", "constexpr", "consteval", "constinit", "nullptr", "noexcept", "decltype", "static_cast", "dynamic_cast",
+    "reinterpret_cast", "const_cast", "thread_local", "override", "final", "concept", "requires",
+)
+CPP_HEADERS = (
+    "string", "vector", "array", "deque", "list", "map", "set", "unordered_map", "unordered_set", "memory", "optional", "variant", "tuple", "iostream", "fstream",
+    "sstream", "algorithm", "iterator", "functional", "utility", "type_traits", "filesystem", "chrono", "thread",
+)
+
+
+def c_family(files: DataFrame) -> DataFrame:
+    """Files (path, text) of C and C++ with their kind: cpp by suffix, or for a header by what its code says; else c."""
+    suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
+    known = files.where(suffix.isin(*CPP_SUFFIXES, "h", "c")).withColumn("suffix", suffix)
+    code = masked(known.select("path", F.lit("cpp").alias("lang"), "text")).select("path", F.col("text").alias("code"))
+    says = F.col("code").rlike(rf"\b(?:{'|'.join(CPP_WORDS)})\b|\bstd\s*::|\b(?:public|private|protected)\s*:|#\s*include\s*<(?:{'|'.join(CPP_HEADERS)})>")
+    kind = F.when(F.col("suffix").isin(*CPP_SUFFIXES) | ((F.col("suffix") == "h") & says), "cpp").otherwise("c")
+    return known.join(code, "path").withColumn("kind", kind).drop("suffix", "code")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Source files below a folder: path, lang, text (bytes that are not UTF-8 are replaced)."""
+    """Source files below a folder: path, lang, text (bytes that are not UTF-8 are replaced), seq in order of language and path.
+
+    Go's tests and TypeScript's declarations are left out, and so are headers that are not C++.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-    return files.withColumn("lang", language_of(F.col("path"))).where("lang IS NOT NULL").select("path", "lang", F.decode("content", "UTF-8").alias("text"))
+    kept = files.withColumn("lang", language_of(F.col("path"))).where(F.col("lang").isNotNull() & ~F.col("path").rlike(r"(_test\.go|\.d\.ts)$"))
+    read = kept.select("path", "lang", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    headers = c_family(read.where(F.col("path").rlike(r"\.[hH]$"))).where("kind = 'cpp'").select("path", F.lit("cpp").alias("lang"), "text")
+    order = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang"))
+    return numbered(read.where(~F.col("path").rlike(r"\.[hH]$")).unionByName(headers), "seq", order, F.col("path"))
+
+
+def read_ruleset(path: str) -> dict[str, list[str]]:
+    """The lists of a ruleset file in YAML: configs, exclude_rules, out_of_scope_cwes (bare ids) and exclude_paths; small, read by the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f) or {}
+    lists = {k: [str(x) for x in found.get(k) or []] for k in ("configs", "exclude_rules", "out_of_scope_cwes", "exclude_paths")}
+    lists["out_of_scope_cwes"] = sorted({x.split(":")[0].strip().upper() for x in lists["out_of_scope_cwes"]})
+    return lists
+
+
+def read_candidates(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Candidates of a JSON file, an array of objects; none if the file is missing or not JSON."""
+    try:
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException:  # there is no such file
+        return spark.createDataFrame([], schema)
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of a JSON file: file, line, expected_reachable, note."""
+    return spark.read.schema("file string, line int, expected_reachable string, note string").option("multiLine", True).json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

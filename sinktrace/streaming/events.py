@@ -30,12 +30,62 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 def heartbeat_sessions(beats: DataFrame, beat_seconds: int = 20, closing_seconds: int = 8) -> DataFrame:
-    """Sessions of each client (client, ts, closing): a beat holds for 20 s, a closing page pulls that to 8 s at most.
+    """Sessions of each client from rows (client, seq, ts, closing): client, opened, deadline, beats.
 
-    Works on a stream with a watermark as on a table.
+    A beat holds for 20 s from its time on. A closing page that comes before that pulls the deadline to 8 s from its own time, if that is
+    earlier; the next beat sets it anew. A page that closes before the first beat, or after the deadline, does nothing. A beat after the
+    deadline opens a new session.
     """
-    gap = F.when(F.col("closing"), F.lit(f"{closing_seconds} seconds")).otherwise(F.lit(f"{beat_seconds} seconds"))
-    return beats.groupBy("client", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("beats")).select("client", F.col("session_window.start").alias("opened"), F.col("session_window.end").alias("deadline"), "beats")
+    every = Window.partitionBy("client").orderBy("ts", "seq")
+    rows = beats.withColumn("g", F.sum(F.when(F.col("closing"), 0).otherwise(1)).over(every.rowsBetween(Window.unboundedPreceding, 0))).where("g > 0")
+    seconds = lambda n: F.expr(f"INTERVAL {n} SECOND")
+    beat = rows.groupBy("client", "g").agg(F.min(F.when(~F.col("closing"), F.col("ts"))).alias("ts"), F.min(F.when(F.col("closing"), F.col("ts"))).alias("closed"))
+    full = F.col("ts") + seconds(beat_seconds)
+    held = beat.withColumn("until", F.when(F.col("closed") <= full, F.least(full, F.col("closed") + seconds(closing_seconds))).otherwise(full))
+    by_beat = Window.partitionBy("client").orderBy("g")
+    opens = F.when(F.col("ts") > F.lag("until").over(by_beat), 1).otherwise(0)
+    grouped = held.withColumn("opens", opens).withColumn("session", F.sum("opens").over(by_beat.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy("client", "session").agg(F.min("ts").alias("opened"), F.max_by("until", "g").alias("deadline"), F.count(F.lit(1)).alias("beats")).drop("session")
+
+
+def tagged(log: DataFrame, spans: DataFrame) -> DataFrame:
+    """Log lines (seq, ts, line, server) with the scan that was active then; lines of the server itself have none.
+
+    spans: scan_id, began, ended (null: still active). One scan is active at a time; of spans that overlap the one that began last counts.
+    Spans become changes of the active scan, and a line takes the last change before it, day by day, so no window holds the whole log.
+    """
+    day = lambda c: F.to_date(c)
+    last = F.coalesce("ended", F.lit("9999-12-31").cast("timestamp_ntz"))
+    days = log.select(day(F.col("ts")).alias("day")).distinct()
+    met = spans.withColumn("until", last).join(days, (F.col("day") >= day(F.col("began"))) & (F.col("day") <= day(F.col("until"))))
+    near = log.where("NOT server").withColumn("day", day(F.col("ts"))).select("seq", "ts", "day").join(met, "day").where("ts >= began AND ts < until")
+    active = near.groupBy("seq").agg(F.max_by("scan_id", F.struct("began", "scan_id")).alias("scan_id"))
+    return log.join(active, "seq", "left")
+
+
+def without_repeats(records: DataFrame, own_path: str) -> DataFrame:
+    """Records (record_id, seq, line) each once, the first one; access lines of the log's own endpoint are left out."""
+    kept = records.where(~F.col("line").contains(own_path))
+    first = kept.groupBy("record_id").agg(F.min_by(F.struct("seq", "line"), "seq").alias("x"))
+    return first.select("record_id", "x.*")
+
+
+def stopped_at(checkpoints: DataFrame, controls: DataFrame) -> DataFrame:
+    """What each scan does at its checkpoints (scan_id, seq): go on, wait or end, by the controls before it (scan_id, seq, action).
+
+    Actions are pause, resume and cancel. A scan that is cancelled stays so. Controls and checkpoints are ordered by seq in one log.
+    """
+    log = checkpoints.select("scan_id", "seq", F.lit(None).cast("string").alias("action")).unionByName(controls.select("scan_id", "seq", "action"))
+    before = Window.partitionBy("scan_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.max(F.when(F.col("action") == "cancel", 1).otherwise(0)).over(before) == 1
+    paused = F.last(F.when(F.col("action").isin("pause", "resume"), F.col("action")), True).over(before) == "pause"
+    told = log.withColumn("does", F.when(ended, "end").when(F.coalesce(paused, F.lit(False)), "wait").otherwise("go on"))
+    return told.where("action IS NULL").select("scan_id", "seq", "does")
+
+
+def elapsed_seconds(began: Column, now: Column) -> Column:
+    """Seconds since a stage began; a clock that went back gives 0."""
+    return F.greatest(F.timestamp_diff("SECOND", began, now), F.lit(0))
 
 
 def job_states(events: DataFrame) -> DataFrame:

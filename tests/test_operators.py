@@ -40,7 +40,7 @@ def test_a_model_that_gives_out_leaves_later_candidates_unsent(spark):
     asked = spark.createDataFrame(rows, "seq long, prompt string, verification_mode string, rule_confidence string")
     ask = lambda p: None if p == "p6" else '{"reachable": "yes", "confidence": 5, "reasoning": ""}'
     cache = spark.createDataFrame([(F.lit(1), "x")][:0], "key string, reply string")
-    found, halted = verification.verified(asked, ask, "m", cache, batch_rows=4)
+    found, halted = verification.verified(asked, ask, "m", cache, blocks=4)
     got = {r.seq: r.finding for r in found.collect()}
     assert halted and got[6] is None and all(got[i] is None for i in range(8, 12)) and got[5].reachable == "yes" and got[1].confidence == 95
 
