@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss
 from sinktrace.functions.text import cwe_ids, slashed
-from sinktrace.operators import candidates, context, entries, graph, indexing, rules, verdicts, verification
-from sinktrace.storage import materialise
+from sinktrace.operators import candidates, context, entries, graph, indexing, rules, trace, verdicts, verification
+from sinktrace.storage import materialise, numbered
 
-PROMPT = "Rules: %s\nSink: %s:%d\nCalled from: %s\n\n%s\n\nCan a request reach the sink with a value of its own choice? Answer in JSON."
+PROMPT = "Rules: %s\nSink: %s:%d\n\n%s\n\nCan a request reach the sink with a value of its own choice? Answer in JSON."
 
 
 def method_key(path, name, line):
@@ -20,38 +20,68 @@ def method_key(path, name, line):
 
 
 def matched(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """Candidates of the line rules in sources (path, lang, text), filtered by path and scope and deduplicated."""
+    """Candidates of the rules in sources (path, lang, text), filtered by path, scope and checks, and deduplicated; seq is their place by file, line and rule."""
     kept = sources.where(~candidates.excluded_path(F.col("path")))
     lines = context.lines_of(kept, "lang")
-    hits = rules.scan(lines, rules.rule_table(spark)).select(
-        F.xxhash64("path", "line_no", "rule_id").alias("seq"), "rule_id", F.lit("").alias("message"), "severity", F.array("cwe").alias("cwe"), slashed(F.col("path")).alias("source_file"), F.col("line_no").alias("source_line"),
-        slashed(F.col("path")).alias("sink_file"), F.col("line_no").alias("sink_line"), F.lit("dataflow").alias("verification_mode"), F.lit("MEDIUM").alias("rule_confidence"),
+    hits = rules.scan(lines, rules.rule_table(spark)).unionByName(rules.scan(rules.statements_of(lines.where("lang = 'java'")), rules.statement_rules(spark)))
+    settled = rules.validated(hits, kept)
+    placed = numbered(settled, "seq", F.col("path"), F.col("line_no"), F.col("rule_id"))
+    static = F.contains("validators", F.lit("memcpy-bounds")) | F.col("rule_id").isin("CPP005", "CPP006", "CPP007", "CPP008")
+    rows = placed.select(
+        "seq", "rule_id", F.coalesce("message", F.lit("")).alias("message"), "severity", F.array("cwe").alias("cwe"), slashed(F.col("path")).alias("source_file"), F.col("line_no").alias("source_line"),
+        slashed(F.col("path")).alias("sink_file"), F.col("line_no").alias("sink_line"), F.when(static, "static").otherwise("dataflow").alias("verification_mode"), F.coalesce("rule_confidence", F.lit("MEDIUM")).alias("rule_confidence"),
     )
-    return candidates.dedup(hits.where(~candidates.out_of_scope(F.col("cwe"))))
+    return candidates.dedup(rows.where(~candidates.out_of_scope(F.col("cwe"))))
+
+
+def call_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Methods, calls and resolved edges (caller, callee, seq) of sources; a call on the object itself stays within its type and that type's relatives."""
+    methods, calls = indexing.index(sources)
+    key = method_key(F.col("path"), F.col("name"), F.col("start_line"))
+    methods = numbered(methods.select("*", key.alias("method_id"), F.col("path").alias("file")), "seq", F.col("path"), F.col("start_line"), F.col("name"))
+    methods = materialise(methods, "scan-methods")
+    caller = F.when(F.col("caller").isNotNull(), method_key(F.col("path"), F.col("caller"), F.col("caller_line")))
+    sites = numbered(calls.select("callee", "arity", "receiver_is_self", F.col("path").alias("file"), F.col("line_no").alias("line"), caller.alias("caller_id")), "call_id", F.col("file"), F.col("line"), F.col("callee"))
+    sites = materialise(sites, "scan-calls")
+    parents = methods.where("owner <> ''").select(F.col("owner").alias("type"), F.explode("owner_supertypes").alias("parent")).distinct()
+    owners = methods.select("method_id", "owner")
+    resolved = graph.callers_of(sites, methods)
+    resolved = resolved.join(owners.withColumnsRenamed({"method_id": "caller_id", "owner": "caller_owner"}), "caller_id").join(owners.withColumnRenamed("owner", "callee_owner"), "method_id")
+    within = graph.self_calls_within(resolved, graph.closure(parents))
+    edges = within.groupBy(F.col("caller_id").alias("caller"), F.col("method_id").alias("callee")).agg(F.min("call_id").alias("seq"))
+    return methods, sites, materialise(edges, "scan-edges")
+
+
+def entry_marks(spark: SparkSession, sources: DataFrame, methods: DataFrame) -> DataFrame:
+    """Methods that a request or a message reaches first: node, reason, definitive; proof goes before a hint."""
+    lines = context.lines_of(sources, "lang")
+    langs = methods.join(sources.select("path", "lang"), "path")
+    names = entries.registered(lines)
+    late = graph.late_references(methods.select("path", "name", "start_line", F.lit(None).cast("string").alias("entry_reason")), names, ["path", "name"]).where("entry_reason IS NOT NULL")
+    found = entries.entry_points(methods, lines, entries.mark_table(spark)).unionByName(entries.served(langs)).unionByName(late.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
+    best = found.groupBy("path", "name", "start_line").agg(F.min_by(F.struct("reason", "definitive"), F.struct(~F.col("definitive"), "reason")).alias("e"))
+    return materialise(best.select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "e.reason", "e.definitive"), "scan-entries")
 
 
 def scan(spark: SparkSession, sources: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame) -> tuple[DataFrame, bool]:
     """Graded findings of sources (path, lang, text), and whether the model gave out on the way."""
     sources = materialise(sources, "scan-sources")
     found = materialise(matched(spark, sources), "scan-candidates")
-    methods, calls = indexing.index(sources)
-    key = method_key(F.col("path"), F.col("name"), F.col("start_line"))
-    methods = materialise(methods.select("*", key.alias("method_id"), F.xxhash64("path", "start_line").alias("seq"), F.col("path").alias("file")), "scan-methods")
-    sites = calls.select(F.monotonically_increasing_id().alias("call_id"), "callee", "arity", F.when(F.col("caller").isNotNull(), method_key(F.col("path"), F.col("caller"), F.col("caller_line"))).alias("caller_id"))
-    edges = materialise(graph.callers_of(sites, methods).groupBy(F.col("caller_id").alias("caller"), F.col("method_id").alias("callee")).agg(F.min("call_id").alias("seq")), "scan-edges")
-    lines = context.lines_of(sources, "lang")
-    marked = entries.entry_points(methods, lines, entries.mark_table(spark)).select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "reason", "definitive")
-    marked = materialise(marked, "scan-entries")
+    methods, calls, edges = call_graph(sources)
+    marked = entry_marks(spark, sources, methods)
     placed = materialise(graph.enclosing_method(found.select(F.col("seq").alias("sink_id"), F.col("sink_file").alias("file"), F.col("sink_line").alias("line")), methods), "scan-sinks")
     starts = placed.where("method_id IS NOT NULL").select(F.col("sink_id").alias("sink"), F.col("method_id").alias("node"))
-    own = starts.join(marked.select("node"), "node", "left_semi").select("sink", F.col("node").alias("entry"), F.lit(0).alias("depth"), F.array("node").alias("chain"))
-    chains = graph.shortest_chains(starts, edges, marked.select("node")).unionByName(own)
-    shown = graph.top_chains(chains).groupBy(F.col("sink").alias("sink_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", " <- ").alias("c")))).getField("c"), "; ").alias("chains"), F.min("depth").alias("hops"))
-    spans = placed.join(methods.select("method_id", "start_line", "end_line"), "method_id", "left")
+    chains = trace.entry_traces(starts, edges, marked.select("node", "definitive"))
     code = sources.select(F.col("path").alias("file"), F.split("text", r"\r\n|\r|\n").alias("l"))
-    windows = spans.join(code, "file").select("sink_id", context.method_window(F.col("l"), F.col("line"), F.col("start_line"), F.col("end_line")).alias("code"))
-    asked = found.join(windows, found.seq == windows.sink_id).drop("sink_id").join(shown, F.col("seq") == shown.sink_id, "left").drop("sink_id")
-    prompt = F.format_string(PROMPT, F.array_join("rule_ids", ", "), "sink_file", "sink_line", F.coalesce("chains", F.lit("no entry point found")), "code")
+    named = methods.join(marked.select(F.col("node").alias("method_id"), F.col("reason").alias("entry_reason")), "method_id", "left")
+    shown = materialise(graph.top_chains(chains), "scan-chains")
+    callers = trace.caller_context(shown, named, code)
+    callees = trace.callee_context(trace.callee_bodies(placed, calls, methods), methods, code)
+    spans = placed.join(methods.select("method_id", "start_line", "end_line"), "method_id", "left").select("file", "line", "start_line", "end_line").distinct()
+    texts = trace.build_context(found, spans, code, callers, callees)
+    hops = shown.groupBy(F.col("sink").alias("seq")).agg(F.min("depth").alias("hops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", " <- ").alias("c")))), lambda x: x["c"]), "; ").alias("chains"))
+    asked = found.join(texts, "seq").join(hops, "seq", "left")
+    prompt = F.format_string(PROMPT, F.array_join("rule_ids", ", "), "sink_file", "sink_line", "context")
     answered, halted = verification.verified(asked.withColumn("prompt", prompt), ask, model, cache)
-    graded = answered.withColumn("verdict", verdicts.verdict_of(F.col("finding"))).withColumn("w", cvss.worst(spark, cwe_ids(F.col("cwe")))).select("*", "w.vector", "w.score").drop("w", "prompt", "code")
+    graded = answered.withColumn("verdict", verdicts.verdict_of(F.col("finding"))).withColumn("w", cvss.worst(spark, cwe_ids(F.col("cwe")))).select("*", "w.vector", "w.score").drop("w", "prompt", "context")
     return graded.withColumn("risk_level", cvss.risk_level(F.col("verdict"), F.col("score"))), halted
