@@ -41,6 +41,7 @@ from sinktrace.storage import materialise, partitions, spread
 
 NO_DOC = -(2**63)  # stands for a null doc_id
 WINDOW, PREFIX = 20, 6
+_WORDS = 600_000  # words whose codes a worker holds
 
 
 def anchors(codes: np.ndarray, window: int, prefix: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +69,17 @@ def _words(text: str | None) -> tuple[list[bytes], bytes]:
     return words, xxhash.xxh128_digest(b" ".join(words))
 
 
+def _some_equal(codes: np.ndarray) -> bool:
+    ordered = np.sort(codes)
+    return bool((ordered[1:] == ordered[:-1]).any())
+
+
 def repeated_within(words: list[bytes], codes: np.ndarray, window: int) -> np.ndarray:
     """For each window of a document whether it occurs earlier in it. Windows meet by a code and are then compared word by word."""
-    _, first, inv = np.unique(window_codes(codes, window), return_index=True, return_inverse=True)
+    whole = window_codes(codes, window)
+    if not _some_equal(whole):
+        return np.zeros(len(whole), bool)
+    _, first, inv = np.unique(whole, return_index=True, return_inverse=True)
     stands = first[inv]
     later = stands != np.arange(len(stands))
     last = -2
@@ -90,24 +99,27 @@ def _id(digest: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """For rows (k, h, text): k, h, digest of the words, id (its first 64 bits), and codes: the distinct codes of the prefixes that anchor a window."""
+    """For rows (k, h, text): k, h, digest of the words, id (its first 64 bits), codes: the distinct codes of the prefixes that anchor a window,
+    and again: whether a window may occur twice in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, lists = [], []
+            digests, lists, again = [], [], []
             for text in texts_of(batch.column("text")):
                 words, digest = _words(text)
-                found, grams = anchors(word_codes().codes(words), window, prefix)
+                codes = word_codes(_WORDS).codes(words)
+                found, grams = anchors(codes, window, prefix)
                 digests.append(digest)
+                again.append(_some_equal(window_codes(codes, window)))
                 places = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found  # they ascend
                 own = np.sort(grams[places])
                 lists.append(own[np.concatenate([[True], own[1:] != own[:-1]])].view(np.int64) if len(own) else own.view(np.int64))
             offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             ids = pa.array([_id(d) for d in digests], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(digests, pa.binary()), ids, pa.ListArray.from_arrays(offsets, flat)], ["k", "h", "digest", "id", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("h"), pa.array(digests, pa.binary()), ids, pa.ListArray.from_arrays(offsets, flat), pa.array(again, pa.bool_())], ["k", "h", "digest", "id", "codes", "again"])
 
-    return docs.mapInArrow(run, "k long, h long, digest binary, id long, codes array<long>")
+    return docs.mapInArrow(run, "k long, h long, digest binary, id long, codes array<long>, again boolean")
 
 
 def contexts(found: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -126,7 +138,7 @@ def contexts(found: DataFrame, window: int, prefix: int) -> DataFrame:
                 own = next((w["codes"] for w in wanted if w["id"] == _id(digest)), None)
                 if own is None:
                     continue
-                codes = word_codes().codes(words)
+                codes = word_codes(_WORDS).codes(words)
                 at, grams = anchors(codes, window, prefix)
                 first = ~repeated_within(words, codes, window)
                 starts = np.flatnonzero(first & np.isin(grams[at], np.array(own, np.int64).view(np.uint64)))
@@ -252,13 +264,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     gone = copies.select(*place, F.lit(True).alias("copy")).distinct()
     # The runs of a text of one (k, id) go to every row with that text: its places, of which marks has one for each.
     of_rows = marks.select("k", "h", "id").distinct().join(spans, ["k", "id"]).select(*place, F.struct("id", "runs").alias("runs"))
-    told = of_rows.groupBy(*place).agg(F.collect_list("runs").alias("runs")).join(gone, place, "full")
+    again = marks.where("again").select(*place, "again").distinct()
+    told = of_rows.groupBy(*place).agg(F.collect_list("runs").alias("runs")).join(gone, place, "full").join(again, place, "full")
     met = keyed.join(told, place, "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, runs_, copy in zip(*(texts_of(batch.column(c)) for c in ("text", "runs", "copy")), strict=True):
+            for text, runs_, copy, again_ in zip(*(texts_of(batch.column(c)) for c in ("text", "runs", "copy", "again")), strict=True):
+                if not (runs_ or copy or again_):  # nothing goes
+                    words = (text or "").encode().split()
+                    kept = b" ".join(words)
+                    rows.append((len(words), 0, hashlib.sha256(kept).hexdigest(), [], kept.decode() if with_text else None))
+                    continue
                 words, digest = _words(text)
                 count = len(words)
                 steps = np.zeros(count + 1, np.int64)
@@ -266,7 +284,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                     if copy:
                         later = np.arange(count - window + 1)
                     else:
-                        later = repeated_within(words, word_codes().codes(words), window)
+                        later = repeated_within(words, word_codes(_WORDS).codes(words), window) if again_ else np.zeros(count - window + 1, bool)
                         for r in runs_ or ():
                             for x in r["runs"] if r["id"] == _id(digest) else ():
                                 later[x["lo"] : x["hi"] + 1] = True
@@ -277,13 +295,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
                 kept = b" ".join(np.array(words, object)[~gone_].tolist()) if gone_.any() else b" ".join(words)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone_, [0]])))
                 ranges = [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
-                rows.append((count, int(gone_.sum()), hashlib.sha256(kept).hexdigest(), ranges, kept.decode()))
+                rows.append((count, int(gone_.sum()), hashlib.sha256(kept).hexdigest(), ranges, kept.decode() if with_text else None))
             types = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())
             names = ["n_words", "n_removed", "kept_sha256", "removed", "kept_text"][: 4 + with_text]
             yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array([r[i] for r in rows], types[i]) for i in range(len(names)))], ["k", *names])
 
     schema = "k long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: bigint, end: bigint>>" + ", kept_text string" * with_text
-    out = met.select("k", "text", "runs", "copy").mapInArrow(finish, schema)
+    out = met.select("k", "text", "runs", "copy", "again").mapInArrow(finish, schema)
     return out.select(F.when(F.col("k") != NO_DOC, F.col("k")).alias("doc_id"), *out.columns[1:])
 
 

@@ -69,7 +69,7 @@ def library_encoder(path: str, dtype: str) -> ChunkCache:
             joined, apart = iter([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), iter(alone)
             return [(next(joined) if w else next(apart).astype(dtype).tobytes(),) for w in within]
 
-        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=1_000_000, group=1 << 22)
+        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=800_000, group=1 << 22)
     return _CACHES[key]
 
 

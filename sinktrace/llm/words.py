@@ -7,31 +7,43 @@ import numpy as np
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-class WordCodes(dict):
-    """The XXH64 value of each word that is asked for; at most ``limit`` are held at a time."""
+class _Table(dict):
+    """Codes of words; one that is not here comes from the older table, or is made."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, old: dict):
         import xxhash
 
-        self.digest, self.limit = xxhash.xxh64_intdigest, limit
+        super().__init__()
+        self.old, self.digest = old, xxhash.xxh64_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = self.digest(word, 0)
+        code = self.old.get(word)
+        if code is None:
+            code = self.digest(word, 0)
+        self[word] = code
         return code
 
+
+class WordCodes:
+    """The XXH64 value of each word that is asked for; about ``limit`` are held, those that were asked for lately."""
+
+    def __init__(self, limit: int = 250_000):
+        self.limit, self.table = limit, _Table({})
+
     def codes(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if len(self.table) > self.limit // 2:
+            self.table.old = {}
+            self.table = _Table(self.table)
+        return np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
 
 
 _KEPT: list[WordCodes] = []
 
 
-def word_codes() -> WordCodes:
+def word_codes(limit: int = 250_000) -> WordCodes:
     """The table of this Python worker."""
     if not _KEPT:
-        _KEPT.append(WordCodes())
+        _KEPT.append(WordCodes(limit))
     return _KEPT[0]
 
 
