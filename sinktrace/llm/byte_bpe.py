@@ -18,13 +18,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from sinktrace.llm.caches import kept
 from sinktrace.llm.chunks import ChunkCache, check_pattern
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
-_CACHES: dict[tuple[str, str], ChunkCache] = {}
-
-
 def byte_characters() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable Latin-1, else one from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -113,11 +111,12 @@ class ByteBpe:
 
 
 def _cache(path: str, pattern: str) -> ChunkCache:
-    if (path, pattern) not in _CACHES:
+    def make() -> ChunkCache:
         bpe = ByteBpe(read_ranks(path), pattern)
         check_pattern(bpe.pattern.findall)
-        _CACHES[path, pattern] = ChunkCache(bpe.digests, (1, 1), limit=400_000)
-    return _CACHES[path, pattern]
+        return ChunkCache(bpe.digests, (1, 1), limit=400_000)
+
+    return kept(f"bpe {path} {pattern}", make)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

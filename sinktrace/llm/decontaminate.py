@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import kept
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import materialise, scratch, spread
 
@@ -259,17 +260,13 @@ def write_indexes(benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE
     return [r.uri for r in written.orderBy("block").collect()]  # one short row for each million characters
 
 
-_HELD: dict[str, Index] = {}  # the last index that was read by this Python worker
-
-
 def _read(uri: str) -> Index:
-    if uri not in _HELD:
+    def read() -> Index:
         where, path = _open(uri)
         with where.open_input_file(path) as f:
-            index = pickle.loads(f.read())
-        _HELD.clear()
-        _HELD[uri] = index
-    return _HELD[uri]
+            return pickle.loads(f.read())
+
+    return kept(f"index {uri}", read)
 
 
 def _matches(column: pa.Array, uris: list[str]) -> list[list[dict]]:

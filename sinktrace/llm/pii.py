@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import release
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
@@ -133,6 +134,7 @@ def annotate(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redacted: boo
     keep = without(keep, *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "pii_text", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows = []
             for text in texts_of(batch.column("__text")):
@@ -154,6 +156,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """The rows and columns of docs with personal data redacted in text; n_chars, if there is such a column, follows the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             texts = [None if t is None else redact(t, find_spans(t)) for t in texts_of(batch.column("text"))]
             new = {"text": texts, "n_chars": [None if t is None else len(t) for t in texts]}

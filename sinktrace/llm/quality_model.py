@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import release
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import materialise, spread
 
@@ -69,6 +70,7 @@ def with_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     keep = without(keep, "features", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             values = [features(t) for t in texts_of(batch.column("__text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(values, pa.list_(pa.float64()))], [*keep, "features"])
@@ -211,6 +213,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float) -> DataFr
     """The rows of docs whose score is ``threshold`` at least, in one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             x = np.array([features(t) for t in texts_of(batch.column("text"))], np.float64).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))

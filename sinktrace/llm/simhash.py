@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import release
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.llm.words import mixed
 from sinktrace.storage import materialise, partitions, spread
@@ -334,6 +335,7 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
                 yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], len(places)), "high": np.repeat(words[:, 1], len(places))})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for t in whole_shards(batches, "key"):
             key = t.column("key").to_numpy()
             same = key[1:] == key[:-1]

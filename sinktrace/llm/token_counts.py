@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import kept
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import spread
 
 MARK = "▁"
 _BLOCK = 1_000  # documents whose words are put into one trie
-_COUNTERS: dict[str, TrieCounter] = {}
 
 
 UNIGRAM = 1  # fixed value: the trainer's model type of a unigram model; others have no probabilities
@@ -144,9 +144,7 @@ def count_tokens(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc
     keep = without(keep, "n_pretokens", "n_tokens", "log_prob", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _COUNTERS:
-            _COUNTERS[model_path] = TrieCounter(vocabulary(model_path))
-        counter = _COUNTERS[model_path]
+        counter = kept(f"pieces {model_path}", lambda: TrieCounter(vocabulary(model_path)))
         for batch in batches:
             for lo in range(0, len(batch), _BLOCK):
                 part = batch.slice(lo, _BLOCK)

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sinktrace.llm.caches import kept
 from sinktrace.llm.chunks import ChunkCache, ends_open
 from sinktrace.llm.columns import texts_of
 from sinktrace.storage import materialise, partitions, scratch
 
 NO_DOC = -(2**63)  # stands for a null doc_id in a docs file
-_CACHES: dict[str, ChunkCache] = {}
 
 
 def token_type(path: str) -> str:
@@ -41,36 +41,37 @@ def token_type(path: str) -> str:
 
 
 def library_encoder(path: str, dtype: str) -> ChunkCache:
-    """An encoder of whole texts by a byte-level tokenizer file; kept for the life of a Python worker."""
-    key = f"{path}:{dtype}"
-    if key not in _CACHES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        vocab = tokenizer.get_vocab(True)
-        if max(vocab.values()) > np.iinfo(dtype).max:
-            raise ValueError(f"ids of up to {max(vocab.values())} do not fit {dtype}")
-        width = np.zeros(max(vocab.values()) + 1, np.int64)
-        for piece, i in vocab.items():
-            width[i] = len(piece)  # one character of a byte-level piece is one byte
-
-        def ids(texts: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def make(chunks: list[str]) -> list[tuple[bytes, ...]]:
-            # Those that may stand between others are encoded as one long text, whose ids are cut where the chunks end.
-            within = [c[0] in " \n" and not ends_open(c) for c in chunks]
-            line = [c for c, w in zip(chunks, within, strict=True) if w]
-            whole, *alone = ids(["".join(line), *(c for c, w in zip(chunks, within, strict=True) if not w)])
-            cuts = np.searchsorted(np.cumsum(width[whole]), np.cumsum([len(c.encode()) for c in line])) + 1
-            raw, size = whole.astype(dtype).tobytes(), np.dtype(dtype).itemsize
-            bounds = [0, *(cuts * size).tolist()]
-            joined, apart = iter([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), iter(alone)
-            return [(next(joined) if w else next(apart).astype(dtype).tobytes(),) for w in within]
-
-        _CACHES[key] = ChunkCache(make, (np.dtype(dtype).itemsize,), limit=800_000, group=1 << 22)
-    return _CACHES[key]
+    """An encoder of whole texts by a byte-level tokenizer file; kept by the Python worker."""
+    return kept(f"library {path} {dtype}", lambda: _library_encoder(path, dtype))
+
+
+def _library_encoder(path: str, dtype: str) -> ChunkCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocab = tokenizer.get_vocab(True)
+    if max(vocab.values()) > np.iinfo(dtype).max:
+        raise ValueError(f"ids of up to {max(vocab.values())} do not fit {dtype}")
+    width = np.zeros(max(vocab.values()) + 1, np.int64)
+    for piece, i in vocab.items():
+        width[i] = len(piece)  # one character of a byte-level piece is one byte
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def make(chunks: list[str]) -> list[tuple[bytes, ...]]:
+        # Those that may stand between others are encoded as one long text, whose ids are cut where the chunks end.
+        within = [c[0] in " \n" and not ends_open(c) for c in chunks]
+        line = [c for c, w in zip(chunks, within, strict=True) if w]
+        whole, *alone = ids(["".join(line), *(c for c, w in zip(chunks, within, strict=True) if not w)])
+        cuts = np.searchsorted(np.cumsum(width[whole]), np.cumsum([len(c.encode()) for c in line])) + 1
+        raw, size = whole.astype(dtype).tobytes(), np.dtype(dtype).itemsize
+        bounds = [0, *(cuts * size).tolist()]
+        joined, apart = iter([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]), iter(alone)
+        return [(next(joined) if w else next(apart).astype(dtype).tobytes(),) for w in within]
+
+    return ChunkCache(make, (np.dtype(dtype).itemsize,), limit=800_000, group=1 << 22)
 
 
 def _open(uri: str):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from sinktrace.llm.caches import kept
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -37,14 +39,9 @@ class WordCodes:
         return np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
 
 
-_KEPT: list[WordCodes] = []
-
-
 def word_codes(limit: int = 250_000) -> WordCodes:
     """The table of this Python worker."""
-    if not _KEPT:
-        _KEPT.append(WordCodes(limit))
-    return _KEPT[0]
+    return kept(f"words {limit}", lambda: WordCodes(limit))
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
