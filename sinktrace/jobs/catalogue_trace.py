@@ -211,9 +211,11 @@ def index_types(spark, sf_dir):
     return found.select("path", "name", "owner", F.array_join("owner_supertypes", ",").alias("supertypes"), "return_type", F.array_join(bare, ",").alias("parameter_types"), F.array_join("parameter_names", ",").alias("parameter_names"))
 
 
-@query("""SELECT CAST(page_id AS VARCHAR) AS file, unnest(list_distinct(regexp_extract_all(html, '["'']([A-Za-z_$][A-Za-z0-9_$]{2,63})["'']', 1))) AS literal FROM pages""")
+@query("""SELECT DISTINCT user_id AS file, x AS literal FROM (SELECT user_id, unnest([event_type, 'on_' || event_type]) AS x FROM events)""")
 def string_literals(spark, sf_dir):
-    return indexing.literals_of(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text")))
+    body = F.concat(F.lit('run("'), F.col("event_type"), F.lit("\", 'on_"), F.col("event_type"), F.lit("', \"a b\", \"ab\");"))
+    files = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("path")).agg(F.array_join(F.array_sort(F.collect_set(body)), "\n").alias("text"))
+    return indexing.literals_of(files)
 
 
 # Statements with the rest of their file, the rule that finds them, and whether its checks pass.
