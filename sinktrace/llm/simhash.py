@@ -318,11 +318,14 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
     Two fingerprints are linked if they agree in all bits of a table's key and differ in no more bits than two sets of the
     similarity do but once in forty. A shard of some ``hot`` fingerprints or more, as the copies of one text make, is not gathered: each
     of its fingerprints is compared with a leader of the shard, another one in each table, and those that are not within the radius of
-    it are dealt out again by eight more bits.
+    it are dealt out again, by eight more bits in so many ways that two sets of the similarity meet again with odds of 0.99.
     """
     odds = bit_odds(similarity)
     radius = math.ceil(WIDE * odds + 2 * math.sqrt(WIDE * odds * (1 - odds)))
     places = _tables(fps.count(), similarity, recall)
+    ways = math.ceil(math.log(0.01) / math.log(1 - (1 - odds) ** 8))
+    random = np.random.default_rng(43)
+    finer = np.stack([random.permutation(WIDE)[:8] for _ in range(ways)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
@@ -334,6 +337,17 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
                 key = np.stack([bits[:, p] @ weight + (np.int64(t) << 44) for t, p in enumerate(places)], axis=1)
                 yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], len(places)), "high": np.repeat(words[:, 1], len(places))})
 
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.int64(1) << np.arange(8, dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 5_000):
+                part = batch.slice(lo, 5_000)
+                words = np.stack([part.column("low").to_numpy(), part.column("high").to_numpy()], axis=1)
+                bits, own = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little"), part.column("key").to_numpy().view(np.uint64)
+                way = [mixed((bits[:, p] @ weight + (np.int64(t) << 8)).view(np.uint64), 14) for t, p in enumerate(finer)]
+                key = np.stack([mixed(own ^ w, 15).view(np.int64) for w in way], axis=1)
+                yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], ways), "high": np.repeat(words[:, 1], ways)})
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for t in whole_shards(batches, "key"):
@@ -354,8 +368,7 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
         met = dealt.join(crowded, "key", "left")
         apart = F.bit_count(F.col("low").bitwiseXOR(F.col("leader.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("leader.high")))
         edges = met.where(apart <= radius).select(F.col("low").alias("a"), F.col("leader.low").alias("b")).where("a <> b")
-        again = F.expr("xxhash64(key, shiftrightunsigned(low, CAST(pmod(key, 7) * 8 AS INT)) & 255)")
-        dealt = met.where(F.col("leader").isNull() | (apart > radius)).select(F.when(F.col("leader").isNull(), F.col("key")).otherwise(again).alias("key"), "low", "high")
+        dealt = met.where("leader IS NULL").select("key", "low", "high").unionByName(met.where(apart > radius).select("key", "low", "high").mapInArrow(deal_again, schema))
     found = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
     return (found if edges is None else found.unionByName(edges)).distinct()
 

@@ -3,13 +3,8 @@
 Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at least ``PER_MILLE`` /
 1000. Documents of one set are one class. 128-bit SimHash fingerprints of the classes are dealt to BK-trees
 (``simhash.wide_edges``), whose components are groups of candidates; only documents in such a group are looked at
-again. Within a group links are found by an exact join: in any order of the shingles, two linked sets share one of
-their first n - ceil(n * threshold) + 1, so those that share none of these are never compared. The order puts
-shingles that a sample shows to be frequent last; the sample bears on speed alone.
-
-Classes are compared with heads first, a head being the smallest that has a shared shingle: each with the one that
-it shares most with, then with the others as long as they are of different components, and last those that share a
-shingle over components. So a large group of near copies costs about one comparison for each member.
+again. Within a group links are found by an exact join, by prefix trees (``prefix_trie``): pairs that are not alike
+are ruled out in the tasks that search the trees, and no rows are made for them.
 
 Defined cases: a text of fewer words than a shingle has one shingle, all its words; texts without words are alike;
 null is an empty text. Of a group the row of smallest doc_id stays, null ids coming last; of equal ids that whose
@@ -27,11 +22,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinktrace.llm.columns import fresh, texts_of
+from sinktrace.llm.prefix_trie import frequent_codes, ordered, prefix_length, similar_sets
 from sinktrace.llm.simhash import components, wide_edges, wide_fingerprint
-from sinktrace.llm.words import window_codes, word_codes
+from sinktrace.llm.words import mixed, window_codes, word_codes
 from sinktrace.storage import materialise
 
 WORDS, PER_MILLE = 5, 800
+_TOP = np.int64(31 << 57)  # the bits of a code that order it
 _LAST = 2**63 - 1  # stands for a null doc_id
 
 
@@ -44,10 +41,6 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return codes[np.concatenate([[True], codes[1:] != codes[:-1]])]
 
 
-def _prefix_length(n: int, per_mille: int) -> int:
-    return n - -(-n * per_mille // 1000) + 1
-
-
 def _fingerprints(rows: DataFrame, words: int) -> DataFrame:
     """For rows (k, t, text): k, t, digest of the shingle set, low and high words of its fingerprint."""
 
@@ -78,73 +71,21 @@ def _with_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "candidates", "text").mapInArrow(run, "id long, candidates long, codes array<bigint>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are alike."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(1000 * shared >= per_mille * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-
-def confirmed(sets: DataFrame, per_mille: int = PER_MILLE, frequent: int = 100_000) -> DataFrame:
+def confirmed(sets: DataFrame, per_mille: int = PER_MILLE) -> DataFrame:
     """Rows (node, component) of the links between sets (id, candidates, codes) that have the same ``candidates``: the smallest id reached."""
-    sample = sets.where("pmod(xxhash64(id), 64) = 0").select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = sample.orderBy(F.desc("n"), "code").limit(frequent).toArrow()
-    common = sets.sparkSession.sparkContext.broadcast(dict(zip(top.column("code").to_pylist(), top.column("n").to_pylist(), strict=True)))
+    known, bucket = frequent_codes(sets.where("pmod(xxhash64(id), 64) = 0"))
+    order = sets.sparkSession.sparkContext.broadcast((known, bucket))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.array(sorted(common.value), np.int64)
-        number = np.array([common.value[c] for c in known.tolist()], np.int64)
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, list] = {"id": [], "candidates": [], "code": [], "size": [], "place": []}
-            for i, g, s in zip(batch.column("id").to_pylist(), batch.column("candidates").to_pylist(), batch.column("codes"), strict=True):
-                s = s.values.to_numpy()
-                if not len(s):
-                    continue
-                rank = np.zeros(len(s), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, number[at], 0)
-                first = s[np.lexsort((s, rank))][: _prefix_length(len(s), per_mille)]
-                for name, values in (("id", np.full(len(first), i, np.int64)), ("candidates", np.full(len(first), g, np.int64)), ("code", first), ("size", np.full(len(first), len(s), np.int32)), ("place", np.arange(len(first), dtype=np.int32))):
-                    found[name].append(values)
-            if found["id"]:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in found.items()})
-
-    dealt, key = sets.mapInArrow(prefixes, "id long, candidates long, code long, size int, place int"), ["candidates", "code"]
-    heads = dealt.groupBy(*key).agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = materialise(dealt.join(heads, key), "similar-met")
-    node = lambda links, name: components(links).select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-
-    def apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-        """The pairs (id, head) that the links have not brought into one component."""
-        of_id = materialise(node(links, "id"), "similar-components")
-        both = pairs.join(of_id, "id", "left").join(of_id.toDF("head", "head_component"), "head", "left")
-        return both.where(F.coalesce("id_component", "id") != F.coalesce("head_component", "head")).select(*pairs.columns)
-
-    # Each with the head that it shares most with, then, while they are of different components, with the next ones, more of them each time.
-    ranked = Window.partitionBy("id").orderBy(F.desc("n"), "head")
-    pairs = met.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
-    left = materialise(pairs.withColumn("place", F.row_number().over(ranked)).drop("n"), "similar-pairs")
-    links, upto = None, 1
-    while not left.isEmpty():
-        found = materialise(_linked(left.where(F.col("place") <= upto).select(F.col("head").alias("a"), F.col("id").alias("b")), sets, per_mille), "similar-links")
-        links = found if links is None else links.unionByName(found)
-        left = materialise(apart(left.where(F.col("place") > upto), links), "similar-pairs")
-        upto *= 4
-    if links is None:
-        return node(dealt.select(F.col("id").alias("a"), F.col("id").alias("b")), "id").toDF("node", "component")
-    # Last, those of different components that share a shingle with one another, and not with the head alone.
-    joined = materialise(node(links, "id"), "similar-components")
-    now = met.drop("head").join(joined, "id", "left").withColumn("component", F.coalesce("id_component", "id")).drop("id_component")
-    now = materialise(now, "similar-labelled")
-    mixed = now.groupBy(*key).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(*key)
-    rest = now.join(mixed, key)
-    x, y = rest.alias("x"), rest.alias("y")
-    # Where two sets first meet, neither has more left than they share at most: that must be enough for the similarity.
-    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    near = (room * (1000 + per_mille) >= (F.col("x.size") + F.col("y.size")) * per_mille) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-    last = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.candidates") == F.col("y.candidates"))).where(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return components(links.unionByName(_linked(last, sets, per_mille)))
+            # The group of candidates is part of a code, so that sets of other groups share none.
+            groups = mixed(batch.column("candidates").to_numpy().view(np.uint64), 13)
+            codes = [ordered(np.sort(c.values.to_numpy().view(np.uint64)), *order.value) for c in batch.column("codes")]
+            own = [np.sort((c & _TOP) | ((c.view(np.uint64) ^ g) & ~_TOP.view(np.uint64)).view(np.int64)) for c, g in zip(codes, groups, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, own)), pa.int64()), pa.array([c[: prefix_length(len(c), per_mille)] for c in own], pa.list_(pa.int64())), pa.array(own, pa.list_(pa.int64()))], ["id", "size", "prefix", "codes"])
+
+    all_ = materialise(sets.where(F.size("codes") > 0).mapInArrow(put, "id long, size long, prefix array<bigint>, codes array<bigint>"), "similar-ordered")
+    return components(similar_sets(all_.select("id", "size", "prefix"), lambda ids: all_.join(ids, "id", "left_semi").select("id", "codes"), per_mille))
 
 
 def without_near_copies(docs: DataFrame, words: int = WORDS, per_mille: int = PER_MILLE) -> DataFrame:
