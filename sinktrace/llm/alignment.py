@@ -60,6 +60,9 @@ class Aligner:
             self.b = sentencepiece.SentencePieceProcessor(model_proto=identity_model(f.read()))
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
+        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         for i in range(n):
             piece = self.b.id_to_piece(i)
             if "▁" in piece.lstrip("▁") or "\n" in piece:
@@ -69,31 +72,60 @@ class Aligner:
 
     def link(self, chunks: list[str]) -> list[tuple[bytes, ...]]:
         """For each chunk: its groups as text, each after a semicolon; its links, the A id above the B id; and numbers: A and B tokens, groups, whether bytes differ."""
-        found_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        found_b = self.b.encode(chunks, num_threads=1)
-        out = []
-        for chunk, a, b in zip(chunks, found_a, found_b, strict=True):
-            raw = chunk.encode()
-            a_raw, b_raw = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_raw) != raw or b"".join(b_raw) != raw:
-                out.append((b"", b"", np.array([0, 0, 0, 1], np.uint32).tobytes()))
-                continue
-            groups, links, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, len(a_raw[0]), len(b_raw[0]), 0, 0
-            while True:
-                links.append(a[i] << 32 | b[j])
-                at = min(end_a, end_b)
-                if end_a == end_b:
-                    groups.append(f";{','.join(map(str, a[from_a : i + 1]))}|{','.join(map(str, b[from_b : j + 1]))}")
-                    from_a, from_b = i + 1, j + 1
-                    if at == len(raw):
-                        break
-                if end_a == at:
-                    i += 1
-                    end_a += len(a_raw[i])
-                if end_b == at:
-                    j += 1
-                    end_b += len(b_raw[j])
-            out.append(("".join(groups).encode(), np.array(links, np.uint64).tobytes(), np.array([len(a), len(b), len(groups), 0], np.uint32).tobytes()))
+        raw = [c.encode() for c in chunks]
+        found = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+        ids, joined = [[i for x in f for i in x] for f in found], []
+        for own, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
+            joined.append(b"".join(map(table.__getitem__, own)))
+        whole = b"".join(raw)
+        if joined[0] == whole and joined[1] == whole:
+            return self._linked(raw, *found)
+        # Chunks that a tokenizer does not give back have no tokens; the others are linked without them.
+        good = [all(b"".join(map(t.__getitem__, f[k])) == raw[k] for f, t in zip(found, (self.a_bytes, self.b_bytes), strict=True)) for k in range(len(raw))]
+        at = [k for k, g in enumerate(good) if g]
+        out = [(b"", b"", np.array([0, 0, 0, 1], np.uint32).tobytes())] * len(raw)
+        for k, value in zip(at, self._linked([raw[k] for k in at], [found[0][k] for k in at], [found[1][k] for k in at]), strict=True):
+            out[k] = value
+        return out
+
+    def _linked(self, raw: list[bytes], found_a: list[list[int]], found_b: list[list[int]]) -> list[tuple[bytes, ...]]:
+        """Groups, links and numbers of chunks whose bytes are those of their tokens: all chunks as one row of bytes.
+
+        Between two neighbouring ends of tokens, of either kind, lie bytes of one A and one B token; so each link is one such stretch.
+        """
+        if not raw:
+            return []
+        chunk_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        a, b = (np.array([i for x in f for i in x], np.int64) for f in (found_a, found_b))
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.union1d(end_a, end_b)
+        in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        cuts = ends[(end_a[in_a] == ends) & (end_b[in_b] == ends)]
+        links = ((a[in_a] << 32) | b[in_b]).astype(np.uint64).tobytes()
+        # The groups' text: A ids of a group, then its B ids, each after the character that parts it from what was before.
+        group = np.concatenate([2 * np.searchsorted(cuts, end_a), 2 * np.searchsorted(cuts, end_b) + 1])
+        order = np.argsort(group, kind="stable")
+        group, ids = group[order], np.concatenate([a, b])[order]
+        first = np.concatenate([[True], group[1:] != group[:-1]])
+        mark = np.where(first, np.where(group & 1, ord("|"), ord(";")), ord(",")).astype(np.uint8)
+        digits = 1 + sum((ids >= 10**k).astype(np.int64) for k in range(1, 10))
+        last = np.cumsum(digits + 1)
+        text = np.empty(int(last[-1]), np.uint8)
+        text[last - digits - 1] = mark
+        rest = ids.copy()
+        for k in range(int(digits.max())):
+            some = digits > k
+            text[(last - 1 - k)[some]] = 48 + rest[some] % 10
+            rest //= 10
+        # Where each chunk ends in the text, the links and the tokens.
+        text_at = np.append(0, last)[np.searchsorted(cuts[group >> 1], chunk_ends, "right")].tolist()
+        text = text.tobytes()
+        link_at = (8 * np.searchsorted(ends, chunk_ends, "right")).tolist()
+        numbers = np.stack([np.diff(np.searchsorted(e, chunk_ends, "right"), prepend=0) for e in (end_a, end_b, cuts)] + [np.zeros(len(raw), np.int64)], axis=1).astype(np.uint32).tobytes()
+        out, t, k = [], 0, 0
+        for i, (t_end, k_end) in enumerate(zip(text_at, link_at, strict=True)):
+            out.append((text[t:t_end], links[k:k_end], numbers[16 * i : 16 * i + 16]))
+            t, k = t_end, k_end
         return out
 
 
@@ -246,7 +278,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = (
     counted = materialise(pair_counts(postings), "alignment-pairs")
     highest = counted.groupBy("b").agg(F.max("n_links").alias("most"))
     pairs = counted.join(highest, "b").select("a", "b", "n_docs", "n_links", (F.col("n_links") == F.col("most")).alias("best"))
-    scores = _scored(postings.where("weight > 0").join(pairs.select("a", "b", F.col("n_links").alias("n"), "best"), ["a", "b"]))
+    # Pairs grow with the corpus, so both sides are dealt out at any size.
+    scores = _scored(postings.where("weight > 0").join(pairs.select("a", "b", F.col("n_links").alias("n"), "best").hint("merge"), ["a", "b"]))
     found = both.where("weight IS NULL").join(scores, ["block", "place"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return found.select(*keep, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"), pairs
