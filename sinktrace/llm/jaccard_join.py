@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from sinktrace.llm.similar import shingles
 from sinktrace.llm.simhash import components
 from sinktrace.storage import materialise, spread
 
+BITS = 1 << 23
+_LAST = 2**63 - 1  # stands for a null doc_id
+
 
 def _codes(rows: DataFrame, words: int) -> DataFrame:
     """The shingles of rows (id, text): id, codes."""
@@ -34,6 +38,25 @@ def _codes(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, codes array<bigint>")
 
 
+def marked_in(keys: DataFrame):
+    """A filter by a bitmap of ``BITS`` bits over the hashes of the rows: it passes all of them, and of others those whose bit is set.
+
+    The bitmap is summed up by words, so the driver gets BITS / 64 numbers at most, however many rows there are.
+    """
+    place = F.pmod(F.xxhash64(*keys.columns), F.lit(BITS))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    held = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def passes(code: pd.Series) -> pd.Series:
+        p = np.mod(code.to_numpy(), BITS)
+        return pd.Series((held.value[p >> 6] >> (p & 63)) & 1 == 1)
+
+    return passes
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, per_mille: int = 850, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of docs, then n_shingles and component_id: the smallest doc_id that a document reaches by links, its own included."""
     keep = without(keep, "n_shingles", "component_id", "__id", "__hash", "__text", "__digest", "__prefix")
@@ -63,15 +86,18 @@ def jaccard_components(docs: DataFrame, words: int = 4, per_mille: int = 850, ke
 
     def whole(ids: DataFrame) -> DataFrame:
         """All codes, in order, of the sets of these ids."""
-        places = classes.join(ids, "id").select("id", "first_id", "hash")
-        texts = named.join(places, named["__id"].eqNullSafe(F.col("first_id")) & (named["__hash"] == F.col("hash"))).select("id", F.col("__text").alias("text"))
+        places = materialise(classes.join(ids, "id").select("id", F.coalesce("first_id", F.lit(_LAST)).alias("k"), "hash"), "jaccard-places")
+        keyed = named.select(F.coalesce("__id", F.lit(_LAST)).alias("k"), F.col("__hash").alias("hash"), F.col("__text").alias("text"))
+        # Most texts are not asked for: a bitmap of fixed size keeps them out of the join.
+        some = keyed.where(marked_in(places.select("k", "hash"))(F.xxhash64("k", "hash")))
+        texts = some.join(places, ["k", "hash"]).groupBy("k", "hash", "id").agg(F.first("text").alias("text")).select("id", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [ordered(shingles(t, words), *order.value) for t in texts_of(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "codes"])
 
-        return texts.mapInArrow(sets, "id long, codes array<bigint>").dropDuplicates(["id"])
+        return texts.mapInArrow(sets, "id long, codes array<bigint>")
 
     found = components(similar_sets(classes.select("id", "size", "prefix"), whole, per_mille))
     placed = classes.join(found, classes["id"] == found["node"], "left").select("__digest", "first_id", F.coalesce("component", "id").alias("component"))

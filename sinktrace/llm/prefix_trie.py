@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinktrace.llm.simhash import forest, whole_shards
@@ -219,7 +219,9 @@ class Tries:
                 # Lists that end here.
                 y, of = _spread(self.lo[node[part]], ends[part]), lo + np.repeat(np.arange(hi - lo), ends[part])
                 a = x[of]
-                fits = (overlap[of] + np.maximum(self.rest[a], self.rest[y]) >= self._asked(self.size[a], self.size[y])) & (label[a] != label[y]) & ((y > a) | ~probing[y])
+                smaller, larger = np.minimum(self.size[a], self.size[y]), np.maximum(self.size[a], self.size[y])
+                fits = (overlap[of] + np.maximum(self.rest[a], self.rest[y]) >= self._asked(smaller, larger)) & (1000 * smaller >= self.per_mille * larger)
+                fits &= (label[a] != label[y]) & ((y > a) | ~probing[y])
                 if fits.any():
                     pairs.append((a[fits], y[fits]))
                     held += int(fits.sum())
@@ -271,9 +273,12 @@ def similar_sets(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], per_m
     sets: id, size, prefix (codes in the global order); whole: gives (id, codes) of all codes of the sets of some ids.
     """
     each = sets.select("id", "size", F.explode("prefix").alias("code"))
+    # A set stays in the group of a code if one there has a size that allows the similarity; that is so if the next smaller or larger one has.
+    by_size = Window.partitionBy("code").orderBy("size", "id")
+    near = (1000 * F.lag("size").over(by_size) >= per_mille * F.col("size")) | (per_mille * F.lead("size").over(by_size) <= 1000 * F.col("size"))
     by = "PARTITION BY code"
     marks = {"n": f"count(*) OVER ({by})", "total": f"sum(CAST(size AS LONG)) OVER ({by})", "first": f"min(id) OVER ({by})", "last": f"max(id) OVER ({by})", "sign": f"bit_xor(xxhash64(id)) OVER ({by})"}
-    met = materialise(each.select("*", *(F.expr(v).alias(k) for k, v in marks.items())).where("n > 1"), "tries-met")
+    met = materialise(each.withColumn("near", F.coalesce(near, F.lit(False))).where("near").drop("near").select("*", *(F.expr(v).alias(k) for k, v in marks.items())), "tries-met")
     # Of codes that the same sets have the first one makes the group.
     leading = met.where("id = first").groupBy("n", "total", "first", "last", "sign").agg(F.min("code").alias("code")).select("code")
     parts = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("total") / TOKENS)).cast("int")
@@ -284,5 +289,4 @@ def similar_sets(sets: DataFrame, whole: Callable[[DataFrame], DataFrame], per_m
     lists = met.groupBy("id").agg(F.array_sort(F.collect_list("code")).alias("codes"))
     tiles = materialise(tiled.select(key.alias("key"), "code", "id", "size"), "tries-tiles")
     left = materialise(_groups(tiles.join(lists, "id").select("key", "code", "id", "size", "codes"), per_mille, False, 20_000), "tries-left")
-    full = materialise(whole(left.select("id").distinct()), "tries-sets")
-    return _groups(left.join(full, "id").select("key", "code", "id", F.size("codes").cast("long").alias("size"), "codes"), per_mille, True, 2_000)
+    return _groups(left.join(whole(left.select("id").distinct()), "id").select("key", "code", "id", F.size("codes").cast("long").alias("size"), "codes"), per_mille, True, 2_000)
