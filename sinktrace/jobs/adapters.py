@@ -55,7 +55,7 @@ FINDINGS_SQL = f"""findings AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call graph of parts: one calls another if a returned line of the first comes right before one of the other. caller, callee, seq."""
+    """A sparse part of the call graph of parts: returned lines alone, one in ten of all pairs, so that there are methods that nothing calls. caller, callee, seq."""
     items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
     nxt = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("callee"))
     pairs = items.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("caller"), "callee")
@@ -68,6 +68,26 @@ EDGES_SQL = """edges AS (
   WHERE x.l_returnflag = 'R' AND y.l_returnflag = 'R')"""
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole call graph of parts: one calls another if a line of the first comes right before one of the other. caller, callee, seq."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    nxt = items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("callee"))
+    pairs = items.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("caller"), "callee")
+    return pairs.distinct().withColumn("seq", F.col("caller") * 1000003 + F.col("callee"))
+
+
+def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sinks of that graph: standard parts of the two largest sizes. sink, node."""
+    found = table(spark, sf_dir, "part").where("p_type = 'STANDARD' AND p_size > 48")
+    return found.select(F.col("p_partkey").alias("sink"), F.col("p_partkey").alias("node"))
+
+
+ALL_EDGES_SQL = """edges AS (
+  SELECT DISTINCT x.l_partkey AS caller, y.l_partkey AS callee FROM lineitem x JOIN lineitem y
+    ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1),
+starts AS (SELECT p_partkey AS node FROM part WHERE p_type = 'STANDARD' AND p_size > 48)"""
+
+
 def entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry points of that graph: parts on promotion."""
     return table(spark, sf_dir, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("node"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss, text
 from sinktrace.jobs import reports
-from sinktrace.jobs.adapters import CALLS_SQL, EDGES_SQL, ENTRIES_SQL, FINDINGS_SQL, METHODS_SQL, calls, edges, entry_nodes, findings, methods, table
+from sinktrace.jobs.adapters import ALL_EDGES_SQL, CALLS_SQL, EDGES_SQL, ENTRIES_SQL, FINDINGS_SQL, METHODS_SQL, all_edges, calls, edges, entry_nodes, findings, methods, sinks, table
 from sinktrace.operators import candidates, context, entries, explain, graph, indexing, rules, statistics, validators, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
@@ -259,19 +259,13 @@ def suffix_join(spark, sf_dir):
 
 
 def _search_sql(depth: int) -> str:
-    return f"""WITH RECURSIVE {EDGES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
+    return f"""WITH RECURSIVE {ALL_EDGES_SQL},
 walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < {depth})
 SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node"""
 
 
-def _starts(graph_edges):
-    """Every method that is called is a sink."""
-    return graph_edges.select(F.col("callee").alias("sink"), F.col("callee").alias("node")).distinct()
-
-
 def _search(spark, sf_dir, depth):
-    graph_edges = edges(spark, sf_dir)
-    return graph.reverse_search(_starts(graph_edges), graph_edges, depth)
+    return graph.reverse_search(sinks(spark, sf_dir), all_edges(spark, sf_dir), depth)
 
 
 @query(_search_sql(1))
@@ -289,15 +283,14 @@ def trace_bfs_depth7(spark, sf_dir):
     return _search(spark, sf_dir, 7)
 
 
-_CHAINS_SQL = f"""WITH RECURSIVE {EDGES_SQL}, {ENTRIES_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
+_CHAINS_SQL = f"""WITH RECURSIVE {ALL_EDGES_SQL}, {ENTRIES_SQL},
 walk AS (SELECT node AS sink, node, 0 AS depth FROM starts UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7 AND (w.depth = 0 OR w.node NOT IN (SELECT node FROM entries))),
 first AS (SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node),
 chains AS (SELECT sink, node AS entry, depth FROM first WHERE depth > 0 AND node IN (SELECT node FROM entries))"""
 
 
 def _chains(spark, sf_dir):
-    graph_edges = edges(spark, sf_dir)
-    return graph.shortest_chains(_starts(graph_edges), graph_edges, entry_nodes(spark, sf_dir))
+    return graph.shortest_chains(sinks(spark, sf_dir), all_edges(spark, sf_dir), entry_nodes(spark, sf_dir))
 
 
 @query(f"{_CHAINS_SQL} SELECT sink, entry, depth, depth + 1 AS nodes FROM chains")
@@ -315,7 +308,12 @@ def topk_chains(spark, sf_dir):
 walk AS (SELECT node AS sink, node FROM starts UNION SELECT w.sink, e.caller FROM walk w JOIN edges e ON e.callee = w.node)
 SELECT sink, node FROM walk WHERE node NOT IN (SELECT callee FROM edges WHERE caller <> callee)""")
 def closure_leaves(spark, sf_dir):
-    return graph.leaves(_search(spark, sf_dir, None).select("sink", "node"), edges(spark, sf_dir))
+    graph_edges = edges(spark, sf_dir)
+    of, reached = graph.leaf_components(graph_edges)
+    called = graph_edges.select(F.col("callee").alias("node")).distinct()
+    # A method that calls itself alone is a sink with itself as its leaf.
+    alone = called.join(of, "node", "left_anti").select(F.col("node").alias("sink"), "node")
+    return called.join(of, "node").join(reached, "component").select(F.col("node").alias("sink"), F.col("leaf").alias("node")).unionByName(alone)
 
 
 _PARENTS_SQL = "parents AS (SELECT DISTINCT c_custkey AS type, c_custkey // 3 AS parent FROM customer WHERE c_custkey > 0 UNION SELECT DISTINCT s_suppkey, s_suppkey + 5 FROM supplier)"
@@ -591,13 +589,16 @@ def index_scripts(spark, sf_dir):
     return sites.where("callee = 'track'").groupBy(F.col("path").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("calls"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'python-sql-format' WHEN 1 THEN 'CPP001' WHEN 2 THEN 'CPP004' ELSE 'mybatis-substitution' END AS rule_id FROM orders WHERE o_orderkey % 5 < 4""")
+@query("""WITH l AS (SELECT o_custkey AS path, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS line_no FROM orders)
+SELECT path, line_no, CAST(14 * unnest(range(o_orderkey % 4)) AS INT) AS col, 'CPP001' AS rule_id FROM l
+UNION ALL SELECT path, line_no, CAST(14 * (o_orderkey % 4) AS INT), 'CPP002' FROM l WHERE o_orderkey % 3 = 0""")
 def rule_scan(spark, sf_dir):
-    k = F.col("o_orderkey") % 5
-    line = F.when(k == 0, 'cur.execute(f"select {x}")').when(k == 1, "::strcpy(a, b);").when(k == 2, "std::memcpy(a, b, n);").when(k == 3, "a = ${x}").otherwise("a = ${criterion.condition}; x.strcpy(1)")
-    lang = F.when(k == 0, "python").when(k < 3, "cpp").otherwise("xml")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), lang.alias("lang"), F.lit(1).alias("line_no"), line.alias("text"))
-    return rules.scan(rows, rules.rule_table(spark)).select(F.col("path").alias("o_orderkey"), "rule_id")
+    """A file for each customer and a line for each order, with several calls and what is only said in comments."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.repeat(F.lit("strcpy(a, b); "), (k % 4).cast("int")), F.when(k % 3 == 0, "system(c); ").otherwise("x.system(c); "), F.lit("/* gets(d) */ s = \"//\"; // system(e); delete p;"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, text.alias("t")))), lambda x: x["t"]), "\n")
+    files = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(lines.alias("text")).withColumn("lang", F.lit("cpp"))
+    return rules.scan(context.lines_of(indexing.masked(files, False), "lang"), rules.rule_table(spark)).select("path", "line_no", "col", "rule_id")
 
 
 @query("""SELECT s_suppkey, 'GET' AS verb, '/s' || s_suppkey AS route, 'C' || s_nationkey AS class_name, 'show' AS action FROM supplier UNION ALL SELECT s_suppkey, 'POST', '/t', 'D', 'put' FROM supplier WHERE s_suppkey % 2 = 0""")

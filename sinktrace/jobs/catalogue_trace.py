@@ -6,16 +6,16 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import text
 from sinktrace.jobs import reports
-from sinktrace.jobs.adapters import EDGES_SQL, FINDINGS_SQL, METHODS_SQL, edges, findings, methods, table
-from sinktrace.jobs.catalogue import _GRADED_SQL, _graded, _starts, query
-from sinktrace.operators import candidates, context, graph, indexing, rules, statistics, trace, verdicts, verification
+from sinktrace.jobs.adapters import ALL_EDGES_SQL, FINDINGS_SQL, METHODS_SQL, all_edges, findings, methods, sinks, table
+from sinktrace.jobs.catalogue import _GRADED_SQL, _graded, query
+from sinktrace.operators import aliases, candidates, context, graph, indexing, matching, rules, spans, statistics, trace, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
 _MARKS_SQL = "marks AS (SELECT p_partkey AS node, p_type = 'PROMO' AS definitive FROM part WHERE p_type IN ('PROMO', 'ECONOMY'))"
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, {_MARKS_SQL}, starts AS (SELECT DISTINCT callee AS node FROM edges),
+@query(f"""WITH RECURSIVE {ALL_EDGES_SQL}, {_MARKS_SQL},
 open AS (SELECT node FROM starts WHERE node NOT IN (SELECT node FROM marks WHERE definitive)),
 walk AS (SELECT node AS sink, node, 0 AS depth FROM open UNION SELECT w.sink, e.caller, w.depth + 1 FROM walk w JOIN edges e ON e.callee = w.node WHERE w.depth < 7 AND (w.depth = 0 OR w.node NOT IN (SELECT node FROM marks))),
 first AS (SELECT sink, node, min(depth) AS depth FROM walk GROUP BY sink, node), chains AS (SELECT sink, node AS entry, depth FROM first WHERE depth > 0 AND node IN (SELECT node FROM marks))
@@ -24,8 +24,7 @@ UNION ALL SELECT node, node, 0 FROM open WHERE node IN (SELECT node FROM marks)
 def trace_sources(spark, sf_dir):
     kind = F.col("p_type")
     marks = table(spark, sf_dir, "part").where(kind.isin("PROMO", "ECONOMY")).select(F.col("p_partkey").alias("node"), (kind == "PROMO").alias("definitive"))
-    graph_edges = edges(spark, sf_dir)
-    return trace.entry_traces(_starts(graph_edges), graph_edges, marks).select("sink", "entry", "depth")
+    return trace.entry_traces(sinks(spark, sf_dir), all_edges(spark, sf_dir), marks).select("sink", "entry", "depth")
 
 
 @query("""WITH m AS (SELECT p_partkey AS seq, 'mod' || (p_partkey % 3) || '/java/com/p' || (p_partkey % 25) || '/M' || p_size || '.java' AS file, 'find' || (p_partkey % 4) AS name, CAST(p_partkey % 3 AS INT) AS arity FROM part),
@@ -240,21 +239,72 @@ def cpp_validators(spark, sf_dir):
     return rules.validated(uses, files).select(F.col("path").alias("o_orderkey"), "rule_id")
 
 
+# Statements of a method, and the rule that finds the second line of the method.
 _JAVA_CASES = (
-    ("Runtime.getRuntime()\n    .exec(command);", "java-shell-command"), ('Runtime.getRuntime().exec("ls");', None), ('new ProcessBuilder("sh", "-c",\n    "ping " + host);', "java-shell-command"),
-    ("new File(root, name);", "java-file-path"), ("new File(ROOT);", None), ("new URL(address);", "java-request-url"), ('URI.create("http://a");', None), ('r.setHeader("Location", target);', "java-location-header"),
-    ("new SpelExpressionParser().parseExpression(rule);", "java-spel-expression"), ("u.unmarshal(request.getInputStream());", "java-xml-unmarshal"), ("u.unmarshal(file);", None),
+    ('String[] v = {"/bin/sh", "-c", line};\n    new ProcessBuilder(v).start();', "java-shell-command"), ('String[] v = {"/bin/ls", "-c", line};\n    new ProcessBuilder(v).start();', None), ('String[] v = {"sh", "-c", line};\n    new ProcessBuilder(w).start();', None),
+    ('line = "ls";\n    run.exec(new String[] {"sh", "-c", line});', None), ('int n = 1;\n    run.exec(new String[] {"sh", "-c",\n      line + n});', "java-shell-command"), ('{ List<String> v = Arrays.asList("sh", "-c", line); }\n    new ProcessBuilder(v);', None),
+    ('String p = String.format("%s/x", line);\n    Paths.get(p);', "java-file-path"), ('String p = root + "x";\n    Paths.get(p);', None), ('StringBuilder b = new StringBuilder(root); b.append(line); String p = b.toString();\n    Paths.get(p);', "java-file-path"), ("int n = 2;\n    new File(root + NAME);", None),
+    ('URL u = new URL("http://" + line + "/x");\n    u.close();', None), ('String s = "http://" + line + "/x"; URL u = new URL(s);\n    u.openStream();', "java-request-url"), ("InputStream in = request.getInputStream();\n    u.unmarshal(in);", "java-xml-unmarshal"), ("InputStream in = file.open();\n    u.unmarshal(in);", None),
+    ('int n = 3;\n    f.setFeature("http://xml.org/sax/features/external-general-entities", false);', "java-xml-entities"),
+    ('f.setFeature("http://apache.org/xml/features/disallow-doctype-decl", true);\n    f.setFeature("http://xml.org/sax/features/external-general-entities", false);', None), ('// go\n    r.setHeader("Location", target);', "java-location-header"), ("// go\n    // sendRedirect(target);", None),
 )
 _JAVA_SQL = f"CASE o_orderkey % {len(_JAVA_CASES)} " + " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in enumerate(_JAVA_CASES) if rule) + " END"
 
 
-@query(f"SELECT o_orderkey, rule_id, 2 AS line_no FROM (SELECT o_orderkey, {_JAVA_SQL} AS rule_id FROM orders) WHERE rule_id IS NOT NULL")
+@query(f"SELECT o_custkey AS path, CAST(3 * n AS INT) AS line_no, rule_id FROM (SELECT o_custkey, {_JAVA_SQL} AS rule_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE rule_id IS NOT NULL AND n > 0")
 def java_statement_rules(spark, sf_dir):
-    k, statement = F.col("o_orderkey") % len(_JAVA_CASES), F.lit("")
+    """A class for each customer and a method of two statements for each order; the second one begins on each third line."""
+    k, body = F.col("o_orderkey"), F.lit("")
     for n, (s, _) in enumerate(_JAVA_CASES):
-        statement = F.when(k == n, s).otherwise(statement)
-    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.lit("java").alias("lang"), F.concat(F.lit("class A {\n  "), statement, F.lit("\n}\n")).alias("text"))
-    return rules.scan(rules.statements_of(context.lines_of(files, "lang")), rules.statement_rules(spark)).select(F.col("path").alias("o_orderkey"), "rule_id", "line_no")
+        body = F.when(k % len(_JAVA_CASES) == n, s.replace(",\n", ",")).otherwise(body)
+    method = F.concat(F.lit("void m"), k.cast("string"), F.lit("(String line) { "), body, F.lit(" }\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, method.alias("t")))), lambda x: x["t"]), "\n")
+    files = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.concat(F.lit("class A {\n"), text, F.lit("}\n")).alias("text")).withColumn("lang", F.lit("java"))
+    lines = context.lines_of(indexing.masked(files, False), "lang")
+    found = matching.statement_hits(spans.tracked(files)).select("path", "line_no", "rule_id").unionByName(rules.scan(rules.statements_of(lines), rules.statement_rules(spark)).select("path", "line_no", "rule_id"))
+    return found
+
+
+_SPANS_SQL = """s AS (SELECT l_orderkey AS path, l_linenumber AS pos, l_linenumber AS end_pos, l_linenumber + CAST(l_quantity AS INT) % 5 AS block_end, l_partkey % 20 // 10 AS method_pos, l_suppkey % 3 AS v, l_returnflag AS kind FROM lineitem)"""
+
+
+def _line_spans(spark, sf_dir):
+    """Lines of an order as spans of a file: returned ones are assignments that hold for some lines, open ones uses, accepted ones assignments of a literal."""
+    n = F.col("l_linenumber").cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("path"), n.alias("pos"), n.alias("end_pos"), (n + F.col("l_quantity").cast("int") % 5).alias("block_end"), F.floor(F.col("l_partkey") % 20 / 10).alias("method_pos"),
+        (F.col("l_suppkey") % 3).alias("v"), F.col("l_returnflag").alias("kind"),
+    )
+
+
+@query(f"""WITH {_SPANS_SQL} SELECT h.path, h.pos, h.v FROM s h WHERE kind = 'N'
+AND EXISTS (SELECT 1 FROM s d WHERE d.kind = 'R' AND d.path = h.path AND d.v = h.v AND d.end_pos < h.pos AND h.pos <= d.block_end)
+AND NOT EXISTS (SELECT 1 FROM s d WHERE d.kind = 'A' AND d.path = h.path AND d.v = h.v AND d.end_pos < h.pos AND h.pos <= d.block_end)""")
+def matched_inside(spark, sf_dir):
+    every = _line_spans(spark, sf_dir)
+    of = lambda kind: every.where(F.col("kind") == kind).drop("kind")
+    return matching.not_inside(matching.inside(of("N"), of("R"), "v"), of("A"), "v").select("path", "pos", "v")
+
+
+@query(f"""WITH {_SPANS_SQL} SELECT h.path, h.pos, h.v FROM s h WHERE kind = 'R' AND NOT EXISTS (SELECT 1 FROM s d WHERE d.kind = 'A' AND d.path = h.path AND d.v = h.v AND d.method_pos = h.method_pos)""")
+def matched_by_method(spark, sf_dir):
+    every = _line_spans(spark, sf_dir)
+    of = lambda kind: every.where(F.col("kind") == kind).drop("kind")
+    return matching.not_in_method_of(of("R"), of("A"), "v").select("path", "pos", "v")
+
+
+@query("""WITH RECURSIVE a AS (SELECT l_orderkey AS path, l_linenumber AS pos, 'n' || (l_partkey % 6) AS name, CASE WHEN l_suppkey % 4 = 0 THEN 'nullptr' WHEN l_suppkey % 4 = 1 THEN '"lit' || (l_suppkey % 9) || '"' ELSE 'n' || (l_suppkey % 7) END AS value FROM lineitem),
+q AS (SELECT path, pos, name FROM a),
+w AS (SELECT path, pos, name, name AS at, [name] AS seen, CAST(NULL AS VARCHAR) AS value, true AS open FROM q
+UNION ALL SELECT w.path, w.pos, w.name, CASE WHEN a.value LIKE 'n%' AND a.value <> 'nullptr' THEN a.value END, list_append(w.seen, a.value), CASE WHEN a.value LIKE 'n%' AND a.value <> 'nullptr' THEN NULL ELSE a.value END, a.value LIKE 'n%' AND a.value <> 'nullptr' AND NOT list_contains(w.seen, a.value)
+  FROM w JOIN a ON w.open AND a.path = w.path AND a.name = w.at AND a.pos = (SELECT max(b.pos) FROM a b WHERE b.path = w.path AND b.name = w.at AND b.pos < w.pos))
+SELECT path, pos, name, max(value) AS held FROM w GROUP BY path, pos, name""")
+def alias_values(spark, sf_dir):
+    """What each name holds right before it is assigned, aliases followed to their ends: lines of an order as the assignments of a file."""
+    s = F.col("l_suppkey")
+    value = F.when(s % 4 == 0, "nullptr").when(s % 4 == 1, F.concat(F.lit('"lit'), (s % 9).cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("n"), (s % 7).cast("string")))
+    assigns = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("n"), (F.col("l_partkey") % 6).cast("string")).alias("name"), value.alias("value"))
+    return aliases.held(assigns.drop("value"), aliases.resolved(assigns)).select("path", "pos", "name", "held")
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'cpp' WHEN 1 THEN CASE WHEN html LIKE '%<script%' THEN 'cpp' END WHEN 2 THEN NULL ELSE 'c' END AS kind FROM pages""")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss
 from sinktrace.functions.text import cwe_ids, slashed
-from sinktrace.operators import candidates, context, entries, graph, indexing, rules, trace, verdicts, verification
+from sinktrace.operators import candidates, context, entries, explain, graph, indexing, matching, rules, spans, trace, verdicts, verification
+from sinktrace.sources import readers
 from sinktrace.storage import materialise, numbered
 
 PROMPT = "Rules: %s\nSink: %s:%d\n\n%s\n\nCan a request reach the sink with a value of its own choice? Answer in JSON."
@@ -20,12 +21,18 @@ def method_key(path, name, line):
 
 
 def matched(spark: SparkSession, sources: DataFrame) -> DataFrame:
-    """Candidates of the rules in sources (path, lang, text), filtered by path, scope and checks, and deduplicated; seq is their place by file, line and rule."""
+    """Candidates of the rules in sources (path, lang, text), filtered by path, scope and checks, and deduplicated; seq is their place by file, line, column and rule.
+
+    Comments are blanked first. Every match counts, in lines, in statements, and in statements that belong together (``matching``).
+    """
     kept = sources.where(~candidates.excluded_path(F.col("path")))
-    lines = context.lines_of(kept, "lang")
+    lines = materialise(context.lines_of(indexing.masked(kept, False), "lang"), "scan-lines")
     hits = rules.scan(lines, rules.rule_table(spark)).unionByName(rules.scan(rules.statements_of(lines.where("lang = 'java'")), rules.statement_rules(spark)))
+    joined = matching.statement_hits(materialise(spans.tracked(kept.where("lang = 'java'")), "scan-spans"))
+    none = F.lit("")
+    hits = hits.unionByName(joined.select("path", "line_no", F.col("pos").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("col"), "rule_id", "cwe", "severity", none.alias("validators"), none.alias("statement")))
     settled = rules.validated(hits, kept)
-    placed = numbered(settled, "seq", F.col("path"), F.col("line_no"), F.col("rule_id"))
+    placed = numbered(settled, "seq", F.col("path"), F.col("line_no"), F.col("rule_id"), F.col("col"))
     static = F.contains("validators", F.lit("memcpy-bounds")) | F.col("rule_id").isin("CPP005", "CPP006", "CPP007", "CPP008")
     rows = placed.select(
         "seq", "rule_id", F.coalesce("message", F.lit("")).alias("message"), "severity", F.array("cwe").alias("cwe"), slashed(F.col("path")).alias("source_file"), F.col("line_no").alias("source_line"),
@@ -34,12 +41,22 @@ def matched(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return candidates.dedup(rows.where(~candidates.out_of_scope(F.col("cwe"))))
 
 
+def with_mappers(methods: DataFrame, sources: DataFrame) -> DataFrame:
+    """Methods after those that stand for the statements of mapper files among the sources: a call of an interface's method reaches its statement."""
+    statements = readers.mapper_statements(sources.where("lang = 'xml'"))
+    found = trace.mapper_methods(statements, methods.select("seq", "file", "name", "arity"))
+    last = methods.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))  # one number
+    placed = numbered(found.select("file", "name", "arity", "start_line", "end_line"), "seq", F.col("file"), F.col("start_line"), F.col("name")).join(F.broadcast(last))
+    made = placed.select("file", F.col("file").alias("path"), "name", "arity", "start_line", "end_line", (F.col("seq") + F.col("last")).alias("seq"), method_key(F.col("file"), F.col("name"), F.col("start_line")).alias("method_id"), F.lit("").alias("owner"))
+    return methods.unionByName(made, allowMissingColumns=True)
+
+
 def call_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Methods, calls and resolved edges (caller, callee, seq) of sources; a call on the object itself stays within its type and that type's relatives."""
     methods, calls = indexing.index(sources)
     key = method_key(F.col("path"), F.col("name"), F.col("start_line"))
     methods = numbered(methods.select("*", key.alias("method_id"), F.col("path").alias("file")), "seq", F.col("path"), F.col("start_line"), F.col("name"))
-    methods = materialise(methods, "scan-methods")
+    methods = materialise(with_mappers(materialise(methods, "scan-indexed"), sources), "scan-methods")
     caller = F.when(F.col("caller").isNotNull(), method_key(F.col("path"), F.col("caller"), F.col("caller_line")))
     sites = numbered(calls.select("callee", "arity", "receiver_is_self", F.col("path").alias("file"), F.col("line_no").alias("line"), caller.alias("caller_id")), "call_id", F.col("file"), F.col("line"), F.col("callee"))
     sites = materialise(sites, "scan-calls")
@@ -52,13 +69,27 @@ def call_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return methods, sites, materialise(edges, "scan-edges")
 
 
+def no_entry_reasons(sources: DataFrame, placed: DataFrame, methods: DataFrame, edges: DataFrame) -> DataFrame:
+    """Why no chain reaches a sink: sink_id, reason."""
+    marked = spans.tracked(sources).where(F.col("kind") == "method").where(F.col("value").rlike(r"@Override\b|\boverride\b"))
+    over = marked.select("path", "name", spans.line(F.col("pos")).alias("low"), spans.line(F.col("end_pos")).alias("high"))
+    named = methods.select("path", "name", "start_line", "method_id")
+    of = named.join(over, ["path", "name"]).where("start_line BETWEEN low AND high").select("method_id").distinct().withColumn("overrides", F.lit(True))
+    told = methods.select("method_id", "name").join(of, "method_id", "left").withColumn("overrides", F.coalesce("overrides", F.lit(False)))
+    return explain.told(explain.no_entry(placed.select("sink_id", "method_id"), told, edges, indexing.literals_of(sources)))
+
+
 def entry_marks(spark: SparkSession, sources: DataFrame, methods: DataFrame) -> DataFrame:
     """Methods that a request or a message reaches first: node, reason, definitive; proof goes before a hint."""
-    lines = context.lines_of(sources, "lang")
+    lines = materialise(context.lines_of(indexing.masked(sources, False), "lang"), "scan-code")
     langs = methods.join(sources.select("path", "lang"), "path")
     names = entries.registered(lines)
     late = graph.late_references(methods.select("path", "name", "start_line", F.lit(None).cast("string").alias("entry_reason")), names, ["path", "name"]).where("entry_reason IS NOT NULL")
     found = entries.entry_points(methods, lines, entries.mark_table(spark)).unionByName(entries.served(langs)).unionByName(late.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
+    table = readers.route_entries(sources.where("lang = 'routes'"))
+    routes = numbered(table, "seq", F.col("path"), F.col("route"), F.col("verb"), F.col("action"))
+    by_route = trace.routed(methods.withColumn("entry_reason", F.lit(None).cast("string")).withColumn("entry_definitive", F.lit(False)), routes).where("entry_definitive")
+    found = found.unionByName(by_route.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
     best = found.groupBy("path", "name", "start_line").agg(F.min_by(F.struct("reason", "definitive"), F.struct(~F.col("definitive"), "reason")).alias("e"))
     return materialise(best.select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "e.reason", "e.definitive"), "scan-entries")
 
@@ -77,8 +108,9 @@ def scan(spark: SparkSession, sources: DataFrame, ask: Callable[[str], str | Non
     shown = materialise(graph.top_chains(chains), "scan-chains")
     callers = trace.caller_context(shown, named, code)
     callees = trace.callee_context(trace.callee_bodies(placed, calls, methods), methods, code)
-    spans = placed.join(methods.select("method_id", "start_line", "end_line"), "method_id", "left").select("file", "line", "start_line", "end_line").distinct()
-    texts = trace.build_context(found, spans, code, callers, callees)
+    around = placed.join(methods.select("method_id", "start_line", "end_line"), "method_id", "left").select("file", "line", "start_line", "end_line").distinct()
+    reasons = no_entry_reasons(sources, placed, methods, edges)
+    texts = trace.build_context(found, around, code, callers, callees, reasons)
     hops = shown.groupBy(F.col("sink").alias("seq")).agg(F.min("depth").alias("hops"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.array_join("chain", " <- ").alias("c")))), lambda x: x["c"]), "; ").alias("chains"))
     asked = found.join(texts, "seq").join(hops, "seq", "left")
     prompt = F.format_string(PROMPT, F.array_join("rule_ids", ", "), "sink_file", "sink_line", "context")

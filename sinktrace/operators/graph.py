@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinktrace.functions.text import short_type
-from sinktrace.storage import materialise
+from sinktrace.storage import discard, materialise
 
 ANY_ARITY = -1
 MAX_DEPTH = 7
@@ -187,3 +187,105 @@ def without_macro_calls(calls: DataFrame, includes: DataFrame, macros: DataFrame
     reach = closure(includes.select(F.col("path").alias("type"), F.col("included").alias("parent")))
     far = reach.join(own.withColumnRenamed("path", "ancestor"), "ancestor").select(F.col("type").alias("path"), "callee")
     return calls.join(own.unionByName(far).distinct(), ["path", "callee"], "left_anti")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Rows (node, component) of undirected edges (a, b): the least node that each reaches.
+
+    Rounds of large and small stars, each an aggregation by node over a written table, until the edges no longer change.
+    A component's least node has no row of its own.
+    """
+    now = materialise(edges.where("a <> b").select("a", "b"), "components")
+    sign = None
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        met = large.join(least, "a")
+        small = met.select("b", "m").where("b <> m").unionByName(met.select(F.col("a").alias("b"), "m")).distinct().toDF("a", "b")
+        before, now = now, materialise(small, "components")
+        discard(before)
+        new = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0).cast("long"))).first()
+        if new == sign:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        sign = new
+    raise RuntimeError("components did not settle")
+
+
+def condensed(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """Strongly connected components of edges (caller, callee) of more than one node: (node, component), the component being its least node.
+
+    Nodes that nothing calls, or that call nothing, are on no cycle and are taken off first, round by round. Of what is left, each node learns the
+    least node that reaches it; the members of that node's component are those that it reaches and that reach it. They are settled, and
+    the rest goes on, in the parts that the least nodes make.
+    """
+    left, out = materialise(edges.where("caller <> callee").select("caller", "callee").distinct(), "condensed"), None
+    for _ in range(max_rounds):
+        left = _on_cycles(left)
+        if left.isEmpty():
+            break
+        forward = _least_reached(left)
+        back = _least_reached(left.select(F.col("callee").alias("caller"), F.col("caller").alias("callee")))
+        # The least node that reaches a node, and that it reaches, being one, both lie on a cycle through it.
+        met = materialise(forward.withColumnRenamed("least", "f").join(back.withColumnRenamed("least", "b"), "node"), "condensed-met")
+        found = met.where("f = b").select("node", F.col("f").alias("component"))
+        out = found if out is None else out.unionByName(found)
+        part = met.select("node", "f", "b", (F.col("f") == F.col("b")).alias("done"))
+        ends = lambda side: part.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("f", "b", "done")))
+        within = left.join(ends("caller"), "caller").join(ends("callee"), "callee").where("NOT caller_done AND NOT callee_done AND caller_f = callee_f AND caller_b = callee_b")
+        left = materialise(within.select("caller", "callee"), "condensed")
+    else:
+        raise RuntimeError("components did not settle")
+    nodes = edges.select(F.col("caller").alias("node"))
+    return out if out is not None else nodes.select("node", F.col("node").alias("component")).limit(0)
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """The edges left when those from nodes that nothing calls, and those to nodes that call nothing, are taken off again and again."""
+    while True:
+        kept = edges.join(edges.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi").join(edges.select(F.col("caller").alias("callee")).distinct(), "callee", "left_semi").select("caller", "callee")
+        kept = materialise(kept, "condensed")
+        if kept.count() == edges.count():
+            return kept
+        discard(edges)
+        edges = kept
+
+
+def _least_reached(edges: DataFrame) -> DataFrame:
+    """For each node the least node from which edges (caller, callee) lead to it, itself included: (node, least).
+
+    Each round takes the least of the callers, and of what the least node so far knows, so the ways that are followed grow by leaps.
+    """
+    nodes = edges.select(F.col("caller").alias("node")).unionByName(edges.select(F.col("callee").alias("node"))).distinct()
+    now = materialise(nodes.withColumn("least", F.col("node")), "least")
+    while True:
+        told = edges.join(now.withColumnRenamed("node", "caller"), "caller").groupBy(F.col("callee").alias("node")).agg(F.min("least").alias("by_caller"))
+        leap = now.select(F.col("node").alias("least"), F.col("least").alias("by_least"))
+        step = now.join(told, "node", "left").join(leap, "least", "left")
+        new = materialise(step.select("node", F.least("least", "by_caller", "by_least").alias("least")), "least")
+        changed = new.join(now.withColumnRenamed("least", "was"), "node").where("least <> was").isEmpty()
+        discard(now)
+        if changed:
+            return new
+        now = new
+
+
+def leaf_components(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of edges (caller, callee): each node's component (node, component), and the leaves, methods that nobody calls, that lead to each component (component, leaf).
+
+    Cycles become one node first. Then leaves go down the acyclic graph, what is new in each round only. Rows are pairs of components and
+    leaves, not of sinks and all the nodes on their way.
+    """
+    plain = materialise(edges.where("caller <> callee").select("caller", "callee").distinct(), "leaves-plain")
+    nodes = plain.select(F.col("caller").alias("node")).unionByName(plain.select(F.col("callee").alias("node"))).distinct()
+    cycles = condensed(plain)
+    of = materialise(nodes.join(cycles, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "leaves-of")
+    name = lambda df, side: df.join(of.toDF(side, "__c"), side).drop(side).withColumnRenamed("__c", side)
+    acyclic = materialise(name(name(plain, "caller"), "callee").where("caller <> callee").select("caller", "callee").distinct(), "leaves-edges")
+    known = frontier = materialise(of.join(plain.select(F.col("callee").alias("node")).distinct(), "node", "left_anti").select("component", F.col("node").alias("leaf")), "leaves")
+    while not frontier.isEmpty():
+        sent = acyclic.join(frontier.withColumnRenamed("component", "caller"), "caller").select(F.col("callee").alias("component"), "leaf").distinct()
+        frontier = materialise(sent.join(known, ["component", "leaf"], "left_anti"), "leaves")
+        known = known.unionByName(frontier)
+    return of, known

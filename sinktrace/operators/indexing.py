@@ -34,8 +34,8 @@ KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "else", "d
 _LINE_COMMENT = {"python": "#", "ruby": "#", "php": "//"}
 
 
-def mask(text: str, lang: str) -> str:
-    """The text with comments and the insides of literals blanked; lines and columns stay."""
+def mask(text: str, lang: str, literals: bool = True) -> str:
+    """The text with comments and, unless they are to stay, the insides of literals blanked; lines and columns stay."""
     line_mark, block = _LINE_COMMENT.get(lang, "//"), lang not in ("python", "ruby")
     out, at, n = [], 0, len(text)
     blank = lambda s: "".join(c if c in "\r\n" else " " for c in s)
@@ -53,7 +53,7 @@ def mask(text: str, lang: str) -> str:
                 end += 2 if text[end] == "\\" else 1
             end = min(n, end)
             body, close = text[at + len(quote) : end], quote if text.startswith(quote, end) else ""
-            out += [quote, blank(body), " " * len(close) if "\n" in body else close]  # the end of a literal of several lines isn't code
+            out += [quote, blank(body), " " * len(close) if "\n" in body else close] if literals else [quote, body, close]  # the end of a literal of several lines isn't code
             at = end + len(close)
             continue
         else:
@@ -96,16 +96,16 @@ def supertypes_in(tail: Column, lang: Column, text: Column) -> Column:
     return F.filter(bare, lambda x: x != "")
 
 
-def masked(files: DataFrame) -> DataFrame:
-    """Files (path, lang, text) with the text masked."""
+def masked(files: DataFrame, literals: bool = True) -> DataFrame:
+    """Files (path, lang, text) with the text masked; without ``literals`` comments alone are blanked."""
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["text"] = [mask(t, g) for t, g in zip(pdf["text"], pdf["lang"], strict=True)]
+            pdf["text"] = [mask(t, g, literals) for t, g in zip(pdf["text"], pdf["lang"], strict=True)]
             yield pdf
 
-    return files.select("path", "lang", "text").mapInPandas(run, "path string, lang string, text string")
+    return files.select("path", "lang", "text").mapInPandas(run, f"path {files.schema['path'].dataType.simpleString()}, lang string, text string")
 
 
 def _levels(lines: DataFrame) -> DataFrame:

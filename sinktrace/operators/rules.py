@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sinktrace.operators import validators
+from sinktrace.operators import aliases, validators
+from sinktrace.operators.indexing import masked
+from sinktrace.operators.spans import tracked
+from sinktrace.storage import materialise
 
 # A value that is no constant: it holds a name that is neither quoted nor written in capitals.
 _VALUE = r"(?:\s*\"[^\"]*\"\s*[,+])*[^;\"]*?(?<![\"\w$.])(?!(?:new|null|true|false|this)\b)[a-z_$][\w$]*(?:\.[\w$]+|\([^;]*?\))*[^;]*?"
@@ -27,26 +30,14 @@ RULES = (
     ("mybatis-substitution", "xml", r"\$\{(?!criterion\.condition\})[^}]*\}", "CWE-89", "ERROR", ""),
 )
 
-# The same for statements, which may spread over several lines.
+# The same for statements, which may spread over several lines; those of more than one statement are in ``matching``.
 STATEMENT_RULES = (
-    ("java-shell-command", "java", r"\.exec\s*\(" + _VALUE + r"\)|new\s+ProcessBuilder\s*\([^;]*\"(?:/bin/)?(?:ba)?sh\"[^;]*\"-c\"\s*," + _VALUE + r"\)", "CWE-78", "ERROR", ""),
-    ("java-file-path", "java", r"(?:new\s+File(?:InputStream|OutputStream|Reader|Writer)?|\bPaths\.get|\bPath\.of|\.resolve)\s*\(" + _VALUE + r"\)", "CWE-22", "WARNING", ""),
-    ("java-request-url", "java", r"(?:new\s+UR[LI]|\bURI\.create)\s*\(" + _VALUE + r"\)", "CWE-918", "WARNING", ""),
     ("java-location-header", "java", r"(?:sendRedirect\s*\(|(?:set|add)Header\s*\(\s*\"Location\"\s*,)" + _VALUE + r"\)", "CWE-601", "WARNING", ""),
     ("java-spel-expression", "java", r"new\s+SpelExpressionParser\s*\([^)]*\)\s*\.parseExpression\s*\(" + _VALUE + r"\)", "CWE-917", "ERROR", ""),
-    ("java-xml-unmarshal", "java", r"\.unmarshal\s*\([^;]*\b(?:getInputStream|getReader)\s*\(", "CWE-611", "ERROR", ""),
 )
 _COLUMNS = "rule_id string, lang string, pattern string, cwe string, severity string, validators string"
 
-# The checks by name: of the statement, the file's text before it, and the whole file.
-VALIDATORS = {
-    "standard-function-call": lambda statement, before, text: validators.standard_call(statement, text, F.regexp_extract(statement, r"(\w+)\s*\(", 1)),
-    "memcpy-bounds": lambda statement, before, text: validators.copy_bounds(statement, text) != "safe",
-    "new-delete-mismatch": lambda statement, before, text: validators.new_delete_mismatch(statement, before, text),
-    "null-dereference": lambda statement, before, text: validators.null_dereference(statement, before),
-    "hardcoded-secret": lambda statement, before, text: validators.secret_assignment(statement, text),
-    "dangerous-file-operation": lambda statement, before, text: validators.dangerous_file_operation(statement),
-}
+VALIDATORS = ("standard-function-call", "memcpy-bounds", "new-delete-mismatch", "null-dereference", "hardcoded-secret", "dangerous-file-operation")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -58,17 +49,36 @@ def statement_rules(spark: SparkSession) -> DataFrame:
 
 
 def scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (path, line_no, rule_id, cwe, severity, validators, statement) of lines (path, lang, line_no, text) that a rule of their language
-    matches, ``statement`` being the match and what follows it. Each pattern is a literal of the plan, so it is compiled once."""
+    """Rows (path, line_no, col, rule_id, cwe, severity, validators, statement), one for each match of a rule in lines (path, lang, line_no, text) of its language.
+
+    ``col`` is where the match begins, ``statement`` the match and what follows it
+    up to the end of the statement. A match in a statement of several lines has the line where it
+    begins. Each pattern is a literal of the plan, so it is compiled once; comments have to be blanked before.
+    """
     rows = rules.collect()  # a few dozen
+    which = [F.when((F.col("lang") == r.lang) & F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rows)]
+    some = lines.select("path", "line_no", "text", F.explode(F.array_compact(F.array(*which))).alias("k"))
+
+    def of_rule(value) -> Column:
+        out = F.lit(None)
+        for k, r in enumerate(rows):
+            out = F.when(F.col("k") == k, value(r)).otherwise(out)
+        return out
+
+    met = some.withColumn("found", of_rule(lambda r: F.regexp_extract_all("text", F.lit(f"({r.pattern})"), F.lit(0)))).withColumn("between", of_rule(lambda r: F.split("text", r.pattern, -1)))
+    hits = met.withColumn("at", F.explode(F.transform("found", lambda m, i: _length(F.slice("between", 1, i + 1)) + _length(F.slice("found", 1, i)))))
+    before = F.substring("text", F.lit(1), F.col("at"))
+    first = F.col("line_no") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+    col = F.length(F.substring_index(before, "\n", -1))
+    told = [of_rule(lambda r, c=c: F.lit(r[c])).alias(c) for c in ("rule_id", "cwe", "severity", "validators")]
+    # The statement ends at a semicolon outside of literals.
+    statement = F.regexp_extract(F.substring("text", F.col("at") + 1, F.length("text")), r'^(?:"(?:[^"\\]|\\.)*+"|[^;])*+;?', 0)
+    return hits.select("path", first.cast("int").alias("line_no"), col.alias("col"), *told, statement.alias("statement"))
 
-    def hit(r) -> Column:
-        found = F.regexp_extract("text", f"(?s)({r.pattern}.*)", 1)
-        told = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.cwe).alias("cwe"), F.lit(r.severity).alias("severity"), F.lit(r.validators).alias("validators"), found.alias("statement"))
-        return F.when((F.col("lang") == r.lang) & F.col("text").rlike(r.pattern), told)
 
-    hits = lines.select("path", "line_no", F.explode(F.array_compact(F.array(*map(hit, rows)))).alias("h"))
-    return hits.select("path", "line_no", "h.*")
+def _length(parts: Column) -> Column:
+    """The length of all texts in an array."""
+    return F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
 
 
 def statements_of(lines: DataFrame) -> DataFrame:
@@ -80,19 +90,50 @@ def statements_of(lines: DataFrame) -> DataFrame:
     return numbered.groupBy("path", "lang", "statement").agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text")).drop("statement")
 
 
-def accepted(names: Column, statement: Column, before: Column, text: Column) -> Column:
-    """Whether all the checks that a rule names (joined by commas) pass; a name that is not known fails, none passes."""
-    listed = F.filter(F.split(names, ","), lambda n: F.trim(n) != "")
-    out = F.size(F.array_except(listed, F.array(*map(F.lit, VALIDATORS)))) == 0
-    for name, check in VALIDATORS.items():
-        out = out & (~F.array_contains(listed, name) | F.coalesce(F.when(F.array_contains(listed, name), check(statement, before, text)), F.lit(False)))
-    return out
+def _asks(name: str) -> Column:
+    return F.array_contains(F.transform(F.split("validators", ","), F.trim), name)
 
 
 def validated(hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Hits whose checks pass against their file (path, text), with the details of copies: message, rule_confidence, static_analysis."""
+    """Hits whose checks pass against their files (path, lang, text), with the details of copies: message, rule_confidence, static_analysis.
+
+    A name that is no check fails, none passes. What names hold is looked up in one table for all hits (``aliases``); a file's text is read for calls
+    of functions that it may define itself, and for the few uses of what is null.
+    """
+    listed = F.filter(F.split("validators", ","), lambda n: F.trim(n) != "")
+    known = hits.where(F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, VALIDATORS)))) == 0).withColumn("pos", F.shiftleft(F.col("line_no").cast("long"), 20) + F.col("col"))
+    known = materialise(known.where("pos IS NOT NULL"), "rules-hits")
+    code = masked(files.where("lang = 'cpp'"), False)
+    spans = materialise(tracked(code).where("kind IN ('assign', 'method', 'call', 'return', 'delete')"), "rules-spans")
+    table = materialise(aliases.resolved(spans.where("kind = 'assign'").select("path", "pos", "name", "value")), "rules-aliases")
+    place = ["path", "pos", "rule_id"]
+    of = lambda check: known.where(_asks(check)).select(*place, "statement")
+
+    called = of("standard-function-call").join(code.select("path", "text"), "path")
+    standard = called.where(validators.standard_call(F.col("statement"), F.col("text"), F.regexp_extract("statement", r"(\w+)\s*\(", 1)))
+    # What is known of a copy is written once, for several columns are made of it.
+    known_of = materialise(of("memcpy-bounds").join(code.select("path", "text"), "path").select(*place, validators.copied(F.col("statement"), F.col("text")).alias("x")).select(*place, "x.*"), "rules-copies")
+    bounded = known_of.withColumn("bounds", validators.bounds_of(F.col("own"), F.col("room"), F.col("length")))
+    copies = bounded.where("bounds <> 'safe'").withColumn("details", validators.details_of(F.col("bounds"), F.col("room"), F.col("length")))
+    # Deletions by the form in which their name's group was made, or what calls pass for a parameter.
+    deleted = of("new-delete-mismatch").join(spans.where("kind = 'delete'").select("path", "pos", "method_pos", aliases.symbol(F.col("name")).alias("name"), (F.col("value") == "[]").alias("as_array")), ["path", "pos"])
+    groups, made = aliases.allocations(spans)
+    formed = materialise(aliases.allocation_forms(deleted, groups, made), "rules-forms")
+    passed = aliases.passed_forms(formed.where("array IS NULL").drop("array"), spans, groups, made)
+    mismatched = formed.where("array IS NOT NULL").unionByName(passed).where("array <> as_array")
+    # Uses of a name that holds null, unless a test right before them leaves.
+    used = aliases.held(of("null-dereference").withColumn("name", validators.used_name(F.col("statement"))), table).where(validators.is_null(F.col("held")))
     lines = F.split("text", r"\r\n|\r|\n")
-    met = hits.join(files.select("path", "text"), "path").withColumn("before", F.array_join(F.slice(lines, 1, F.greatest(F.col("line_no") - 1, F.lit(0))), "\n"))
-    kept = met.where(accepted(F.col("validators"), F.col("statement"), F.col("before"), F.col("text")))
-    details = F.when(F.contains("validators", F.lit("memcpy-bounds")), validators.copy_details(F.col("statement"), F.col("text")))
-    return kept.withColumn("details", details).select(*hits.columns, "details.*")
+    line_no, col = F.shiftright("pos", 20).cast("int"), F.col("pos").bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    before = F.concat(F.array_join(F.slice(lines, 1, line_no - 1), "\n"), F.lit("\n"), F.substring(F.element_at(lines, line_no), F.lit(1), col))
+    nulls = used.join(code.select("path", "text"), "path").where(~validators.guarded(before, F.col("name")))
+    given = aliases.held(of("hardcoded-secret").withColumn("value", validators.secret_value(F.col("statement"))).withColumn("name", F.when(F.col("value").rlike(aliases.NAME), F.col("value"))), table)
+    secrets = given.where(validators.holds_literal(F.col("value")) | validators.holds_literal(F.col("held")))
+    opened = aliases.held(of("dangerous-file-operation").withColumn("name", validators.opened_path(F.col("statement"))), table)
+    dangerous = opened.where(validators.dangerous_file_operation(F.col("statement"), F.col("held")))
+
+    out = known
+    for check, passing in zip(VALIDATORS, (standard, copies, mismatched, nulls, secrets, dangerous), strict=True):
+        out = out.where(~_asks(check)).unionByName(out.where(_asks(check)).join(passing.select(*place).distinct(), place, "left_semi"))
+    details = copies.select(*place, "details.*").distinct()
+    return out.join(details, place, "left").select(*hits.columns, *(c for c in details.columns if c not in place))

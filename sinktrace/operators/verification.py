@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -96,7 +97,8 @@ def static_confidence(rule_confidence: Column) -> Column:
 def replies(queue: DataFrame, ask: Callable[[str], str | None], blocks: int) -> tuple[DataFrame, bool]:
     """Replies (key, reply) to a queue (key, prompt, first_seq), asked in at most ``blocks`` blocks in order; and whether ``ask`` gave out.
 
-    ``ask`` runs in the tasks. Once it returns None, later blocks are not asked. All replies are in one table, to which each block is added.
+    ``ask`` runs in the tasks. The task in which it first returns None asks no more and leaves a marker in the shared folder: the other tasks look for
+    it before each prompt, and later blocks aren't begun. All replies are in one table, to which each block is added.
     """
     spark = queue.sparkSession
     cuts = sorted(set(queue.stat.approxQuantile("first_seq", [k / blocks for k in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
@@ -104,10 +106,20 @@ def replies(queue: DataFrame, ask: Callable[[str], str | None], blocks: int) ->
     for c in cuts:
         number = number + (F.col("first_seq") > c).cast("int")
     path, schema, halted = scratch(spark, "replies"), "key string, reply string", False
+    gave_out = marker(scratch(spark, "halted"))
 
     def reply(batches: Iterator) -> Iterator:
+        stopped = False
         for pdf in batches:
-            pdf["reply"] = [ask(p) for p in pdf["prompt"]]
+            out = []
+            for prompt in pdf["prompt"]:
+                stopped = stopped or gave_out.is_set()
+                found = None if stopped else ask(prompt)
+                if found is None and not stopped:
+                    stopped = True
+                    gave_out.set()
+                out.append(found)
+            pdf["reply"] = out
             yield pdf[["key", "reply"]]
 
     for block in range(len(cuts) + 1):
@@ -119,8 +131,102 @@ def replies(queue: DataFrame, ask: Callable[[str], str | None], blocks: int) ->
     return found.where("reply IS NOT NULL").select("key", "reply"), halted
 
 
+class marker:  # noqa: N801
+    """A mark that tasks set and see: a file in the shared folder, through its file system. A store that pyarrow does not know has none; then each task stops by itself."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _at(self):
+        from pyarrow import fs
+
+        try:
+            return fs.FileSystem.from_uri(self.path)
+        except (OSError, ValueError):
+            return None, ""
+
+    def set(self) -> None:
+        where, path = self._at()
+        if where is not None:
+            where.create_dir(path, recursive=True)
+
+    def is_set(self) -> bool:
+        from pyarrow import fs
+
+        where, path = self._at()
+        return where is not None and where.get_file_info(path).type != fs.FileType.NotFound
+
+
+class ReplyCache:
+    """Replies by key, kept as a table in a folder: new ones are appended, the last one of a key counts, and compaction leaves one row for each.
+
+    A write is a folder of its own, numbered; readers see whole writes only, and a compaction takes the place of those before it.
+    """
+
+    SCHEMA = "key string, reply string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _parts(self) -> list[tuple[int, bool, str]]:
+        """The whole writes: number, whether it is a compaction, path."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        store = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(where):
+            return []
+        found = []
+        for status in store.listStatus(where):
+            name = status.getPath().getName()
+            if re.fullmatch(r"(part|all)-\d+", name) and store.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                kind, n = name.split("-")
+                found.append((int(n), kind == "all", f"{self.path}/{name}"))
+        return sorted(found)
+
+    def read(self) -> DataFrame:
+        """The reply of each key: key, reply."""
+        parts = self._parts()
+        begin = max((n for n, whole, _ in parts if whole), default=-1)
+        frames = [self.spark.read.schema(self.SCHEMA).parquet(p).withColumn("__n", F.lit(n)) for n, _, p in parts if n >= begin]
+        if not frames:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        return out.groupBy("key").agg(F.max_by("reply", "__n").alias("reply"))
+
+    def put(self, found: DataFrame) -> None:
+        """Add replies (key, reply); those of keys that are here take the place of the old ones."""
+        n = max((n for n, _, _ in self._parts()), default=-1) + 1
+        found.select("key", "reply").where("reply IS NOT NULL").write.parquet(f"{self.path}/part-{n}")
+
+    def compact(self) -> None:
+        """One row for each key, in one folder; what was before it is deleted once that is whole."""
+        old = self._parts()
+        if len(old) < 2:
+            return
+        self.read().write.parquet(f"{self.path}/all-{old[-1][0] + 1}")
+        jvm = self.spark.sparkContext._jvm
+        for _, _, path in old:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def verified_with_cache(candidates: DataFrame, ask: Callable[[str], str | None], model: str, cache: ReplyCache, blocks: int = 8) -> tuple[DataFrame, bool]:
+    """``verified`` with the replies of a cache; what is asked is put into it, also if the model gives out on the way."""
+    answered, halted, made = _verified(candidates, ask, model, cache.read(), blocks)
+    if not made.isEmpty():
+        cache.put(made)
+    return answered, halted
+
+
 def verified(candidates: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame, blocks: int = 8) -> tuple[DataFrame, bool]:
-    """Candidates (seq, prompt, verification_mode, rule_confidence) with a finding, in order of seq; and whether the model gave out.
+    """``_verified`` without the replies that were made."""
+    return _verified(candidates, ask, model, cache, blocks)[:2]
+
+
+def _verified(candidates: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame, blocks: int) -> tuple[DataFrame, bool, DataFrame]:
+    """Candidates (seq, prompt, verification_mode, rule_confidence) with a finding, in order of seq; whether the model gave out; and the replies that were made.
 
     Static candidates are not asked about. The others are asked in blocks in order of seq, of which there are ``blocks`` however many candidates
     there are. Once the model gives out, the candidates of that block that have no reply, and all later blocks, have no finding.
@@ -133,7 +239,7 @@ def verified(candidates: DataFrame, ask: Callable[[str], str | None], model: str
     made, halted = replies(queue, ask, blocks) if not queue.isEmpty() else (queue.select("key", F.lit(None).cast("string").alias("reply")), False)
     known = hits.select("key", "reply").distinct().unionByName(made)
     answered = asked.join(known, "key", "left").withColumn("finding", F.when(F.col("reply").isNotNull(), parsed_reply(F.col("reply")))).drop("key", "reply")
-    return static.unionByName(answered).orderBy("seq"), halted
+    return static.unionByName(answered).orderBy("seq"), halted, made
 
 
 PROSE = ("reasoning", "exploit_scenario", "remediation")

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sinktrace.storage import materialise, partitions
+
 RUNNING = ("queued", "ingesting", "scanning", "indexing", "verifying", "translating", "reporting", "paused")
 
 
@@ -48,19 +50,47 @@ def heartbeat_sessions(beats: DataFrame, beat_seconds: int = 20, closing_seconds
     return grouped.groupBy("client", "session").agg(F.min("ts").alias("opened"), F.max_by("until", "g").alias("deadline"), F.count(F.lit(1)).alias("beats")).drop("session")
 
 
+def changes(spans: DataFrame, upto: Column) -> DataFrame:
+    """Where the active scan changes (ts, scan_id, null for none), from spans (scan_id, began, ended; null: still active); of spans that overlap the one that began last counts.
+
+    A span that is still active is followed to ``upto``. Points meet the spans of their day, so each span has a row for each of its days; there is no row for a log's line here.
+    """
+    day = lambda c: F.to_date(c)
+    held = spans.withColumn("until", F.coalesce("ended", upto)).where("began < until")
+    points = held.select(F.col("began").alias("ts")).unionByName(held.where("ended IS NOT NULL").select(F.col("until").alias("ts"))).distinct()
+    days = held.withColumn("day", F.explode(F.sequence(day(F.col("began")), day(F.col("until")))))
+    met = points.withColumn("day", day(F.col("ts"))).join(days, "day").where("ts >= began AND ts < until")
+    active = met.groupBy("ts").agg(F.max_by("scan_id", F.struct("began", "scan_id")).alias("scan_id"))
+    return points.join(active, "ts", "left")
+
+
+def carried(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """Rows with the last value that is not null of the column ``value``, a struct, up to each by ``order``.
+
+    The rows are sorted by ranges. Each range finds the last value within itself, and takes what is before its first one from the ranges before it, of
+    which there are as many as shuffle partitions; so no window has all rows, and none is joined.
+    """
+    n = partitions(rows.sparkSession)
+    sorted_ = materialise(rows.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "carried")
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = sorted_.where(F.col(value).isNotNull()).groupBy("__range").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    every = sorted_.select("__range").distinct().join(ends, "__range", "left")
+    before = every.select("__range", F.last("__last", True).over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    met = sorted_.join(F.broadcast(before), "__range")
+    return met.withColumn(value, F.coalesce(F.last(value, True).over(within), F.col("__before"))).drop("__range", "__before")
+
+
 def tagged(log: DataFrame, spans: DataFrame) -> DataFrame:
     """Log lines (seq, ts, line, server) with the scan that was active then; lines of the server itself have none.
 
     spans: scan_id, began, ended (null: still active). One scan is active at a time; of spans that overlap the one that began last counts.
-    Spans become changes of the active scan, and a line takes the last change before it, day by day, so no window holds the whole log.
+    Spans become changes of the active scan, and a line takes the last change before it: lines and changes are sorted together by ranges.
     """
-    day = lambda c: F.to_date(c)
-    last = F.coalesce("ended", F.lit("9999-12-31").cast("timestamp_ntz"))
-    days = log.select(day(F.col("ts")).alias("day")).distinct()
-    met = spans.withColumn("until", last).join(days, (F.col("day") >= day(F.col("began"))) & (F.col("day") <= day(F.col("until"))))
-    near = log.where("NOT server").withColumn("day", day(F.col("ts"))).select("seq", "ts", "day").join(met, "day").where("ts >= began AND ts < until")
-    active = near.groupBy("seq").agg(F.max_by("scan_id", F.struct("began", "scan_id")).alias("scan_id"))
-    return log.join(active, "seq", "left")
+    points = changes(spans, F.lit("9999-12-31").cast("timestamp_ntz")) if spans.where("ended IS NULL").isEmpty() else changes(spans, F.lit(log.agg(F.max("ts")).first()[0]) + F.expr("INTERVAL 1 SECOND"))
+    lines = log.select("*", F.lit(1).alias("__kind"))
+    found = points.select(F.col("ts"), F.struct("scan_id").alias("__change"), F.lit(0).alias("__kind"))
+    both = carried(lines.unionByName(found, allowMissingColumns=True), "__change", "ts", "__kind", "seq")
+    return both.where("__kind = 1").withColumn("scan_id", F.when(~F.col("server"), F.col("__change.scan_id"))).drop("__kind", "__change")
 
 
 def without_repeats(records: DataFrame, own_path: str) -> DataFrame:
@@ -131,3 +161,90 @@ def stream_lines(writes: DataFrame) -> DataFrame:
         state.update((pending, number + len(out)))
 
     return writes.groupBy("scan_id").applyInPandasWithState(step, "scan_id long, line_no long, text string", "pending string, number long", "append", "NoTimeout")
+
+
+def stream_sessions(beats: DataFrame, beat_seconds: int = 20, closing_seconds: int = 8) -> DataFrame:
+    """``heartbeat_sessions`` on a stream (client, seq, ts, closing) with a watermark on ts: a session is told when the watermark passes its deadline.
+
+    The state of a client is its open session and the beats that the watermark has not passed; a timer on event time stands at the deadline.
+    """
+    import pandas as pd
+
+    second = 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        opened, deadline, full, count, waiting = state.get if state.exists else (0, 0, 0, 0, [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        waiting = [tuple(w) for w in waiting]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += [(int(t.value) // 1000, int(q), bool(c)) for t, q, c in zip(pdf["ts"], pdf["seq"], pdf["closing"], strict=True)]
+        done = []
+        ready = sorted(w for w in waiting if w[0] <= mark)
+        waiting = sorted(w for w in waiting if w[0] > mark)
+        for ts, _, closing in ready:
+            if count and ts > deadline:
+                done.append((opened, deadline, count))
+                count = 0
+            if closing:  # it pulls the deadline nearer, until the next beat
+                deadline = min(deadline, ts + closing_seconds * second) if count and ts <= full else deadline
+            else:
+                opened, count = (opened, count + 1) if count else (ts, 1)
+                deadline = full = ts + beat_seconds * second
+        if count and mark > deadline:
+            done.append((opened, deadline, count))
+            count = 0
+        if count or waiting:
+            state.update((opened, deadline, full, count, [list(map(int, w)) for w in waiting]))
+            state.setTimeoutTimestamp(max(mark // 1000 + 1, (deadline if count else waiting[0][0]) // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        time = lambda k: pd.to_datetime([d[k] for d in done], unit="us")
+        yield pd.DataFrame({"client": [key[0]] * len(done), "opened": time(0), "deadline": time(1), "beats": [d[2] for d in done]})
+
+    kind = beats.schema["client"].dataType.simpleString()
+    return beats.groupBy("client").applyInPandasWithState(step, f"client {kind}, opened timestamp, deadline timestamp, beats long", "opened long, deadline long, full long, count long, waiting array<array<long>>", "append", "EventTimeTimeout")
+
+
+def stream_states(events: DataFrame) -> DataFrame:
+    """``job_states`` on a stream (scan_id, seq, status) in order of seq for each scan: a row (scan_id, seq, state) whenever a state changes."""
+    import pandas as pd
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        stage, shown, ended = state.get if state.exists else ("queued", "", False)
+        out = []
+        for seq, status in pd.concat(list(batches)).sort_values("seq")[["seq", "status"]].itertuples(index=False):
+            if ended:
+                break
+            if status not in ("paused", "resumed"):
+                stage = status
+            now = "paused" if status == "paused" else stage
+            ended = status in ("done", "failed", "cancelled")
+            if now != shown:
+                shown = now
+                out.append((key[0], seq, now))
+        state.update((stage, shown, ended))
+        yield pd.DataFrame(out, columns=["scan_id", "seq", "state"])
+
+    kind = events.schema["scan_id"].dataType.simpleString()
+    return events.groupBy("scan_id").applyInPandasWithState(step, f"scan_id {kind}, seq long, state string", "stage string, shown string, ended boolean", "append", "NoTimeout")
+
+
+def stream_stops(log: DataFrame) -> DataFrame:
+    """``stopped_at`` on a stream (scan_id, seq, action; null for a checkpoint) in order of seq for each scan: what each checkpoint does."""
+    import pandas as pd
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        paused, ended = state.get if state.exists else (False, False)
+        out = []
+        for seq, action in pd.concat(list(batches)).sort_values("seq")[["seq", "action"]].itertuples(index=False):
+            if action is None or pd.isna(action):
+                out.append((key[0], seq, "end" if ended else "wait" if paused else "go on"))
+            else:
+                ended = ended or action == "cancel"
+                paused = action == "pause" if action in ("pause", "resume") else paused
+        state.update((paused, ended))
+        yield pd.DataFrame(out, columns=["scan_id", "seq", "does"])
+
+    kind = log.schema["scan_id"].dataType.simpleString()
+    return log.groupBy("scan_id").applyInPandasWithState(step, f"scan_id {kind}, seq long, does string", "paused boolean, ended boolean", "append", "NoTimeout")

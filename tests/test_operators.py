@@ -158,12 +158,6 @@ def test_validators_of_cpp_candidates(spark):
     names = [("strcpy(a, b)", "char* strcpy(char* a, const char* b) {", False), ("std::strcpy(a, b)", "#define strcpy x", True), ("strcpy(a, b)", "void f() {\n  return strcpy(a, b);\n}", True)]
     frame = spark.createDataFrame(names, "c string, t string, e boolean")
     assert all(r.e == r.x for r in frame.withColumn("x", validators.standard_call(F.col("c"), F.col("t"), F.lit("strcpy"))).collect())
-    secrets = [('auto password = "x";', "", True), ("apiKey = k;", 'const char* k = "v";', True), ("token = read();", "", False)]
-    frame = spark.createDataFrame(secrets, "c string, t string, e boolean")
-    assert all(r.e == r.x for r in frame.withColumn("x", validators.secret_assignment(F.col("c"), F.col("t"))).collect())
-    uses = [("p->x", "p = nullptr;", True), ("*p", "p = nullptr; p = q;", False), ("p->x", "p = nullptr; if (!p) { return; }", False)]
-    frame = spark.createDataFrame(uses, "c string, t string, e boolean")
-    assert all(r.e == r.x for r in frame.withColumn("x", validators.null_dereference(F.col("c"), F.col("t"))).collect())
 
 
 def test_a_scan_finds_the_chain_across_files(spark):

@@ -125,15 +125,41 @@ def test_bodies_and_callers_in_a_prompt(spark):
     assert texts[8].startswith("### Source: b\n    1 | def clean(y):") and "### Sink: a\n" in texts[8] and texts[8].endswith("request handler.")
 
 
+def settled(spark, files, *rule):
+    """The statements that the rules find and the checks let pass, in C++ files."""
+    frame = spark.createDataFrame([(p, "cpp", t) for p, t in files], "path string, lang string, text string")
+    found = rules.validated(rules.scan(context.lines_of(indexing.masked(frame, False), "lang"), rules.rule_table(spark)), frame)
+    return sorted((x.path, x.statement) for x in found.where(F.col("rule_id").isin(*rule)).collect())
+
+
 def test_allocations_are_followed(spark):
-    cases = [
-        ("p", "char *q = new char[3]; p = q;", "", True), ("this->p", "this->p = new T;", "", False), ("p", "", "A::A() { p = new T[2]; }", True), ("p", "p = new T; p = new T[2];", "", None),
-        ("p", "void drop(T *o, T *p) {", "void drop(T *o, T *p) {\n}\nvoid f() {\n  T *x = new T[9];\n  drop(0, x);\n}", True), ("p", "", "", None),
+    """Deletions of one form of what was made in the other; what isn't known or not of one form passes for right."""
+    files = [
+        ("a", "void f() { char *q = new char[3]; p = q; delete p; }"), ("b", "void f() { this->p = new T; delete this->p; delete[] this->p; }"), ("c", "A::~A() { delete p; }\nA::A() { p = new T[2]; }"),
+        ("d", "void f() { p = new T; p = new T[2]; delete p; delete[] p; }"), ("e", "void drop(T *o, T *p) { delete p; }"), ("f", "void f() {\n  T *x = new T[9];\n  drop(0, x);\n}"), ("g", "void f() { delete p; } // p = new T[2]; delete p;"),
+        ("h", "T *make(int n) {\n  return new T[n];\n}\nvoid f() { auto *x = make(3); delete\n x; delete[] x; }"), ("i", "void f() { int *raw = new int[4]; int *alias = raw; delete alias; }"), ("j", "struct X { int *items; X() : n(0) { items = new int[4]; } ~X() { delete items; } };"),
     ]
-    for pointer, before, whole, form in cases:
-        assert validators.allocation_form(pointer, before, whole or before) is form, (pointer, before, whole)
-    assert not spark.range(1).select(rules.accepted(F.lit("no-such-check"), F.lit("x"), F.lit(""), F.lit("")).alias("x")).first().x
-    assert spark.range(1).select(rules.accepted(F.lit(""), F.lit("x"), F.lit(""), F.lit("")).alias("x")).first().x
+    assert settled(spark, files, "CPP005") == [("a", "delete p;"), ("b", "delete[] this->p;"), ("c", "delete p;"), ("e", "delete p;"), ("i", "delete alias;"), ("j", "delete items;")]
+
+
+def test_names_are_followed_to_what_they_hold(spark):
+    n = 300
+    chain = "void f() {\n T *a0 = nullptr;\n" + "".join(f" T *a{k} = a{k - 1};\n" for k in range(1, n)) + f" a{n - 1}->x(); a{n - 2}->y();\n}}\n"
+    files = [
+        ("a", "void f() { I *i = NULL; *i; }"), ("b", "void f(I *r) { I *i = nullptr; i = r; *i; }"), ("c", "void f() { I *i = nullptr; I *a = i; a->run(); }"), ("d", "void f() { I *i = nullptr; if (!i) { return; } i->run(); }"),
+        ("e", "void f() { a->go(); T *x = static_cast<T *>(nullptr); x->run(); x->run(); /* x->no(); */ }"), ("g", "void f() { x = y; y = x; x->run(); }"), ("h", chain), ("k", "void f() { T *x = 0; if (x == nullptr) throw 1; x->run(); }"),
+    ]
+    assert settled(spark, files, "CPP006") == [("a", "*i;"), ("c", "a->run();"), ("e", "x->run();"), ("e", "x->run();"), ("h", f"a{n - 2}->y();"), ("h", f"a{n - 1}->x();")]
+    secrets = [("a", 'void f() { const char *k = "v"; const char *api_key = k; }'), ("b", "void f() { token = read(); }"), ("c", 'auto password = "x", n = 1; // secret = "y"'), ("d", 'a = "v"; b = a; auth_token = b;')]
+    assert settled(spark, secrets, "CPP007") == [("a", "api_key = k;"), ("c", 'password = "x", n = 1;'), ("d", "auth_token = b;")]
+    opened = [("a", 'void f() { char *n = tmpnam(0); fopen(n, "w"); fopen(n, "r"); open(p, O_RDONLY, 0666); open(p, O_CREAT | O_RDWR, 0666); }')]
+    assert settled(spark, opened, "CPP008") == [("a", 'fopen(n, "w");'), ("a", "open(p, O_CREAT | O_RDWR, 0666);"), ("a", "tmpnam(0);")]
+
+
+def test_checks_that_are_not_known_fail_and_none_pass(spark):
+    rows = [("a", 1, 0, "x", "c", "e", v, "s") for v in ("no-such-check", "")]
+    hits = spark.createDataFrame(rows, "path string, line_no int, col int, rule_id string, cwe string, severity string, validators string, statement string")
+    assert [x.validators for x in rules.validated(hits, spark.createDataFrame([], "path string, lang string, text string")).collect()] == [""]
     details = spark.range(1).select(validators.copy_details(F.lit("memcpy(b, s, 9)"), F.lit("char b[8];")).alias("d")).first().d
     assert tuple(details) == ("memcpy length 9 exceeds destination capacity 8.", "HIGH", "definite-overflow")
 
