@@ -132,12 +132,13 @@ def rate_limited(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", verification.is_rate_limited(F.when(n == 3, 429).otherwise(200), kind, F.col("props")).alias("limited"))
 
 
-@query(f"""WITH {FINDINGS_SQL} SELECT seq, CASE WHEN verification_mode = 'static' THEN 'yes' WHEN sink_line = 11 AND verdict = 'failed' THEN 'unverified' ELSE 'no' END AS verdict FROM findings""")
+@query(f"""WITH {FINDINGS_SQL} SELECT seq, CASE WHEN verification_mode = 'static' THEN 'yes' ELSE 'unverified' END AS verdict FROM findings WHERE verification_mode = 'static' OR (sink_line = 11 AND verdict = 'failed')""")
 def verify_halt(spark, sf_dir):
-    """The model gives out on some prompts of the one block: these have no verdict, the others keep theirs."""
+    """The model gives out on some prompts of the one block: these have no verdict, and static ones keep theirs. How many of the others were asked before depends on the tasks."""
     rows = findings(spark, sf_dir).select("seq", F.concat(F.lit("q"), F.col("seq").cast("string"), F.when((F.col("sink_line") == 11) & (F.col("verdict") == "failed"), F.lit(" stop")).otherwise("")).alias("prompt"), "verification_mode", F.lit("HIGH").alias("rule_confidence"))
     found, _ = verification.verified(rows, lambda p: None if p.endswith("stop") else '```json\n{"reachable": "no"}\n```', "stub", spark.createDataFrame([], "key string, reply string"), blocks=1)
-    return found.select("seq", verdicts.verdict_of(F.col("finding")).alias("verdict"))
+    told = found.where("verification_mode = 'static' OR prompt LIKE '%stop'")
+    return told.select("seq", verdicts.verdict_of(F.col("finding")).alias("verdict"))
 
 
 @query("""SELECT conv_id, turn, coalesce(regexp_matches(text, '[一-鿿]'), false) AS zh, CASE role WHEN 'user' THEN false ELSE trim(text) <> '' AND NOT (h > 0 AND h / (h + l) >= 0.15) END AS valid FROM (SELECT *, length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) AS h, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS l FROM conversations)""")
@@ -244,9 +245,9 @@ _JAVA_CASES = (
     ('String[] v = {"/bin/sh", "-c", line};\n    new ProcessBuilder(v).start();', "java-shell-command"), ('String[] v = {"/bin/ls", "-c", line};\n    new ProcessBuilder(v).start();', None), ('String[] v = {"sh", "-c", line};\n    new ProcessBuilder(w).start();', None),
     ('line = "ls";\n    run.exec(new String[] {"sh", "-c", line});', None), ('int n = 1;\n    run.exec(new String[] {"sh", "-c",\n      line + n});', "java-shell-command"), ('{ List<String> v = Arrays.asList("sh", "-c", line); }\n    new ProcessBuilder(v);', None),
     ('String p = String.format("%s/x", line);\n    Paths.get(p);', "java-file-path"), ('String p = root + "x";\n    Paths.get(p);', None), ('StringBuilder b = new StringBuilder(root); b.append(line); String p = b.toString();\n    Paths.get(p);', "java-file-path"), ("int n = 2;\n    new File(root + NAME);", None),
-    ('URL u = new URL("http://" + line + "/x");\n    u.close();', None), ('String s = "http://" + line + "/x"; URL u = new URL(s);\n    u.openStream();', "java-request-url"), ("InputStream in = request.getInputStream();\n    u.unmarshal(in);", "java-xml-unmarshal"), ("InputStream in = file.open();\n    u.unmarshal(in);", None),
+    ('URL u = new URL("http://" + line);\n    u.close();', None), ('String s = "http://" + line + "/x"; URL u = new URL(s);\n    u.openStream();', "java-request-url"), ("InputStream in = request.getInputStream();\n    u.unmarshal(in);", "java-xml-unmarshal"), ("InputStream in = file.open();\n    u.unmarshal(in);", None),
     ('int n = 3;\n    f.setFeature("http://xml.org/sax/features/external-general-entities", false);', "java-xml-entities"),
-    ('f.setFeature("http://apache.org/xml/features/disallow-doctype-decl", true);\n    f.setFeature("http://xml.org/sax/features/external-general-entities", false);', None), ('// go\n    r.setHeader("Location", target);', "java-location-header"), ("// go\n    // sendRedirect(target);", None),
+    ('f.setFeature("http://apache.org/xml/features/disallow-doctype-decl", true);\n    f.setFeature("http://xml.org/sax/features/external-general-entities", false);', None), ('// go\n    r.setHeader("Location", target);', "java-location-header"), ("// go\n    /* sendRedirect(target); */", None),
 )
 _JAVA_SQL = f"CASE o_orderkey % {len(_JAVA_CASES)} " + " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, rule) in enumerate(_JAVA_CASES) if rule) + " END"
 
@@ -293,7 +294,7 @@ def matched_by_method(spark, sf_dir):
     return matching.not_in_method_of(of("R"), of("A"), "v").select("path", "pos", "v")
 
 
-@query("""WITH RECURSIVE a AS (SELECT l_orderkey AS path, l_linenumber AS pos, 'n' || (l_partkey % 6) AS name, CASE WHEN l_suppkey % 4 = 0 THEN 'nullptr' WHEN l_suppkey % 4 = 1 THEN '"lit' || (l_suppkey % 9) || '"' ELSE 'n' || (l_suppkey % 7) END AS value FROM lineitem),
+@query("""WITH RECURSIVE a AS (SELECT l_orderkey AS path, l_linenumber AS pos, 'n' || (l_partkey % 6) AS name, CASE WHEN l_suppkey % 4 = 0 THEN 'nullptr' WHEN l_suppkey % 4 = 1 THEN '"lit' || (l_suppkey % 9) || '"' ELSE 'n' || (l_suppkey % 7) END AS value FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
 q AS (SELECT path, pos, name FROM a),
 w AS (SELECT path, pos, name, name AS at, [name] AS seen, CAST(NULL AS VARCHAR) AS value, true AS open FROM q
 UNION ALL SELECT w.path, w.pos, w.name, CASE WHEN a.value LIKE 'n%' AND a.value <> 'nullptr' THEN a.value END, list_append(w.seen, a.value), CASE WHEN a.value LIKE 'n%' AND a.value <> 'nullptr' THEN NULL ELSE a.value END, a.value LIKE 'n%' AND a.value <> 'nullptr' AND NOT list_contains(w.seen, a.value)
@@ -303,7 +304,8 @@ def alias_values(spark, sf_dir):
     """What each name holds right before it is assigned, aliases followed to their ends: lines of an order as the assignments of a file."""
     s = F.col("l_suppkey")
     value = F.when(s % 4 == 0, "nullptr").when(s % 4 == 1, F.concat(F.lit('"lit'), (s % 9).cast("string"), F.lit('"'))).otherwise(F.concat(F.lit("n"), (s % 7).cast("string")))
-    assigns = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("n"), (F.col("l_partkey") % 6).cast("string")).alias("name"), value.alias("value"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    assigns = lines.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("n"), (F.col("l_partkey") % 6).cast("string")).alias("name"), value.alias("value"))
     return aliases.held(assigns.drop("value"), aliases.resolved(assigns)).select("path", "pos", "name", "held")
 
 

@@ -57,7 +57,8 @@ def scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rows = rules.collect()  # a few dozen
     which = [F.when((F.col("lang") == r.lang) & F.col("text").rlike(r.pattern), F.lit(k)) for k, r in enumerate(rows)]
-    some = lines.select("path", "line_no", "text", F.explode(F.array_compact(F.array(*which))).alias("k"))
+    # Lines that some rule matches are few; they are written, so that each line is searched once.
+    some = materialise(lines.select("path", "line_no", "text", F.explode(F.array_compact(F.array(*which))).alias("k")), "rules-lines")
 
     def of_rule(value) -> Column:
         out = F.lit(None)
@@ -66,7 +67,7 @@ def scan(lines: DataFrame, rules: DataFrame) -> DataFrame:
         return out
 
     met = some.withColumn("found", of_rule(lambda r: F.regexp_extract_all("text", F.lit(f"({r.pattern})"), F.lit(0)))).withColumn("between", of_rule(lambda r: F.split("text", r.pattern, -1)))
-    hits = met.withColumn("at", F.explode(F.transform("found", lambda m, i: _length(F.slice("between", 1, i + 1)) + _length(F.slice("found", 1, i)))))
+    hits = met.select("path", "line_no", "text", "k", F.explode(F.transform("found", lambda m, i: _length(F.slice("between", 1, i + 1)) + _length(F.slice("found", 1, i)))).alias("at"))
     before = F.substring("text", F.lit(1), F.col("at"))
     first = F.col("line_no") + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
     col = F.length(F.substring_index(before, "\n", -1))
@@ -132,8 +133,12 @@ def validated(hits: DataFrame, files: DataFrame) -> DataFrame:
     opened = aliases.held(of("dangerous-file-operation").withColumn("name", validators.opened_path(F.col("statement"))), table)
     dangerous = opened.where(validators.dangerous_file_operation(F.col("statement"), F.col("held")))
 
-    out = known
+    passes = None
     for check, passing in zip(VALIDATORS, (standard, copies, mismatched, nulls, secrets, dangerous), strict=True):
-        out = out.where(~_asks(check)).unionByName(out.where(_asks(check)).join(passing.select(*place).distinct(), place, "left_semi"))
+        found = passing.select(*place, F.lit(check).alias("check"))
+        passes = found if passes is None else passes.unionByName(found)
+    asked = known.select(*place, F.explode(F.filter(F.transform(F.split("validators", ","), F.trim), lambda n: n != "")).alias("check"))
+    failed = asked.join(passes.distinct(), [*place, "check"], "left_anti").select(*place).distinct()
+    out = known.join(failed, place, "left_anti")
     details = copies.select(*place, "details.*").distinct()
     return out.join(details, place, "left").select(*hits.columns, *(c for c in details.columns if c not in place))

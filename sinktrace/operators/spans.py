@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,6 +84,7 @@ class _Pass:
         """A row of the tokens low to high - 1, waiting for the ends of what is around it."""
         method = next((f for f in reversed(self.stack) if f.of == "method"), None)
         owner = next((f for f in reversed(self.stack) if f.of == "type"), None)
+        high = min(high, len(self.tokens))  # brackets that are not closed end with the file
         end = self.place(high - 1) + len(self.tokens[high - 1][1]) - 1
         row = [kind, self.place(low), end, None, self.place(method.head) if method else None, None, owner.name if owner else "", owner.anonymous if owner else False, name, receiver, args or [], value, type_]
         next(f for f in reversed(self.stack) if f.mark == "{").rows.append(row)
@@ -336,16 +337,19 @@ def tracked(files: DataFrame) -> DataFrame:
     ``block_end`` is the end of the block around a row, ``method_pos`` and ``method_end`` are the bounds of its method.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in COLUMNS.split(", ")]
-        for pdf in batches:
-            for path, lang, text in zip(pdf["path"], pdf["lang"], pdf["text"], strict=True):
-                rows = [[path, lang, *row] for row in _Pass(text or "", lang).run()]
-                if rows:
-                    out = pd.DataFrame(rows, columns=names)
-                    yield out.astype({"block_end": "Int64", "method_pos": "Int64", "method_end": "Int64"})
-
-    return files.where(F.col("lang").isin(*TRACKED)).select("path", "lang", "text").mapInPandas(run, COLUMNS.replace("path string", f"path {files.schema['path'].dataType.simpleString()}"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+        for batch in batches:
+            named = [c.split() for c in COLUMNS.split(", ")]
+            arrow = pa.schema([pa.field(n, batch.schema.field("path").type if n == "path" else kinds[k]) for n, k in named])
+            rows: list[list] = []
+            for k, row in enumerate(batch.to_pylist()):
+                rows += [[row["path"], row["lang"], *found] for found in _Pass(row["text"] or "", row["lang"]).run()]
+                if rows and (len(rows) > 10_000 or k == len(batch) - 1):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    rows = []
+
+    return files.where(F.col("lang").isin(*TRACKED)).select("path", "lang", "text").mapInArrow(run, COLUMNS.replace("path string", f"path {files.schema['path'].dataType.simpleString()}"))
 
 
 def line(pos):
