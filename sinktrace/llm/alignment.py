@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sinktrace.llm.byte_bpe import byte_characters
 from sinktrace.llm.caches import kept, release
-from sinktrace.llm.chunks import ChunkCache, check_pattern
+from sinktrace.llm.chunks import ChunkCache, check_pattern, ends_open
 from sinktrace.llm.columns import texts_of, without
 from sinktrace.storage import materialise, partitions, spread
 
@@ -72,15 +72,30 @@ class Aligner:
 
     def link(self, chunks: list[str]) -> list[tuple[bytes, ...]]:
         """For each chunk: its groups as text, each after a semicolon; its links, the A id above the B id; and numbers: A and B tokens, groups, whether bytes differ."""
+        # Chunks that end in no white space are encoded a few hundred at a time, as one text: tokens end where chunks do.
+        closed = [c for c in chunks if not ends_open(c)]
+        made = dict(zip(closed, self._joined(closed), strict=True))
+        rest = [c for c in chunks if c not in made or made[c] is None]
+        made.update(zip(rest, self._apart(rest), strict=True))
+        return [made[c] for c in chunks]
+
+    def _joined(self, chunks: list[str], size: int = 400) -> list[tuple[bytes, ...]] | list[None]:
+        """The same for chunks encoded together; nothing for any if the bytes of some differ."""
+        texts = ["".join(chunks[k : k + size]) for k in range(0, len(chunks), size)]
+        found = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)
         raw = [c.encode() for c in chunks]
-        found = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
-        ids, joined = [[i for x in f for i in x] for f in found], []
-        for own, table in zip(ids, (self.a_bytes, self.b_bytes), strict=True):
-            joined.append(b"".join(map(table.__getitem__, own)))
         whole = b"".join(raw)
-        if joined[0] == whole and joined[1] == whole:
-            return self._linked(raw, *found)
-        # Chunks that a tokenizer does not give back have no tokens; the others are linked without them.
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        for f, table, sizes in zip(found, (self.a_bytes, self.b_bytes), (self.a_size, self.b_size), strict=True):
+            ids = [i for x in f for i in x]
+            if b"".join(map(table.__getitem__, ids)) != whole or not np.isin(ends, np.cumsum(sizes[np.array(ids, np.int64)]), assume_unique=True).all():
+                return [None] * len(chunks)
+        return self._linked(raw, *found)
+
+    def _apart(self, chunks: list[str]) -> list[tuple[bytes, ...]]:
+        """The same for chunks one by one; those that a tokenizer does not give back have no tokens."""
+        raw = [c.encode() for c in chunks]
+        found = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
         good = [all(b"".join(map(t.__getitem__, f[k])) == raw[k] for f, t in zip(found, (self.a_bytes, self.b_bytes), strict=True)) for k in range(len(raw))]
         at = [k for k, g in enumerate(good) if g]
         out = [(b"", b"", np.array([0, 0, 0, 1], np.uint32).tobytes())] * len(raw)
