@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -516,3 +517,23 @@ def test_a_passage_in_a_very_long_text_is_found_across_pieces():
     for lead in (decontaminate._PIECE - 50, 2 * decontaminate._PIECE - 1):
         text = ("ab cd " * (lead // 6 + 1))[:lead] + " " + item
         assert [(m["start"], m["end"]) for m in index.matches(text)] == [(lead + 1 - text[lead - 1].isspace() * 0, lead + 1 + len(item))]
+
+
+def test_quality_rules_trust_rows_by_their_place(spark, tmp_path):
+    """Null, repeated and hot ids over several files, one of them without a trusted row."""
+    rows = [(i % 7 if i % 3 else 5, f"t{i}") for i in range(400)] + [(None, "n")] * 50
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(99, "x")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    good = spark.createDataFrame([(5,), (5,), (2,), (None,)], "doc_id long")
+    flags = quality_rules.trusted_rows(docs, good)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(flags(batch))], ["doc_id", "flag"])
+
+    for frame in (quality_rules.placed(docs, "doc_id"), spread(quality_rules.placed(docs, "doc_id"))):
+        found = frame.mapInArrow(run, "doc_id long, flag boolean").collect()
+        assert len(found) == 451 and all(r.flag == (r.doc_id in (5, 2)) for r in found)
+    nobody = quality_rules.trusted_rows(docs, good.where("doc_id = 77"))
+    assert quality_rules.ngram_counts(quality_rules.placed(docs, "text"), nobody).agg({"n_target": "sum"}).first()[0] == 0
