@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sinktrace.functions import cvss
 from sinktrace.functions.text import cwe_ids, slashed
-from sinktrace.operators import candidates, context, entries, explain, graph, indexing, matching, rules, spans, trace, verdicts, verification
+from sinktrace.operators import candidates, context, entries, explain, graph, indexing, matching, routes, rules, spans, trace, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.storage import materialise, numbered
 
@@ -51,6 +51,18 @@ def with_mappers(methods: DataFrame, sources: DataFrame) -> DataFrame:
     return methods.unionByName(made, allowMissingColumns=True)
 
 
+def with_handlers(methods: DataFrame, sites: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Methods after the handler blocks that nested routes declare, as entries; calls in such a block are the block's."""
+    told = routes.nested_handlers(sources)
+    reason = F.concat_ws(" ", "verb", "route")
+    blocks = numbered(told.select(F.col("path").alias("file"), reason.alias("name"), "start_line", "end_line", reason.alias("reason")), "entry_id", F.col("file"), F.col("start_line"), F.col("end_line"), F.col("name"))
+    blocks = materialise(blocks, "scan-handlers")
+    unmarked = methods.withColumn("entry_reason", F.lit(None).cast("string")).withColumn("entry_definitive", F.lit(False))
+    named, calls = trace.with_synthetic(unmarked, blocks, sites)
+    named = named.withColumn("path", F.coalesce("path", "file")).withColumn("owner", F.coalesce("owner", F.lit("")))
+    return materialise(named, "scan-methods-marked"), materialise(calls, "scan-calls-marked")
+
+
 def call_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Methods, calls and resolved edges (caller, callee, seq) of sources; a call on the object itself stays within its type and that type's relatives."""
     methods, calls = indexing.index(sources)
@@ -59,7 +71,7 @@ def call_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     methods = materialise(with_mappers(materialise(methods, "scan-indexed"), sources), "scan-methods")
     caller = F.when(F.col("caller").isNotNull(), method_key(F.col("path"), F.col("caller"), F.col("caller_line")))
     sites = numbered(calls.select("callee", "arity", "receiver_is_self", F.col("path").alias("file"), F.col("line_no").alias("line"), caller.alias("caller_id")), "call_id", F.col("file"), F.col("line"), F.col("callee"))
-    sites = materialise(sites, "scan-calls")
+    methods, sites = with_handlers(methods, materialise(sites, "scan-calls"), sources)
     parents = methods.where("owner <> ''").select(F.col("owner").alias("type"), F.explode("owner_supertypes").alias("parent")).distinct()
     owners = methods.select("method_id", "owner")
     resolved = graph.callers_of(sites, methods)
@@ -87,11 +99,14 @@ def entry_marks(spark: SparkSession, sources: DataFrame, methods: DataFrame) ->
     late = graph.late_references(methods.select("path", "name", "start_line", F.lit(None).cast("string").alias("entry_reason")), names, ["path", "name"]).where("entry_reason IS NOT NULL")
     found = entries.entry_points(methods, lines, entries.mark_table(spark)).unionByName(entries.served(langs)).unionByName(late.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
     table = readers.route_entries(sources.where("lang = 'routes'"))
-    routes = numbered(table, "seq", F.col("path"), F.col("route"), F.col("verb"), F.col("action"))
-    by_route = trace.routed(methods.withColumn("entry_reason", F.lit(None).cast("string")).withColumn("entry_definitive", F.lit(False)), routes).where("entry_definitive")
+    declared = routes.declared_routes(sources).unionByName(table.withColumn("at", F.lit(0)))
+    placed = numbered(declared, "seq", F.col("path"), F.col("at"), F.col("route"), F.col("verb"), F.col("action"))
+    by_route = trace.routed(methods.withColumn("entry_reason", F.lit(None).cast("string")).withColumn("entry_definitive", F.lit(False)), placed).where("entry_definitive")
     found = found.unionByName(by_route.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
     best = found.groupBy("path", "name", "start_line").agg(F.min_by(F.struct("reason", "definitive"), F.struct(~F.col("definitive"), "reason")).alias("e"))
-    return materialise(best.select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "e.reason", "e.definitive"), "scan-entries")
+    nodes = best.select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "e.reason", "e.definitive")
+    blocks = methods.where("entry_definitive").select(F.col("method_id").alias("node"), F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive"))
+    return materialise(nodes.unionByName(blocks), "scan-entries")
 
 
 def scan(spark: SparkSession, sources: DataFrame, ask: Callable[[str], str | None], model: str, cache: DataFrame) -> tuple[DataFrame, bool]:
