@@ -8,7 +8,7 @@ from sinktrace.functions import text
 from sinktrace.jobs import reports
 from sinktrace.jobs.adapters import ALL_EDGES_SQL, FINDINGS_SQL, METHODS_SQL, all_edges, findings, methods, sinks, table
 from sinktrace.jobs.catalogue import _GRADED_SQL, _graded, query
-from sinktrace.operators import aliases, candidates, context, graph, indexing, matching, rules, spans, statistics, trace, verdicts, verification
+from sinktrace.operators import aliases, candidates, context, graph, indexing, matching, routes, rules, spans, statistics, trace, verdicts, verification
 from sinktrace.sources import readers
 from sinktrace.streaming import events as live
 
@@ -345,3 +345,37 @@ def report_labels(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("path", key)
     met = rows.join(F.broadcast(reports.labels(spark).where("lang = 'en'")), "path")
     return met.groupBy(F.col("event_type").alias("key"), F.col("label").alias("en")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _order_files(spark, sf_dir, lang, head, line, tail):
+    """A file for each order: a head, a text for each of its lines in order, and a tail."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag"))).alias("l"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus").join(lines, "l_orderkey")  # an order has a few lines
+    body = F.concat(head, F.array_join(F.transform("l", line), ""), F.lit(tail))
+    return orders.select(F.col("l_orderkey").cast("string").alias("path"), F.lit(lang).alias("lang"), body.alias("text"))
+
+
+@query("""WITH o AS (SELECT DISTINCT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+a(action, verb, tail, only_, but_) AS (VALUES ('index', 'GET', '', true, true), ('create', 'POST', '', false, true), ('new', 'GET', '/new', false, false), ('edit', 'GET', '/:id/edit', false, true), ('show', 'GET', '/:id', true, true), ('update', 'PATCH', '/:id', false, true), ('destroy', 'DELETE', '/:id', false, false))
+SELECT o_orderkey, verb, '/old_orders' || o_orderkey || tail AS route, 'OldOrders' || o_orderkey || 'Controller' AS class_name, action FROM o, a WHERE CASE o_orderstatus WHEN 'F' THEN only_ WHEN 'O' THEN but_ ELSE true END
+UNION ALL SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 'POST' ELSE 'GET' END, '/p/' || l_partkey, 'Part' || (l_partkey % 10) || 'Controller', 'm' || l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND l_returnflag <> 'N'""")
+def declared_routes(spark, sf_dir):
+    c = lambda x: x.cast("string")
+    narrowed = F.when(F.col("o_orderstatus") == "F", ", only: [:index,\n  :show]").when(F.col("o_orderstatus") == "O", ", except: [:new, :destroy] do").otherwise("")
+    head = F.concat(F.lit("resources :old_orders"), c(F.col("l_orderkey")), narrowed, F.lit("\n"))
+    verb = lambda x: F.when(x.l_returnflag == "R", "  post '/p/").otherwise("  get '/p/")
+    line = lambda x: F.concat(verb(x), c(x.l_partkey), F.lit("',\n    to: 'part"), c(x.l_partkey % 10), F.lit("#m"), c(x.l_linenumber), F.lit("'\n"))
+    commented = lambda x: F.when(x.l_returnflag == "N", F.concat(F.lit("  # get '/p/"), c(x.l_partkey), F.lit("', to: 'part#no'\n"))).otherwise(line(x))
+    found = routes.declared_routes(_order_files(spark, sf_dir, "ruby", head, commented, "end\n"))
+    return found.select(F.col("path").cast("long").alias("o_orderkey"), "verb", "route", "class_name", "action")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_partkey, l_returnflag, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+SELECT l_orderkey AS o_orderkey, CASE WHEN l_returnflag = 'R' THEN 'DELETE' ELSE 'GET' END AS verb, '/o' || l_orderkey || '/l' || l_linenumber || '/{p' || l_partkey || '}' AS route, CAST(3 * n AS INT) AS start_line, CAST(3 * n + 1 AS INT) AS end_line FROM l""")
+def nested_handlers(spark, sf_dir):
+    c = lambda x: x.cast("string")
+    head = F.concat(F.lit('route("/o'), c(F.col("l_orderkey")), F.lit('") {\n'))
+    verb = lambda x: F.when(x.l_returnflag == "R", "delete").otherwise("get")
+    line = lambda x: F.concat(F.lit('  route("/l'), c(x.l_linenumber), F.lit('") { // {\n    '), verb(x), F.lit('("/{p'), c(x.l_partkey), F.lit('}") {\n      call("}") } }\n'))
+    found = routes.nested_handlers(_order_files(spark, sf_dir, "kotlin", head, line, "}\n"))
+    return found.select(F.col("path").cast("long").alias("o_orderkey"), "verb", "route", "start_line", "end_line")

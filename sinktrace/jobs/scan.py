@@ -105,6 +105,8 @@ def entry_marks(spark: SparkSession, sources: DataFrame, methods: DataFrame) ->
     found = found.unionByName(by_route.select("path", "name", "start_line", F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive")))
     best = found.groupBy("path", "name", "start_line").agg(F.min_by(F.struct("reason", "definitive"), F.struct(~F.col("definitive"), "reason")).alias("e"))
     nodes = best.select(method_key(F.col("path"), F.col("name"), F.col("start_line")).alias("node"), "e.reason", "e.definitive")
+    if "entry_definitive" not in methods.columns:  # methods of files without handler blocks may come without
+        return materialise(nodes, "scan-entries")
     blocks = methods.where("entry_definitive").select(F.col("method_id").alias("node"), F.col("entry_reason").alias("reason"), F.lit(True).alias("definitive"))
     return materialise(nodes.unionByName(blocks), "scan-entries")
 
@@ -115,6 +117,7 @@ def scan(spark: SparkSession, sources: DataFrame, ask: Callable[[str], str | Non
     found = materialise(matched(spark, sources), "scan-candidates")
     methods, calls, edges = call_graph(sources)
     marked = entry_marks(spark, sources, methods)
+    methods = methods.drop("entry_reason", "entry_definitive")
     placed = materialise(graph.enclosing_method(found.select(F.col("seq").alias("sink_id"), F.col("sink_file").alias("file"), F.col("sink_line").alias("line")), methods), "scan-sinks")
     starts = placed.where("method_id IS NOT NULL").select(F.col("sink_id").alias("sink"), F.col("method_id").alias("node"))
     chains = trace.entry_traces(starts, edges, marked.select("node", "definitive"))
