@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,7 +65,7 @@ def _handlers(text: str) -> Iterator[tuple[str, str, int, int]]:
     """Verb, route, first and last line of each handler block; blocks of routes around it add their segments. A block that never closes is none."""
     stack: list[tuple[str, str, int]] = []  # kind, route up to here, place
     starts = [0, *(m.end() for m in re.finditer(r"\r\n|\r|\n", text))]
-    line = lambda at: _bisect(starts, at)
+    line = lambda at: bisect_right(starts, at)
     for m in _HEAD.finditer(text):
         prefix = stack[-1][1] if stack else ""
         if m["name"]:
@@ -78,12 +79,6 @@ def _handlers(text: str) -> Iterator[tuple[str, str, int, int]]:
                 yield kind.upper(), route, line(at), line(m.start())
 
 
-def _bisect(starts: list[int], at: int) -> int:
-    import bisect
-
-    return bisect.bisect_right(starts, at)
-
-
 def nested_handlers(files: DataFrame) -> DataFrame:
     """Handler blocks of Kotlin files (path, lang, text): path, verb, route, start_line, end_line."""
 
