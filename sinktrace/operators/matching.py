@@ -25,10 +25,12 @@ def leaf(spans: DataFrame, where: Column, **bound: Column) -> DataFrame:
 def _joined(hits: DataFrame, spans: DataFrame, on: tuple[str, ...], lies: Column, how: str) -> DataFrame:
     other = spans.select(*(F.col(c).alias(f"__{c}") for c in spans.columns))
     keys = [hits[c] == F.col(f"__{c}") for c in ("path", *on)]
+    more = [c for c in spans.columns if c not in hits.columns]
+    if how == "inner" and not more:  # nothing is bound, so a hit stays as it is, and as often as it is there
+        how = "left_semi"
     met = hits.join(other, [*keys, lies], how)
-    if how == "left_anti":
+    if how != "inner":
         return met
-    more = [c for c in spans.columns if c not in hits.columns]
     return met.select(*hits.columns, *(F.col(f"__{c}").alias(c) for c in more)).distinct()
 
 
