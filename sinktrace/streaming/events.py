@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sinktrace.storage import materialise, partitions
+from sinktrace.operators.intervals import first_over
+from sinktrace.storage import materialise, numbered, partitions
 
 RUNNING = ("queued", "ingesting", "scanning", "indexing", "verifying", "translating", "reporting", "paused")
 
@@ -53,15 +54,18 @@ def heartbeat_sessions(beats: DataFrame, beat_seconds: int = 20, closing_seconds
 def changes(spans: DataFrame, upto: Column) -> DataFrame:
     """Where the active scan changes (ts, scan_id, null for none), from spans (scan_id, began, ended; null: still active); of spans that overlap the one that began last counts.
 
-    A span that is still active is followed to ``upto``. Points meet the spans of their day, so each span has a row for each of its days; there is no row for a log's line here.
+    A span that is still active is followed to ``upto``. Points and ends are numbered in order of time, and a point finds the span over its number
+    by blocks (``intervals``): points and spans are never compared pair by pair.
     """
-    day = lambda c: F.to_date(c)
-    held = spans.withColumn("until", F.coalesce("ended", upto)).where("began < until")
-    points = held.select(F.col("began").alias("ts")).unionByName(held.where("ended IS NOT NULL").select(F.col("until").alias("ts"))).distinct()
-    days = held.withColumn("day", F.explode(F.sequence(day(F.col("began")), day(F.col("until")))))
-    met = points.withColumn("day", day(F.col("ts"))).join(days, "day").where("ts >= began AND ts < until")
-    active = met.groupBy("ts").agg(F.max_by("scan_id", F.struct("began", "scan_id")).alias("scan_id"))
-    return points.join(active, "ts", "left")
+    held = spans.withColumn("until", F.coalesce("ended", upto)).where("began < until").groupBy("began", "until").agg(F.max("scan_id").alias("scan_id"), F.max(F.col("ended").isNotNull()).alias("ends"))
+    held = materialise(held, "changes-spans")
+    ends = held.select(F.col("began").alias("ts"), F.lit(True).alias("told")).unionByName(held.select(F.col("until").alias("ts"), F.col("ends").alias("told")))
+    points = materialise(numbered(ends.groupBy("ts").agg(F.max("told").alias("told")), "at", F.col("ts")), "changes-points")
+    number = lambda c, name: points.select(F.col("ts").alias(c), F.col("at").alias(name))
+    placed = held.join(number("began", "low"), "began").join(number("until", "next"), "until")
+    over = placed.select("low", (F.col("next") - 1).alias("high"), F.struct("began", "scan_id").alias("rank"), F.col("scan_id").alias("value"))
+    active = first_over(points.select("at"), over, [], largest=True).select("at", F.col("value").alias("scan_id"))
+    return points.where("told").join(active, "at", "left").select("ts", "scan_id")
 
 
 def carried(rows: DataFrame, value: str, *order: str) -> DataFrame:

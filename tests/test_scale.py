@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sinktrace.operators import matching
+from sinktrace.operators import graph, intervals, matching
 
 
 def test_hits_that_are_equal_stay_as_often_as_they_are_there(spark):
@@ -10,3 +10,46 @@ def test_hits_that_are_equal_stay_as_often_as_they_are_there(spark):
     hits = spark.createDataFrame([(1, 5, 5, 9, 0, 2), (1, 5, 5, 9, 0, 2), (1, 7, 7, 9, 0, 3)], places)
     around = spark.createDataFrame([(1, 1, 1, 8, 0, 2), (1, 2, 2, 8, 0, 2)], places)
     assert [r.pos for r in matching.inside(hits, around, "v").collect()] == [5, 5]
+
+
+def test_the_interval_that_comes_first_is_found_for_every_place(spark):
+    spans = [(k, a, a + n, (a * 7 + n * 3 + k) % 50, 100 * a + n) for k in range(2) for a in range(0, 40, 3) for n in (0, 1, 6, 17)]
+    places = [(k, at) for k in range(3) for at in range(60)]
+    frames = spark.createDataFrame(places, "k long, at long"), spark.createDataFrame(spans, "k long, low long, high long, rank long, value long").selectExpr("k", "low", "high", "struct(rank, value) AS rank", "value")
+    for largest, pick in ((False, min), (True, max)):
+        found = {(r.k, r.at): r.value for r in intervals.first_over(*frames, ["k"], largest).collect()}
+        over = {(k, at): [(r, v) for k2, a, b, r, v in spans if k2 == k and a <= at <= b] for k, at in places}
+        assert found == {p: pick(x)[1] for p, x in over.items() if x}
+
+
+def test_places_never_meet_intervals_pair_by_pair(spark):
+    """A thousand places under a thousand intervals: nothing that is joined has a row for a pair."""
+    methods = spark.range(1000).selectExpr("id AS method_id", "id AS seq", "0 AS file", "id AS start_line", "2000 - id AS end_line")
+    sinks = spark.range(1000).selectExpr("id AS sink_id", "0 AS file", "id AS line")
+    found = graph.enclosing_method(sinks, methods)
+    assert {r.sink_id: r.method_id for r in found.collect()} == {k: k for k in range(1000)}
+    assert "start_line" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]  # methods come as blocks that were written
+
+
+def test_searches_carry_many_sinks_in_a_row(spark):
+    starts = spark.range(100).selectExpr("id AS sink", "1000 AS node")
+    edges = spark.createDataFrame([(k + 1, k, k) for k in range(1000, 1005)], "caller long, callee long, seq long")
+    found = {(r.sink, r.node, r.depth) for r in graph.reverse_search(starts, edges, 3).collect()}
+    assert found == {(s, 1000 + d, d) for s in range(100) for d in range(4)}
+    entries = spark.createDataFrame([(1002,)], "node long")
+    assert {(r.sink, r.entry, r.depth) for r in graph.entry_depths(starts, edges, entries).collect()} == {(s, 1002, 2) for s in range(100)}
+
+
+def test_closures_put_the_members_of_cycles_in_at_the_end(spark):
+    edges = spark.createDataFrame([(k, (k + 1) % 40) for k in range(40)] + [(100, 0), (5, 200), (200, 201)], "type long, parent long")
+    found = {(r.type, r.ancestor) for r in graph.closure(edges).collect()}
+    ring = range(40)
+    want = {(a, b) for a in (*ring, 100) for b in (*ring, 200, 201) if a != b} | {(200, 201)}
+    assert found == want
+
+
+def test_edges_are_counted_by_owner_without_pairs(spark):
+    calls = spark.createDataFrame([("f", 1, k, "A", True) for k in range(30)] + [("f", 2, 1, "B", False), ("f", 1, None, "A", True)], "callee string, arity int, caller_id long, caller_owner string, receiver_is_self boolean")
+    methods = spark.createDataFrame([(k, "f", 1, "X") for k in range(20)] + [(99, "f", -1, "Y")], "method_id long, name string, arity int, owner string")
+    found = {(r.caller_owner, r.callee_owner, r.receiver_is_self): r.n for r in graph.owner_edges(calls, methods).collect()}
+    assert found == {("A", "X", True): 600, ("A", "Y", True): 30, ("B", "Y", False): 1}
