@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sinktrace.functions.text import short_type
-from sinktrace.storage import discard, materialise
+from sinktrace.operators.intervals import first_over
+from sinktrace.storage import discard, materialise, numbered, partitions
 
 ANY_ARITY = -1
 MAX_DEPTH = 7
@@ -19,9 +20,9 @@ TEXTUAL = ("string-literal", "char", "string", "string_view")
 def enclosing_method(sinks: DataFrame, methods: DataFrame) -> DataFrame:
     """Each sink (sink_id, file, line) with the method (method_id, seq, file, start_line, end_line) around it of least span,
     of equal spans the first; sinks outside of any method have none."""
-    inside = sinks.join(methods.select("method_id", "seq", "file", "start_line", "end_line"), "file").where("line BETWEEN start_line AND end_line")
-    best = inside.groupBy("sink_id").agg(F.min_by("method_id", F.struct(F.col("end_line") - F.col("start_line"), "seq")).alias("method_id"))
-    return sinks.join(best, "sink_id", "left")
+    around = methods.select("file", F.col("start_line").alias("low"), F.col("end_line").alias("high"), F.struct((F.col("end_line") - F.col("start_line")).alias("n"), "seq").alias("rank"), F.col("method_id").alias("value"))
+    best = first_over(sinks.select("file", F.col("line").alias("at")), around, ["file"]).select("file", F.col("at").alias("line"), F.col("value").alias("method_id"))
+    return sinks.join(best, ["file", "line"], "left").select(*sinks.columns, "method_id")
 
 
 def type_reaches(target_owner: Column, owner: Column, arguments: Column, parameters: Column) -> Column:
