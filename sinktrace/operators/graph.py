@@ -61,6 +61,17 @@ def callers_of(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return joined.where((F.col("m_arity") == ANY_ARITY) | (F.col("m_arity") == F.col("arity"))).drop("m_arity")
 
 
+def owner_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
+    """The edges of ``callers_of`` by the owners at both ends: caller_owner, callee_owner, receiver_is_self, n (how many edges).
+
+    Calls and methods meet as counts by name and arity, never one by one. calls have caller_owner and receiver_is_self besides, methods owner.
+    """
+    sites = calls.where("caller_id IS NOT NULL").groupBy("callee", "arity", "caller_owner", "receiver_is_self").agg(F.count(F.lit(1)).alias("calls"))
+    named = methods.groupBy(F.col("name").alias("callee"), F.col("arity").alias("m_arity"), F.col("owner").alias("callee_owner")).agg(F.count(F.lit(1)).alias("methods"))
+    met = sites.join(named, "callee").where((F.col("m_arity") == ANY_ARITY) | (F.col("m_arity") == F.col("arity")))
+    return met.groupBy("caller_owner", "callee_owner", "receiver_is_self").agg(F.sum(F.col("calls") * F.col("methods")).alias("n"))
+
+
 def caller_counts(calls: DataFrame, methods: DataFrame) -> DataFrame:
     """For each method that a call may reach: method_id, n_calls, n_callers. Calls meet methods as counts by name and arity, never one by one."""
     sites = calls.where("caller_id IS NOT NULL").groupBy("callee", "arity", "caller_id").agg(F.count(F.lit(1)).alias("n"))
