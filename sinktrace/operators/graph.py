@@ -186,7 +186,7 @@ def callback_edges(methods: DataFrame, calls: DataFrame) -> DataFrame:
     """
     parameters = methods.select("method_id", "name", F.posexplode("parameter_names").alias("position", "parameter"))
     invoked = parameters.join(calls.select(F.col("caller_id").alias("method_id"), F.col("callee").alias("parameter")).distinct(), ["method_id", "parameter"], "left_semi")
-    passed = calls.select(F.col("callee").alias("name"), F.posexplode("symbols").alias("position", "symbol")).where("symbol <> ''")
+    passed = calls.select(F.col("callee").alias("name"), F.posexplode("symbols").alias("position", "symbol")).where("symbol <> ''").distinct()
     return invoked.join(passed, ["name", "position"]).select(F.col("method_id").alias("caller_id"), F.col("symbol").alias("callee")).distinct()
 
 
