@@ -93,9 +93,11 @@ def suffix_first(paths: DataFrame, files: DataFrame) -> DataFrame:
     Every suffix of a path at a segment boundary is a row of its own, so the join is on equality.
     """
     parts = F.split("path", "/")
-    tails = files.select("seq", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
-    best = paths.join(tails, "suffix").groupBy("key").agg(F.min_by("path", "seq").alias("path"))
-    return paths.join(best, "key", "left")
+    once = files.groupBy("path").agg(F.min("seq").alias("seq"))
+    tails = once.select("seq", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("suffix"))
+    # Of each suffix one file is left before keys meet it, so keys and files of one suffix make no pairs.
+    best = tails.groupBy("suffix").agg(F.min_by("path", "seq").alias("path"))
+    return paths.join(best, "suffix", "left").select("key", "suffix", "path")
 
 
 def reverse_search(starts: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH, entries: DataFrame | None = None) -> DataFrame:
