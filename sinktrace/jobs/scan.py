@@ -28,7 +28,7 @@ def matched(spark: SparkSession, sources: DataFrame) -> DataFrame:
     kept = sources.where(~candidates.excluded_path(F.col("path")))
     lines = materialise(context.lines_of(indexing.masked(kept, False), "lang"), "scan-lines")
     hits = rules.scan(lines, rules.rule_table(spark)).unionByName(rules.scan(rules.statements_of(lines.where("lang = 'java'")), rules.statement_rules(spark)))
-    joined = matching.statement_hits(materialise(spans.tracked(kept.where("lang = 'java'")), "scan-spans"))
+    joined = matching.statement_hits(spans.tracked(kept.where("lang = 'java'")))
     none = F.lit("")
     hits = hits.unionByName(joined.select("path", "line_no", F.col("pos").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("col"), "rule_id", "cwe", "severity", none.alias("validators"), none.alias("statement")))
     settled = rules.validated(hits, kept)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinktrace.operators.spans import line
+from sinktrace.storage import materialise
 
 PLACES = ("path", "pos", "end_pos", "block_end", "method_pos")
 LITERAL = r'^"([^"\\]|\\.)*"$'
@@ -174,7 +175,8 @@ STATEMENT_MATCHES = (
 
 def statement_hits(spans: DataFrame) -> DataFrame:
     """All matches of the statement rules in a span table: path, line_no, rule_id, cwe, severity, pos; each place once for a rule."""
-    java, out = spans.where("lang = 'java'"), None
+    # The rules read the table dozens of times; it is written once, so that files are not parsed again for each.
+    java, out = materialise(spans.where("lang = 'java'"), "matching-spans"), None
     for rule, match, cwe, severity in STATEMENT_MATCHES:
         found = match(java).select("path", line(F.col("pos")).alias("line_no"), F.lit(rule).alias("rule_id"), F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity"), "pos").distinct()
         out = found if out is None else out.unionByName(found)
