@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sinktrace.jobs import catalogue
 from sinktrace.operators import graph, intervals, matching
 
 
@@ -53,3 +54,10 @@ def test_edges_are_counted_by_owner_without_pairs(spark):
     methods = spark.createDataFrame([(k, "f", 1, "X") for k in range(20)] + [(99, "f", -1, "Y")], "method_id long, name string, arity int, owner string")
     found = {(r.caller_owner, r.callee_owner, r.receiver_is_self): r.n for r in graph.owner_edges(calls, methods).collect()}
     assert found == {("A", "X", True): 600, ("A", "Y", True): 30, ("B", "Y", False): 1}
+
+
+def test_one_step_back_is_taken_from_every_part_that_is_called(spark):
+    data = "/root/testdata/sf0.001"
+    found = catalogue.QUERIES["trace_bfs_depth1"](spark, data)
+    called = catalogue.all_edges(spark, data).select("callee").distinct().count()
+    assert found.where("depth = 0").count() == called
