@@ -8,7 +8,9 @@ lines is recognised by the line that holds its name and opening parenthesis.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,35 +36,39 @@ KEYWORDS = ("if", "for", "while", "switch", "catch", "return", "new", "else", "d
 _LINE_COMMENT = {"python": "#", "ruby": "#", "php": "//"}
 
 
+_QUOTES = {"dd": '"""', "ss": "'''", "bb": "```", "d": '"', "s": "'", "b": "`"}
+
+
+@cache
+def _marks(lang: str) -> re.Pattern:
+    """Comments and literals of a language, each from where it begins to its end or that of its line or text. A literal's group is named by its quote, and tells apart whether it is closed."""
+    comments = [re.escape(_LINE_COMMENT.get(lang, "//")) + r"[^\n]*", *([] if lang in ("python", "ruby") else [r"/\*[\s\S]*?(?:\*/|\Z)"])]
+    parts = [f"(?P<comment>{'|'.join(comments)})"]
+    for name, q in _QUOTES.items():
+        if len(q) == 3 and lang not in ("python", "kotlin", "scala", "java"):
+            continue
+        body = rf"(?:\\[\s\S]?|(?!{q})[^\\])*" if len(q) == 3 else r"(?:\\[\s\S]?|[^\\`])*" if q == "`" else rf"(?:\\[\s\S]?|[^\\\n{q}])*"
+        begin = r"'(?=[\s\S]')" if name == "s" and lang in ("rust", "scala", "kotlin") else q  # a lifetime or symbol else
+        parts.append(f"(?P<{name}>{begin}{body}(?P<{name}_end>{q})?)")
+    return re.compile("|".join(parts))
+
+
 def mask(text: str, lang: str, literals: bool = True) -> str:
     """The text with comments and, unless they are to stay, the insides of literals blanked; lines and columns stay."""
-    line_mark, block = _LINE_COMMENT.get(lang, "//"), lang not in ("python", "ruby")
-    out, at, n = [], 0, len(text)
-    blank = lambda s: "".join(c if c in "\r\n" else " " for c in s)
-    while at < n:
-        if text.startswith(line_mark, at):
-            end = text.find("\n", at)
-            end = n if end < 0 else end
-        elif block and text.startswith("/*", at):
-            end = text.find("*/", at + 2)
-            end = n if end < 0 else end + 2
-        elif text[at] in "\"'`" and not (text[at] == "'" and lang in ("rust", "scala", "kotlin") and text[at + 2 : at + 3] != "'"):
-            quote = text[at] * 3 if lang in ("python", "kotlin", "scala", "java") and text.startswith(text[at] * 3, at) else text[at]
-            end = at + len(quote)
-            while end < n and not text.startswith(quote, end) and (len(quote) == 3 or quote == "`" or text[end] != "\n"):
-                end += 2 if text[end] == "\\" else 1
-            end = min(n, end)
-            body, close = text[at + len(quote) : end], quote if text.startswith(quote, end) else ""
-            out += [quote, blank(body), " " * len(close) if "\n" in body else close] if literals else [quote, body, close]  # the end of a literal of several lines isn't code
-            at = end + len(close)
-            continue
-        else:
-            out.append(text[at])
-            at += 1
-            continue
-        out.append(blank(text[at:end]))
-        at = end
-    return "".join(out)
+    blank = lambda s: re.sub(r"[^\r\n]", " ", s)
+
+    def blanked(m: re.Match) -> str:
+        name = m.lastgroup
+        if name == "comment":
+            return blank(m[0])
+        if not literals:
+            return m[0]
+        quote = _QUOTES[name]
+        close = m[f"{name}_end"] or ""
+        body = m[0][len(quote) : len(m[0]) - len(close)]
+        return quote + blank(body) + (" " * len(close) if "\n" in body else close)  # the end of a literal of several lines isn't code
+
+    return _marks(lang).sub(blanked, text)
 
 
 # Patterns of types: group 1 is the name, group 2 what follows it on the line, where its supertypes stand.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sinktrace.jobs import catalogue
-from sinktrace.operators import graph, intervals, matching
+from sinktrace.operators import graph, indexing, intervals, matching
 
 
 def test_hits_that_are_equal_stay_as_often_as_they_are_there(spark):
@@ -61,3 +61,9 @@ def test_one_step_back_is_taken_from_every_part_that_is_called(spark):
     found = catalogue.QUERIES["trace_bfs_depth1"](spark, data)
     called = catalogue.all_edges(spark, data).select("callee").distinct().count()
     assert found.where("depth = 0").count() == called
+
+
+def test_comments_and_literals_are_blanked_in_place():
+    assert indexing.mask('a("//x"); // "y\n/* z */ b \'q\' "open\nc', "java") == 'a("   "); ' + " " * 5 + "\n" + " " * 8 + "b ' ' \"" + " " * 4 + "\nc"
+    assert indexing.mask("x: 'a, y: 'b' // c", "rust", False) == "x: 'a, y: 'b' " + " " * 4
+    assert indexing.mask('"""p\n"""+1 # c', "python") == '""" \n   +1 ' + " " * 3
