@@ -44,7 +44,7 @@ def resolved(assigns: DataFrame) -> DataFrame:
         open_ = table.where("next IS NOT NULL")
         if open_.isEmpty():
             break
-        ends = table.select("path", F.col("name").alias("next"), F.col("after").alias("a"), F.col("upto").alias("b"), F.col("value").alias("v"), F.col("next").alias("n"))
+        ends = table.select("path", F.col("name").alias("next"), F.col("after").alias("a"), F.col("upto").alias("b"), F.col("value").alias("v"), F.col("next").alias("n")).hint("merge")
         met = open_.drop("value").join(ends, ["path", "next"]).where("greatest(after, a) < least(upto, b)")
         further = met.select("path", "name", F.greatest("after", "a").alias("after"), F.least("upto", "b").alias("upto"), F.col("v").alias("value"), F.col("n").alias("next"))
         table = materialise(table.where("next IS NULL").unionByName(further), "aliases")
@@ -53,7 +53,7 @@ def resolved(assigns: DataFrame) -> DataFrame:
 
 def held(asks: DataFrame, table: DataFrame) -> DataFrame:
     """Asks (path, pos, name and other columns) with the value that each name has at its place, null if it has none."""
-    met = asks.alias("q").join(table.alias("t"), (F.col("q.path") == F.col("t.path")) & (F.col("q.name") == F.col("t.name")) & (F.col("t.after") < F.col("q.pos")) & (F.col("q.pos") <= F.col("t.upto")), "left")
+    met = asks.alias("q").join(table.alias("t").hint("merge"), (F.col("q.path") == F.col("t.path")) & (F.col("q.name") == F.col("t.name")) & (F.col("t.after") < F.col("q.pos")) & (F.col("q.pos") <= F.col("t.upto")), "left")
     return met.select("q.*", F.col("t.value").alias("held"))
 
 
@@ -68,13 +68,13 @@ def allocations(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     same = given.where(right.rlike(_MEMBERS) & ~right.isin(*_CONSTANTS)).select(node(F.col("name")).alias("a"), node(right).alias("b"))
     groups = components(same)
     named = given.select("path", "name").distinct().unionByName(given.where(right.rlike(_MEMBERS)).select("path", right.alias("name"))).distinct()
-    of = named.join(groups, node(F.col("name")) == F.col("node"), "left").select("path", "name", F.coalesce("component", node(F.col("name"))).alias("group"))
-    made = spans.where("kind = 'return'").join(spans.where("kind = 'method'").select("path", F.col("pos").alias("method_pos"), F.col("name").alias("function")), ["path", "method_pos"])
+    of = named.join(groups.hint("merge"), node(F.col("name")) == F.col("node"), "left").select("path", "name", F.coalesce("component", node(F.col("name"))).alias("group"))
+    made = spans.where("kind = 'return'").join(spans.where("kind = 'method'").select("path", F.col("pos").alias("method_pos"), F.col("name").alias("function")).hint("merge"), ["path", "method_pos"])
     array = F.col("value").contains("[")
     forms = made.where(F.col("value").rlike(r"^new\b")).groupBy("path", "function").agg(F.min(array).alias("least"), F.max(array).alias("most")).where("least = most").select("path", F.col("function").alias("form"), F.col("least").alias("array"))
     direct = given.where(F.col("value").rlike(r"^new\b")).select("path", "name", "pos", array.alias("array"))
-    by_call = given.where("form <> ''").join(forms, ["path", "form"]).select("path", "name", "pos", "array")
-    return of, direct.unionByName(by_call).join(of, ["path", "name"]).groupBy("path", "group", "array").agg(F.min("pos").alias("pos"))
+    by_call = given.where("form <> ''").join(forms.hint("merge"), ["path", "form"]).select("path", "name", "pos", "array")
+    return of, direct.unionByName(by_call).join(of.hint("merge"), ["path", "name"]).groupBy("path", "group", "array").agg(F.min("pos").alias("pos"))
 
 
 def allocation_forms(asks: DataFrame, of: DataFrame, made: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def allocation_forms(asks: DataFrame, of: DataFrame, made: DataFrame) -> DataFra
     What its group was given before the place counts; if that is nothing, what the whole file gives it.
     """
     wide = made.groupBy("path", "group").agg(F.min(F.when(F.col("array"), F.col("pos"))).alias("arrays"), F.min(F.when(~F.col("array"), F.col("pos"))).alias("singles"))
-    met = asks.join(of, ["path", "name"], "left").join(wide, ["path", "group"], "left")
+    met = asks.join(of.hint("merge"), ["path", "name"], "left").join(wide.hint("merge"), ["path", "group"], "left")
     at = lambda c: F.coalesce(F.col(c) < F.col("pos"), F.lit(False))
     some = lambda a, s: F.when(a & ~s, True).when(s & ~a, False)
     form = F.when(at("arrays") | at("singles"), some(at("arrays"), at("singles"))).otherwise(some(F.col("arrays").isNotNull(), F.col("singles").isNotNull()))
@@ -93,11 +93,11 @@ def allocation_forms(asks: DataFrame, of: DataFrame, made: DataFrame) -> DataFra
 def passed_forms(asks: DataFrame, spans: DataFrame, of: DataFrame, made: DataFrame) -> DataFrame:
     """The same for names (path, pos, name, method_pos) that are parameters: by what all calls of their function, in any file, pass there."""
     methods = spans.where("kind = 'method'").select("path", F.col("pos").alias("method_pos"), F.col("name").alias("function"), F.posexplode("args").alias("k", "parameter"))
-    own = asks.join(methods, ["path", "method_pos"]).where(F.regexp_extract("parameter", r"(\w+)\s*(?:=.*)?$", 1) == F.col("name"))
+    own = asks.join(methods.hint("merge"), ["path", "method_pos"]).where(F.regexp_extract("parameter", r"(\w+)\s*(?:=.*)?$", 1) == F.col("name"))
     calls = spans.where("kind = 'call'").select(F.col("path").alias("from"), F.col("pos").alias("call_pos"), F.col("name").alias("function"), F.posexplode("args").alias("k", "passed"))
     asked = own.select("function", "k").distinct()
-    sites = calls.join(asked, ["function", "k"], "left_semi")
+    sites = calls.join(asked.hint("merge"), ["function", "k"], "left_semi")
     direct = sites.where(F.col("passed").rlike(r"^new\b")).select("function", "k", F.col("passed").contains("[").alias("array"))
     by_name = allocation_forms(sites.where(F.col("passed").rlike(NAME)).select(F.col("from").alias("path"), F.col("call_pos").alias("pos"), F.col("passed").alias("name"), "function", "k"), of, made).select("function", "k", "array").where("array IS NOT NULL")
     forms = direct.unionByName(by_name).groupBy("function", "k").agg(F.min("array").alias("least"), F.max("array").alias("most")).where("least = most").select("function", "k", F.col("least").alias("array"))
-    return own.join(forms, ["function", "k"]).select(*asks.columns, "array")
+    return own.join(forms.hint("merge"), ["function", "k"]).select(*asks.columns, "array")

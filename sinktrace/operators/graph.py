@@ -281,9 +281,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
+        met = large.join(least.hint("merge"), "a")
         small = met.select("b", "m").where("b <> m").unionByName(met.select(F.col("a").alias("b"), "m")).distinct().toDF("a", "b")
         before, now = now, materialise(small, "components")
         discard(before)

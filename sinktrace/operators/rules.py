@@ -99,27 +99,28 @@ def validated(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Hits whose checks pass against their files (path, lang, text), with the details of copies: message, rule_confidence, static_analysis.
 
     A name that is no check fails, none passes. What names hold is looked up in one table for all hits (``aliases``); a file's text is read for calls
-    of functions that it may define itself, and for the few uses of what is null.
+    of functions that it may define itself, and for the few uses of what is null. Rows are dealt out for every join: tables of like rows are written
+    in so little room that Spark would take them for small ones and send them through the driver.
     """
     listed = F.filter(F.split("validators", ","), lambda n: F.trim(n) != "")
     known = hits.where(F.size(F.array_except(F.transform(listed, F.trim), F.array(*map(F.lit, VALIDATORS)))) == 0).withColumn("pos", F.shiftleft(F.col("line_no").cast("long"), 20) + F.col("col"))
-    known = materialise(known.where("pos IS NOT NULL"), "rules-hits")
-    code = masked(files.where("lang = 'cpp'"), False)
-    spans = materialise(tracked(code).where("kind IN ('assign', 'method', 'call', 'return', 'delete')"), "rules-spans")
-    table = materialise(aliases.resolved(spans.where("kind = 'assign'").select("path", "pos", "name", "value")), "rules-aliases")
+    known = materialise(known.where("pos IS NOT NULL"), "rules-hits").hint("merge")
+    code = materialise(masked(files.where("lang = 'cpp'"), False), "rules-code").hint("merge")
+    spans = materialise(tracked(code).where("kind IN ('assign', 'method', 'call', 'return', 'delete')"), "rules-spans").hint("merge")
+    table = materialise(aliases.resolved(spans.where("kind = 'assign'").select("path", "pos", "name", "value")), "rules-aliases").hint("merge")
     place = ["path", "pos", "rule_id"]
     of = lambda check: known.where(_asks(check)).select(*place, "statement")
 
     called = of("standard-function-call").join(code.select("path", "text"), "path")
     standard = called.where(validators.standard_call(F.col("statement"), F.col("text"), F.regexp_extract("statement", r"(\w+)\s*\(", 1)))
     # What is known of a copy is written once, for several columns are made of it.
-    known_of = materialise(of("memcpy-bounds").join(code.select("path", "text"), "path").select(*place, validators.copied(F.col("statement"), F.col("text")).alias("x")).select(*place, "x.*"), "rules-copies")
+    known_of = materialise(of("memcpy-bounds").join(code.select("path", "text"), "path").select(*place, validators.copied(F.col("statement"), F.col("text")).alias("x")).select(*place, "x.*"), "rules-copies").hint("merge")
     bounded = known_of.withColumn("bounds", validators.bounds_of(F.col("own"), F.col("room"), F.col("length")))
     copies = bounded.where("bounds <> 'safe'").withColumn("details", validators.details_of(F.col("bounds"), F.col("room"), F.col("length")))
     # Deletions by the form in which their name's group was made, or what calls pass for a parameter.
     deleted = of("new-delete-mismatch").join(spans.where("kind = 'delete'").select("path", "pos", "method_pos", aliases.symbol(F.col("name")).alias("name"), (F.col("value") == "[]").alias("as_array")), ["path", "pos"])
     groups, made = aliases.allocations(spans)
-    formed = materialise(aliases.allocation_forms(deleted, groups, made), "rules-forms")
+    formed = materialise(aliases.allocation_forms(deleted, groups, made), "rules-forms").hint("merge")
     passed = aliases.passed_forms(formed.where("array IS NULL").drop("array"), spans, groups, made)
     mismatched = formed.where("array IS NOT NULL").unionByName(passed).where("array <> as_array")
     # Uses of a name that holds null, unless a test right before them leaves.
@@ -138,7 +139,7 @@ def validated(hits: DataFrame, files: DataFrame) -> DataFrame:
         found = passing.select(*place, F.lit(check).alias("check"))
         passes = found if passes is None else passes.unionByName(found)
     asked = known.select(*place, F.explode(F.filter(F.transform(F.split("validators", ","), F.trim), lambda n: n != "")).alias("check"))
-    failed = asked.join(passes.distinct(), [*place, "check"], "left_anti").select(*place).distinct()
-    out = known.join(failed, place, "left_anti")
+    failed = asked.join(passes.distinct().hint("merge"), [*place, "check"], "left_anti").select(*place).distinct()
+    out = known.join(failed.hint("merge"), place, "left_anti")
     details = copies.select(*place, "details.*").distinct()
-    return out.join(details, place, "left").select(*hits.columns, *(c for c in details.columns if c not in place))
+    return out.join(details.hint("merge"), place, "left").select(*hits.columns, *(c for c in details.columns if c not in place))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sinktrace.jobs import catalogue
-from sinktrace.operators import graph, indexing, intervals, matching
+from sinktrace.operators import context, graph, indexing, intervals, matching, rules
 
 
 def test_hits_that_are_equal_stay_as_often_as_they_are_there(spark):
@@ -67,3 +67,21 @@ def test_comments_and_literals_are_blanked_in_place():
     assert indexing.mask('a("//x"); // "y\n/* z */ b \'q\' "open\nc', "java") == 'a("   "); ' + " " * 5 + "\n" + " " * 8 + "b ' ' \"" + " " * 4 + "\nc"
     assert indexing.mask("x: 'a, y: 'b' // c", "rust", False) == "x: 'a, y: 'b' " + " " * 4
     assert indexing.mask('"""p\n"""+1 # c', "python") == '""" \n   +1 ' + " " * 3
+
+
+def broadcasts(spark, after):
+    """How many tables the executions since number ``after`` sent through the driver, and the last number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    ids = [runs.apply(k).executionId() for k in range(runs.size())]
+    names = [(k, nodes.apply(j).name()) for k in ids if k > after for nodes in [store.planGraph(k).allNodes()] for j in range(nodes.size())]
+    return sum(name.startswith("BroadcastExchange") for _, name in names), max(ids, default=-1)
+
+
+def test_checks_of_hits_send_no_table_through_the_driver(spark):
+    texts = spark.range(40).selectExpr("id AS path", "'cpp' AS lang", "concat('char to[8];\\nchar *p = new char[4];\\nvoid f() {\\n  memcpy(to, from, ', id, ');\\n  delete p;\\n  q = p;\\n}\\n') AS text")
+    hits = rules.scan(context.lines_of(texts, "lang"), rules.rule_table(spark))
+    _, last = broadcasts(spark, 1 << 60)
+    found = rules.validated(hits, texts).collect()
+    assert {(r.path, r.rule_id) for r in found} == {(k, "CPP004") for k in range(9, 40)} | {(k, "CPP005") for k in range(40)}
+    assert broadcasts(spark, last)[0] == 0
