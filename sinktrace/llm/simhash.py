@@ -172,6 +172,27 @@ def forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
+class Links:
+    """Links between n items, kept in bounded room."""
+
+    def __init__(self, n: int):
+        self.n, self.held = n, 0
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.pairs.append((a, b))
+        self.held += len(a)
+        if self.held > 1 << 19:  # a forest says the same in less room
+            self.pairs = [self.moved()]
+            self.held = len(self.pairs[0][0])
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """The items that reach a smaller one, and the smallest that each reaches."""
+        label = forest(self.n, self.pairs)
+        moved = np.flatnonzero(label != np.arange(self.n))
+        return moved, label[moved]
+
+
 def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int, leaders: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of places, from each item to the smallest one that it reaches in its shard; rows of fps sorted by key.
 
@@ -183,17 +204,8 @@ def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int, leaders: int = 3)
     first = np.concatenate([[True], key[1:] != key[:-1]])
     shard = np.cumsum(first) - 1
     roots = np.flatnonzero(first)[shard]
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    held = [0]
-
-    def merge(a: np.ndarray, b: np.ndarray) -> None:
-        pairs.append((a, b))
-        held[0] += len(a)
-        if held[0] > 1 << 19:  # a forest says the same in less room
-            label = forest(n, pairs)
-            pairs[:] = [(np.flatnonzero(label != np.arange(n)), label[label != np.arange(n)])]
-            held[0] = len(pairs[0][0])
-
+    links = Links(n)
+    merge = links.merge
     ball, left = np.full(n, -1, np.int64), np.arange(n)
     for _ in range(leaders):
         group = shard[left]
@@ -211,9 +223,20 @@ def shard_edges(fps: np.ndarray, key: np.ndarray, radius: int, leaders: int = 3)
     heads = np.flatnonzero((size > 0) & (size == largest[shard]))
     chosen[shard[heads]] = heads
     BkTrees(fps, shard).links(np.flatnonzero(ball != chosen[shard]), roots, radius, merge)
-    label = forest(n, pairs)
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+    return links.moved()
+
+
+def far_edges(fps: np.ndarray, key: np.ndarray, far: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the links of which one end at least is ``far``: those items are compared with all of their key."""
+    links, bounds = Links(len(fps)), [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(fps)]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        asked = lo + np.flatnonzero(far[lo:hi])
+        for k in range(0, len(asked), 64):
+            query = asked[k : k + 64]
+            apart = sum(np.bitwise_count(fps[query, w][:, None] ^ fps[lo:hi, w][None, :]) for w in range(fps.shape[1]))
+            a, b = np.nonzero(apart <= radius)
+            links.merge(query[a], lo + b)
+    return links.moved()
 
 
 def whole_shards(batches: Iterator[pa.RecordBatch], key: str, size: int = 50_000) -> Iterator[pa.Table]:
@@ -312,20 +335,38 @@ def _tables(n: int, similarity: float, recall: float) -> np.ndarray:
     return np.stack([random.permutation(WIDE)[:bits] for _ in range(tables)])
 
 
+def tiles(crowded: DataFrame, radius: int, size: int) -> DataFrame:
+    """Rows (key, low, high, far) of tiles in which all pairs of crowded shards meet that their leaders don't link.
+
+    crowded: rows (key, low, high, apart: the distance from the shard's leader). Rows within the radius are linked by the leader, so a pair
+    left has one at least that is far. Blocks of some ``size`` far rows meet each other and blocks of near rows, two to a tile. A near
+    row that is closer to the leader than all far ones, by more than the radius, is out of their reach, by the triangle inequality.
+    """
+    far = F.col("apart") > radius
+    sizes = crowded.groupBy("key").agg(F.count_if(far).alias("n_far"), F.min(F.when(far, F.col("apart"))).alias("least"))
+    left = crowded.join(sizes.where("n_far > 0"), "key").where(far | (F.col("apart") >= F.col("least") - radius))
+    counts = left.groupBy("key").agg(F.count_if(~far).alias("n_near"), F.count_if(far).alias("n_far"))
+    # Far blocks are numbered from 0 on, those of near rows follow them.
+    rows = left.select("key", "low", "high", far.alias("far")).join(counts, "key")
+    blocks = lambda n: F.ceil(F.col(n) / size)
+    placed = rows.select("key", "low", "high", "far", blocks("n_far").alias("fars"), blocks("n_near").alias("nears"), F.xxhash64("low", "high").alias("h"))
+    own = F.when(F.col("far"), F.pmod("h", "fars")).otherwise(F.col("fars") + F.pmod("h", "nears"))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("far"), F.col("fars") + F.col("nears")).otherwise(F.col("fars")) - 1)
+    dealt = placed.select("key", "low", "high", "far", own.alias("own"), F.explode(others).alias("other"))
+    return dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "low", "high", "far")
+
+
 def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot: int = 2_000) -> DataFrame:
     """Edges (a, b) between the low words of distinct fingerprints (low, high): candidates for sets of the similarity or more.
 
     Two fingerprints are linked if they agree in all bits of a table's key and differ in no more bits than two sets of the
-    similarity do but once in forty. A shard of some ``hot`` fingerprints or more, as the copies of one text make, is not gathered: each
-    of its fingerprints is compared with a leader of the shard, another one in each table, and those that are not within the radius of
-    it are dealt out again, by eight more bits in so many ways that two sets of the similarity meet again with odds of 0.99.
+    similarity do but once in forty. A shard of some ``hot`` fingerprints or more, as the copies of one text make, is not gathered, and loses
+    no link either: each of its fingerprints is compared with a leader of the shard, another one in each table. Those within the radius
+    of it are linked by it; those that are not meet all others, in ``tiles`` of bounded size.
     """
     odds = bit_odds(similarity)
     radius = math.ceil(WIDE * odds + 2 * math.sqrt(WIDE * odds * (1 - odds)))
     places = _tables(fps.count(), similarity, recall)
-    ways = math.ceil(math.log(0.01) / math.log(1 - (1 - odds) ** 8))
-    random = np.random.default_rng(43)
-    finer = np.stack([random.permutation(WIDE)[:8] for _ in range(ways)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
@@ -337,17 +378,6 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
                 key = np.stack([bits[:, p] @ weight + (np.int64(t) << 44) for t, p in enumerate(places)], axis=1)
                 yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], len(places)), "high": np.repeat(words[:, 1], len(places))})
 
-    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = np.int64(1) << np.arange(8, dtype=np.int64)
-        for batch in batches:
-            for lo in range(0, len(batch), 5_000):
-                part = batch.slice(lo, 5_000)
-                words = np.stack([part.column("low").to_numpy(), part.column("high").to_numpy()], axis=1)
-                bits, own = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little"), part.column("key").to_numpy().view(np.uint64)
-                way = [mixed((bits[:, p] @ weight + (np.int64(t) << 8)).view(np.uint64), 14) for t, p in enumerate(finer)]
-                key = np.stack([mixed(own ^ w, 15).view(np.int64) for w in way], axis=1)
-                yield pa.RecordBatch.from_pydict({"key": key.ravel(), "low": np.repeat(words[:, 0], ways), "high": np.repeat(words[:, 1], ways)})
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for t in whole_shards(batches, "key"):
@@ -358,6 +388,15 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
             a, b = shard_edges(words.view(np.uint64), key[several], radius)
             yield pa.RecordBatch.from_pydict({"a": words[a, 0], "b": words[b, 0]})
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_shards(batches, "key"):
+            words = np.stack([t.column("low").to_numpy(), t.column("high").to_numpy()], axis=1)
+            a, b = far_edges(words.view(np.uint64), t.column("key").to_numpy(), t.column("far").to_numpy(), radius)
+            yield pa.RecordBatch.from_pydict({"a": words[a, 0], "b": words[b, 0]})
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+
     spark, schema = fps.sparkSession, "key long, low long, high long"
     dealt = fps.mapInArrow(deal, schema)
     some = fps.where("pmod(xxhash64(low, high), 16) = 0").mapInArrow(deal, schema)
@@ -365,11 +404,12 @@ def wide_edges(fps: DataFrame, similarity: float = 0.8, recall: float = 0.9, hot
     crowded = materialise(some.groupBy("key").agg(F.count(F.lit(1)).alias("n"), leader).where(F.col("n") >= hot // 16).select("key", "leader"), "simhash-hot")
     edges = None
     if not crowded.isEmpty():
-        met = dealt.join(crowded, "key", "left")
         apart = F.bit_count(F.col("low").bitwiseXOR(F.col("leader.low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("leader.high")))
-        edges = met.where(apart <= radius).select(F.col("low").alias("a"), F.col("leader.low").alias("b")).where("a <> b")
-        dealt = met.where("leader IS NULL").select("key", "low", "high").unionByName(met.where(apart > radius).select("key", "low", "high").mapInArrow(deal_again, schema))
-    found = dealt.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+        met = materialise(dealt.join(crowded, "key").select("key", "low", "high", F.col("leader.low").alias("leader"), apart.alias("apart")), "simhash-crowded")
+        edges = met.where(F.col("apart") <= radius).select(F.col("low").alias("a"), F.col("leader").alias("b")).where("a <> b")
+        edges = edges.unionByName(gathered(tiles(met, radius, 4 * hot)).mapInArrow(meet, "a long, b long"))
+        dealt = dealt.join(crowded, "key", "left_anti")
+    found = gathered(dealt).mapInArrow(search, "a long, b long")
     return (found if edges is None else found.unionByName(edges)).distinct()
 
 

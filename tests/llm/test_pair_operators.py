@@ -240,3 +240,29 @@ def test_queries_give_what_their_sql_gives(spark, name):
         duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
     found = QUERIES[name](spark, folder)
     assert sorted(map(tuple, found.collect())) == sorted(duckdb.sql(f"SELECT {', '.join(found.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
+def test_no_link_of_a_crowded_shard_is_lost(spark):
+    """Fingerprints of which most hang on one other by a link at the bound: crowded shards, with near rows and far ones, give the components of whole shards."""
+    r = random.Random(21)
+    flip = lambda x, n: x ^ sum(1 << k for k in r.sample(range(128), n))
+    some = [r.getrandbits(128)]
+    some += [flip(some[0], r.choice([4, 12, 24])) for _ in range(60)]
+    some += [flip(r.choice(some), 27) for _ in range(400)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(x & (2**64 - 1)), signed(x >> 64)) for x in some], "low long, high long")
+    of = [{x.node: x.component for x in simhash.components(simhash.wide_edges(frame, hot=hot)).collect()} for hot in (16, 1 << 30)]
+    assert len(of[1]) > 200 and of[0] == of[1]
+
+
+def test_tiles_hold_every_pair_that_a_leader_does_not_link(spark):
+    r = random.Random(22)
+    rows = [(7, k, k, r.choice([3, 9, 13, 16, 22, 40])) for k in range(500)] + [(8, k, k, 5) for k in range(90)]
+    met = {}
+    for t in simhash.tiles(spark.createDataFrame(rows, "key long, low long, high long, apart int"), 14, 20).collect():
+        met.setdefault(t.key, {})[t.low] = t.far
+    assert max(map(len, met.values())) < 100  # two blocks to a tile
+    inside = {(x, y) for tile in met.values() for x in tile if tile[x] for y in tile}
+    apart = {k: d for key, k, _, d in rows if key == 7}
+    reach = {(x, y) for x in apart for y in apart if apart[x] > 14 and apart[y] >= apart[x] - 14}
+    assert reach <= inside
