@@ -1,10 +1,11 @@
 """What a name holds at a place: an assignment table, and aliases followed to their ends.
 
 An assignment holds from its place to the next one of its name in the file. So each name has a row for every stretch of
-places, with the value that it has there; before its first assignment it has none. A value that is itself a name is
-looked up in the stretches of that name which overlap. Rows are joined with themselves, so that the length of what is
-followed doubles each round: a chain of n names takes log2(n) rounds, whatever the number of places asked about. Names
-that lead round in a circle hold nothing.
+places, with the value that it has there; before its first assignment it holds nothing and has no row. A value that is
+itself a name is looked up in the stretches of that name which overlap. Rows are joined with themselves, so that the
+length of what is followed doubles each round: a chain of n names takes log2(n) rounds, whatever the number of places
+asked about. Only rows that still lead to a name are followed; those that have come to a value are written once. Names
+that lead to one without a value there, or round in a circle, hold nothing.
 """
 
 from __future__ import annotations
@@ -25,30 +26,33 @@ _CONSTANTS = ("nullptr", "NULL", "true", "false", "this")
 
 def symbol(name: Column) -> Column:
     """A name without blanks and without ``this->``."""
-    return F.regexp_replace(F.regexp_replace(name, r"\s+", ""), r"^this->", "")
+    bare = F.translate(name, " \t\n\x0b\f\r", "")
+    return F.when(bare.startswith("this->"), F.substring(bare, 7, 1 << 30)).otherwise(bare)
 
 
 def resolved(assigns: DataFrame) -> DataFrame:
-    """Stretches (path, name, after, upto, value) of assignments (path, pos, name, value): what a name holds at places after < pos <= upto; null for nothing."""
+    """Stretches (path, name, after, upto, value) of assignments (path, pos, name, value): what a name holds at places after < pos <= upto; where it has none, it holds nothing."""
     value = F.trim("value")
     rows = assigns.select("path", "pos", symbol(F.col("name")).alias("name"), value.alias("value"), F.when(value.rlike(NAME) & ~value.isin(*_CONSTANTS), value).alias("next"))
     by_name = Window.partitionBy("path", "name").orderBy("pos")
     held = rows.select("path", "name", F.col("pos").alias("after"), F.coalesce(F.lead("pos").over(by_name), F.lit(LAST)).alias("upto"), "value", "next")
-    # Before its first assignment a name holds nothing, nor does one that is never assigned.
-    first = rows.groupBy("path", "name").agg(F.min("pos").alias("upto"))
-    asked = rows.where("next IS NOT NULL").select("path", F.col("next").alias("name"), F.lit(LAST).alias("upto"))
-    none = first.unionByName(asked).groupBy("path", "name").agg(F.min("upto").alias("upto")).select("path", "name", F.lit(-1).cast("long").alias("after"), "upto", F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("next"))
-    table = materialise(held.unionByName(none).where("after < upto"), "aliases")
-    most = table.groupBy("path").agg(F.countDistinct("name").alias("n")).agg(F.max("n")).first()[0] or 1
-    for _ in range(math.ceil(math.log2(most)) + 1):
-        open_ = table.where("next IS NOT NULL")
-        if open_.isEmpty():
-            break
-        ends = table.select("path", F.col("name").alias("next"), F.col("after").alias("a"), F.col("upto").alias("b"), F.col("value").alias("v"), F.col("next").alias("n")).hint("merge")
-        met = open_.drop("value").join(ends, ["path", "next"]).where("greatest(after, a) < least(upto, b)")
+    # A name that is given itself is a circle.
+    open_ = F.coalesce(F.col("next") != F.col("name"), F.col("next").isNull())
+    first = materialise(held.where("after < upto").where(open_), "aliases")
+    known, now, rounds = first.where("next IS NULL"), first.where("next IS NOT NULL"), None
+    while rounds is None or rounds > 0:
+        ends = known.unionByName(now).select("path", F.col("name").alias("next"), F.col("after").alias("a"), F.col("upto").alias("b"), F.col("value").alias("v"), F.col("next").alias("n"))
+        # Dealt out at any size: like rows are written in so little room that they would be taken for few.
+        met = now.drop("value").join(ends.hint("merge"), ["path", "next"]).where("greatest(after, a) < least(upto, b)")
         further = met.select("path", "name", F.greatest("after", "a").alias("after"), F.least("upto", "b").alias("upto"), F.col("v").alias("value"), F.col("n").alias("next"))
-        table = materialise(table.where("next IS NULL").unionByName(further), "aliases")
-    return table.select("path", "name", "after", "upto", F.when(F.col("next").isNull(), F.col("value")).alias("value"))
+        came = materialise(further.where(open_), "aliases")
+        known, now = known.unionByName(came.where("next IS NULL")), came.where("next IS NOT NULL")
+        # What is left leads through names that are left, so that their number says how often it can go on.
+        most = now.groupBy("path").agg(F.countDistinct("name").alias("n")).agg(F.max("n")).first()[0]
+        if most is None:
+            break
+        rounds = math.ceil(math.log2(most)) + 1 if rounds is None else rounds - 1
+    return known.select("path", "name", "after", "upto", "value")
 
 
 def held(asks: DataFrame, table: DataFrame) -> DataFrame:

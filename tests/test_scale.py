@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from sinktrace.jobs import catalogue
@@ -93,3 +95,22 @@ def test_a_check_of_a_copy_reads_its_file_once(spark):
     frame = spark.createDataFrame([("memcpy(b, s, 9)", "char b[8];")], "c string, t string").select(validators.copy_bounds(F.col("c"), F.col("t")).alias("x"), validators.integer(F.upper("c")).alias("y"))
     plan = frame._jdf.queryExecution().analyzed().toString()
     assert plan.count("uint8_t") == plan.count("sizeof") == plan.count("upper(") == 1
+
+
+def test_only_stretches_with_a_value_are_kept_and_all_are_found(spark):
+    r = random.Random(3)
+    assigns = [("f", k, f"n{k}", f"n{k - 1}" if k else "1") for k in range(40)] + [("g", 0, "a", "c"), ("g", 1, "b", "a"), ("g", 2, "c", "b"), ("g", 3, "d", "a"), ("g", 4, "e", "unset"), ("g", 5, "h", "h")]
+    assigns += [(f"p{p}", k, f"n{r.randrange(6)}", r.choice(['"x"', "nullptr", *(f"n{x}" for x in range(7)), *(f"n{x}" for x in range(7))])) for p in range(30) for k in range(12)]
+    table = aliases.resolved(spark.createDataFrame(assigns, "path string, pos long, name string, value string"))
+    rows = [tuple(x) for x in table.select("path", "name", "after", "upto", "value").collect()]
+    assert all(value is not None for *_, value in rows) and not any(path == "g" for path, *_ in rows)
+    expected = {}
+    for path, at, name in {(p, k, n) for p, _, n, _ in assigns for k in range(41)}:
+        seen, value = set(), name
+        while value is not None and value not in seen and (value == name or value.startswith("n") and value != "nullptr" or path == "g"):
+            seen.add(value)
+            value = max(((k, v) for p, k, n, v in assigns if (p, n) == (path, value) and k < at), default=(0, None))[1]
+        if value is not None and value not in seen:
+            expected[path, at, name] = value
+    got = [((path, at, name), value) for path, name, after, upto, value in rows for at in range(41) if after < at <= upto]
+    assert len(got) == len(dict(got)) and dict(got) == expected
