@@ -45,6 +45,28 @@ def test_searches_carry_many_sinks_in_a_row(spark):
     assert {(r.sink, r.entry, r.depth) for r in graph.entry_depths(starts, edges, entries).collect()} == {(s, 1002, 2) for s in range(100)}
 
 
+def test_a_search_makes_its_edges_once_whatever_the_rounds(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def callee(k):
+        made.add(1)
+        return k
+
+    edges = spark.range(9).select((F.col("id") + 1).alias("caller"), callee("id").alias("callee"))
+    found = graph.reverse_search(spark.createDataFrame([(0, 0)], "sink long, node long"), edges, 8).collect()
+    assert {(r.node, r.depth) for r in found} == {(k, k) for k in range(9)} and made.value <= 2 * 9  # once for the ranges, once for the table
+
+
+def test_long_lists_of_callers_and_sets_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 3)
+    monkeypatch.setattr(graph, "SETS", 2)
+    starts = spark.range(300).selectExpr("id AS sink", "1000 AS node")
+    edges = spark.range(1, 21).selectExpr("1000 + id AS caller", "1000 AS callee").unionByName(spark.createDataFrame([(2000, 1007), (2000, 1008), (1000, 2000)], "caller long, callee long"))
+    found = [(r.sink, r.node, r.depth) for r in graph.reverse_search(starts, edges, None).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(s, n, d) for s in range(300) for n, d in [(1000, 0), *((1000 + k, 1) for k in range(1, 21)), (2000, 2)]}
+
+
 def test_closures_put_the_members_of_cycles_in_at_the_end(spark):
     edges = spark.createDataFrame([(k, (k + 1) % 40) for k in range(40)] + [(100, 0), (5, 200), (200, 201)], "type long, parent long")
     found = {(r.type, r.ancestor) for r in graph.closure(edges).collect()}
