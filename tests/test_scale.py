@@ -67,6 +67,14 @@ def test_long_lists_of_callers_and_sets_lose_nothing(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == {(s, n, d) for s in range(300) for n, d in [(1000, 0), *((1000 + k, 1) for k in range(1, 21)), (2000, 2)]}
 
 
+def test_nodes_that_are_no_entries_are_dropped_before_sinks_are_rows(spark):
+    starts = spark.range(100).selectExpr("id AS sink", "1000 AS node")
+    edges = spark.createDataFrame([(k + 1, k, k) for k in range(1000, 1005)], "caller long, callee long, seq long")
+    chains = graph.entry_depths(starts, edges, spark.createDataFrame([(1002,)], "node long"))
+    assert "LeftSemi" not in chains._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.sink, r.place, r.more) for r in graph.top_chains(chains).collect()} == {(s, 1, 0) for s in range(100)}
+
+
 def test_closures_put_the_members_of_cycles_in_at_the_end(spark):
     edges = spark.createDataFrame([(k, (k + 1) % 40) for k in range(40)] + [(100, 0), (5, 200), (200, 201)], "type long, parent long")
     found = {(r.type, r.ancestor) for r in graph.closure(edges).collect()}
