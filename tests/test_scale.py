@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from sinktrace.jobs import catalogue
-from sinktrace.operators import aliases, context, graph, indexing, intervals, matching, rules, validators
+from sinktrace.operators import aliases, context, graph, indexing, intervals, matching, rules, trace, validators
 
 
 def test_hits_that_are_equal_stay_as_often_as_they_are_there(spark):
@@ -75,6 +75,15 @@ def test_nodes_that_are_no_entries_are_dropped_before_sinks_are_rows(spark):
     assert {(r.sink, r.place, r.more) for r in graph.top_chains(chains).collect()} == {(s, 1, 0) for s in range(100)}
 
 
+def test_traces_of_sinks_are_not_written_as_rows(spark):
+    edges = spark.createDataFrame([(2, 1, 1), (3, 2, 2), (4, 1, 3), (6, 5, 4)], "caller long, callee long, seq long")
+    starts = spark.createDataFrame([(10, 1), (20, 5), (30, 7), (40, 8), (50, 6)], "sink long, node long")
+    marks = spark.createDataFrame([(3, True), (4, False), (5, False), (7, True), (8, False), (6, True)], "node long, definitive boolean")
+    found = trace.entry_traces(starts, edges, marks, nodes=False)
+    assert not any("/traces-" in path for path in found.inputFiles())
+    assert {(r.sink, r.entry, r.depth) for r in found.collect()} == {(10, 3, 2), (10, 4, 1), (20, 6, 1), (30, 7, 0), (40, 8, 0), (50, 6, 0)}
+
+
 def test_closures_put_the_members_of_cycles_in_at_the_end(spark):
     edges = spark.createDataFrame([(k, (k + 1) % 40) for k in range(40)] + [(100, 0), (5, 200), (200, 201)], "type long, parent long")
     found = {(r.type, r.ancestor) for r in graph.closure(edges).collect()}
