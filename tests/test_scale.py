@@ -92,6 +92,27 @@ def test_closures_put_the_members_of_cycles_in_at_the_end(spark):
     assert found == want
 
 
+def test_closures_deal_out_lists_of_members_and_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 3)
+    ring = lambda a, n: [(a + k, a + (k + 1) % n) for k in range(n)]
+    links = ring(0, 40) + ring(50, 10) + [(5, 52), (100, 101), (101, 3), (9, 200), (200, 201), (55, 300)] + [(400 + k, 7) for k in range(20)]
+    found = graph.closure(spark.createDataFrame(links, "type long, parent long"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]  # rows are made of lists last
+    pairs = [(r.type, r.ancestor) for r in found.collect()]
+    up = {}
+    for a, b in links:
+        up.setdefault(a, set()).add(b)
+    want = set()
+    for a in up:
+        seen, todo = set(), [a]
+        while todo:
+            new = up.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want |= {(a, b) for b in seen if a != b}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_edges_are_counted_by_owner_without_pairs(spark):
     calls = spark.createDataFrame([("f", 1, k, "A", True) for k in range(30)] + [("f", 2, 1, "B", False), ("f", 1, None, "A", True)], "callee string, arity int, caller_id long, caller_owner string, receiver_is_self boolean")
     methods = spark.createDataFrame([(k, "f", 1, "X") for k in range(20)] + [(99, "f", -1, "Y")], "method_id long, name string, arity int, owner string")
