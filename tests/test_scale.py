@@ -113,6 +113,20 @@ def test_closures_deal_out_lists_of_members_and_not_pairs(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_leaves_of_members_are_rows_last_and_all_are_found(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LISTED", 3)
+    links = [(k, (k + 1) % 10) for k in range(10)] + [(100 + k, k % 4) for k in range(70)] + [(5, 50), (50, 51), (51, 52), (60, 61), (70, 70), (80, 80), (80, 81)]
+    monkeypatch.setattr(catalogue, "edges", lambda spark, _: spark.createDataFrame(links, "caller long, callee long"))
+    ends, ring = range(100, 170), range(10)
+    want = {(s, e) for s in (*ring, 50, 51, 52) for e in ends} | {(61, 60), (70, 70), (80, 80), (81, 80)}
+    for few in (0, 1 << 40):
+        monkeypatch.setattr(graph, "FEW", few)
+        found = catalogue.QUERIES["closure_leaves"](spark, "")
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+        pairs = [(r.sink, r.node) for r in found.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
 def test_edges_are_counted_by_owner_without_pairs(spark):
     calls = spark.createDataFrame([("f", 1, k, "A", True) for k in range(30)] + [("f", 2, 1, "B", False), ("f", 1, None, "A", True)], "callee string, arity int, caller_id long, caller_owner string, receiver_is_self boolean")
     methods = spark.createDataFrame([(k, "f", 1, "X") for k in range(20)] + [(99, "f", -1, "Y")], "method_id long, name string, arity int, owner string")
